@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bounded import MAX_BROADCAST_ROWS, bounded_rows, bounded_side
-from .hashing import hash_hex, hex_int
+from .bounded import bounded_side
+from .hashing import hash_hex
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
@@ -68,40 +68,60 @@ def with_bucket(df: DataFrame, value: str, bounds: list[float], out: str) -> Dat
     )
 
 
-def running_sum(
+def running(
     df: DataFrame,
     keys: list[str],
     order: str,
-    sums: dict[str, str],
+    aggregates: dict[str, tuple[str, str]],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     n_rows: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of several columns in ascending order of ``order``.
+    """Inclusive running aggregates in ascending order of ``order``.
 
-    ``sums`` maps output name to input column.  ``order`` must be distinct
-    within a key (aggregate equal values first).
+    ``aggregates`` maps an output name to (``sum`` | ``min`` | ``max``, column).
+    ``order`` must be distinct within a key (aggregate equal values first).
     """
-    bounds = value_bounds(df, F.col(order), rows_per_bucket, n_rows)
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    bounds = value_bounds(df, F.col(order).cast("double"), rows_per_bucket, n_rows)
     if not bounds:
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
-    tagged = with_bucket(df, order, bounds, "_bucket")
+        return df.withColumns({o: fold[f](c).over(w) for o, (f, c) in aggregates.items()})
+    tagged = with_bucket(df.withColumn("_axis", F.col(order).cast("double")), "_axis", bounds, "_bucket")
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, "_bucket")
-        .agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-        .withColumns({f"_o_{o}": F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)) for o in sums})
-        .drop(*[f"_t_{o}" for o in sums])
+        .agg(*[fold[f](c).alias(f"_t_{o}") for o, (f, c) in aggregates.items()])
+        .withColumns({f"_o_{o}": fold[f](f"_t_{o}").over(before) for o, (f, _) in aggregates.items()})
+        .drop(*[f"_t_{o}" for o in aggregates])
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     joined = (
         tagged.alias("l")
         .join(bounded_side(offsets).alias("r"), same_key("l", "r", [*keys, "_bucket"]))
-        .select("l.*", *[f"r._o_{o}" for o in sums])
+        .select("l.*", *[f"r._o_{o}" for o in aggregates])
+    )
+
+    def combined(out: str, name: str, col: str) -> Column:
+        local, earlier = fold[name](col).over(inside), F.col(f"_o_{out}")
+        if name == "sum":
+            return local + F.coalesce(earlier, F.lit(0))
+        return (F.least if name == "min" else F.greatest)(local, earlier)
+
+    return joined.withColumns({o: combined(o, f, c) for o, (f, c) in aggregates.items()}).drop(
+        "_axis", "_bucket", *[f"_o_{o}" for o in aggregates]
     )
-    return joined.withColumns(
-        {o: F.sum(c).over(inside) + F.col(f"_o_{o}") for o, c in sums.items()}
-    ).drop("_bucket", *[f"_o_{o}" for o in sums])
+
+
+def running_sum(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    sums: dict[str, str],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """Inclusive running sums; ``sums`` maps output name to input column."""
+    return running(df, keys, order, {o: ("sum", c) for o, c in sums.items()}, rows_per_bucket, n_rows)
 
 
 def ranked(
@@ -228,17 +248,3 @@ def hash_cutoffs(
         )
     )
 
-
-__all__ = [
-    "MAX_BROADCAST_ROWS",
-    "bounded_rows",
-    "bounded_side",
-    "hash_cutoffs",
-    "hash_rank",
-    "hex_int",
-    "ranked",
-    "running_sum",
-    "same_key",
-    "value_bounds",
-    "with_bucket",
-]

@@ -60,7 +60,16 @@ def scarcity_from_grid(grid: DataFrame, keys: list[str] | None = None, corrected
 
 
 def scarcity(
-    assigned: DataFrame, clusters: "DataFrame | ClusterModel", keys: list[str] | None = None, corrected: bool = True
+    assigned: DataFrame, clusters: "DataFrame | ClusterModel", keys: list[str] | None = None,
+    corrected: bool = True, keyed_clusters: bool = False,
+) -> DataFrame:
+    """Scarcity per positive cluster of test rows (see ``scarcity_from_counts``)."""
+    return scarcity_from_counts(negative_counts(assigned, keys), clusters, keys, corrected, keyed_clusters)
+
+
+def scarcity_from_counts(
+    counts: DataFrame, clusters: "DataFrame | ClusterModel", keys: list[str] | None = None,
+    corrected: bool = True, keyed_clusters: bool = False,
 ) -> DataFrame:
     """Scarcity per positive cluster straight from the counts that occur.
 
@@ -70,20 +79,18 @@ def scarcity(
     Clusters without test rows do not appear (they score 0).
     """
     keys = keys or []
-    spark = assigned.sparkSession
     if isinstance(clusters, ClusterModel):
-        clusters = clusters.table(spark)
-    same = W.partitionBy(*keys, "majority_y")
-    info = (
-        clusters.withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))))
-        .withColumn("width", F.col("_all") - F.count(F.lit(1)).over(same))
-        .select(*keys, F.col("cluster_id").alias("pos"), "majority_y", "width")
+        clusters = clusters.table(counts.sparkSession)
+    own_keys = keys if keyed_clusters else []
+    everything = W.partitionBy(*own_keys) if own_keys else W.partitionBy(F.lit(0))
+    info = bounded_side(
+        clusters.withColumn("_size", F.count(F.lit(1)).over(everything))
+        .withColumn("width", F.col("_size") - F.count(F.lit(1)).over(W.partitionBy(*own_keys, "majority_y")))
+        .select(*own_keys, F.col("cluster_id").alias("pos"), "majority_y", "width")
     )
-    info = bounded_side(info)
-    counts = negative_counts(assigned, keys)
-    own = counts.join(info, [*keys, "pos"])
-    theirs = info.select(*keys, F.col("pos").alias("neg"), F.col("majority_y").alias("_neg_y"))
-    counted = own.join(theirs, [*keys, "neg"]).filter(F.col("_neg_y") != F.col("majority_y"))
+    own = counts.join(info, [*own_keys, "pos"])
+    theirs = info.select(*own_keys, F.col("pos").alias("neg"), F.col("majority_y").alias("_neg_y"))
+    counted = own.join(theirs, [*own_keys, "neg"]).filter(F.col("_neg_y") != F.col("majority_y"))
     # At most one row per pair of clusters and variant reaches this window.
     w = W.partitionBy(*keys, "pos").orderBy("n", "neg")
     r = F.count(F.lit(1)).over(W.partitionBy(*keys, "pos"))
