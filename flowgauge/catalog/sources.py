@@ -176,12 +176,11 @@ def p3(spark, sf):
 
 @query(
     "p4_clean_report",
-    DIRTY_SQL + f"""SELECT (SELECT count(*) FROM dirty) AS rows_before,
+    DIRTY_SQL + f"""SELECT *, rows_before - rows_after AS rows_dropped FROM (SELECT (SELECT count(*) FROM dirty) AS rows_before,
   (SELECT count(*) FROM dirty WHERE isnan(quantity) OR discount IS NULL) AS rows_missing,
   (SELECT count(*) FROM dirty WHERE isinf(tax) AND NOT (isnan(quantity) OR discount IS NULL)) AS rows_infinite,
   (SELECT count(*) FROM valid) AS rows_valid,
-  (SELECT count(*) FROM (SELECT DISTINCT {FLOW_COLS}, label FROM valid)) AS rows_after,
-  rows_before - rows_after AS rows_dropped""",
+  (SELECT count(*) FROM (SELECT DISTINCT {FLOW_COLS}, label FROM valid)) AS rows_after)""",
 )
 def p4(spark, sf):
     return clean_report(dirty_flows(spark, sf), FEATURES)

@@ -107,7 +107,7 @@ def predictions(rows: DataFrame, n_classes: int) -> DataFrame:
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Events as logged episodes: one per user, ordered by time."""
     rows = table(spark, sf, "events").select(
-        "user_id", "event_id", "event_type", "value", F.unix_micros("ts").cast("double").alias("_t")
+        "user_id", "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("_t")
     )
     numbered = ranked(rows, ["user_id"], "_t", "event_id", descending=False, out="_step")
     sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
