@@ -1 +1,105 @@
-"""(being written)"""
+"""Classifiers, search, retraining and encoder fitting."""
+
+from pyspark.sql import functions as F
+
+from ..functions.bounded import local_table, work_dir
+from ..operators.classify import FittedClassifier, fit_classifier, grid_search, retrain_and_score
+from ..operators.mlp import encode, fit_encoder, sweep_encoder
+from . import query
+from .views import flow_latent, latent, rounded
+
+FOREST = {"n_estimators": 10, "max_depth": 6}
+NETWORK = {"hidden_dims": [16], "epochs": 30}
+METRICS = ("accuracy", "precision", "recall", "f1")
+
+
+def _rows(spark, sf, side=None):
+    rows = latent(spark, sf).select("row_id", "y", "side", F.col("z").alias("features"))
+    return rows.filter(F.col("side") == side) if side else rows
+
+
+def _scored(spark, sf, kind, params):
+    model = fit_classifier(_rows(spark, sf, "train"), kind, params)
+    return rounded(model.evaluate(_rows(spark, sf, "test")), *METRICS)
+
+
+@query("n1_random_forest")
+def n1(spark, sf):
+    return _scored(spark, sf, "random_forest", FOREST)
+
+
+@query("n1b_random_forest_flows")
+def n1b(spark, sf):
+    rows = flow_latent(spark, sf).select("y", "side", F.col("z").alias("features"))
+    model = fit_classifier(rows.filter("side = 'train'"), "random_forest", FOREST)
+    return rounded(model.evaluate(rows.filter("side = 'test'")), *METRICS)
+
+
+@query("n2_kernel_machine")
+def n2(spark, sf):
+    return _scored(spark, sf, "svm", {"m": 64, "max_iter": 20})
+
+
+@query("n3_feed_forward")
+def n3(spark, sf):
+    return _scored(spark, sf, "dnn", NETWORK)
+
+
+@query("n4_probabilities_and_activations")
+def n4(spark, sf):
+    train, test = _rows(spark, sf, "train"), _rows(spark, sf, "test")
+    model = fit_classifier(train, "dnn", NETWORK)
+    both = model.predict_proba(model.predict(test))
+    return model.activations(both).select(
+        "row_id", "y", "pred", F.round(F.array_max("proba"), 6).alias("top"), F.size("activation").alias("width")
+    )
+
+
+@query("n5_grid_search")
+def n5(spark, sf):
+    _, table = grid_search(
+        _rows(spark, sf, "train"), "random_forest", {"n_estimators": [5], "max_depth": [3, 6]}, folds=3
+    )
+    return table
+
+
+@query("n6_stored_model")
+def n6(spark, sf):
+    path = work_dir(spark, "model")
+    fit_classifier(_rows(spark, sf, "train"), "random_forest", FOREST).save(spark, path)
+    return rounded(FittedClassifier.load(spark, path).evaluate(_rows(spark, sf, "test")), *METRICS)
+
+
+@query("n7_retrain_and_score")
+def n7(spark, sf):
+    found = retrain_and_score(
+        _rows(spark, sf, "train"), _rows(spark, sf, "val"), _rows(spark, sf, "test"),
+        {"random_forest": FOREST, "dnn": NETWORK},
+    )
+    return rounded(found, *METRICS)
+
+
+def _history(spark, rows):
+    return local_table(
+        spark, [(h["epoch"], h["reconstruction"], h["contrastive"], h["loss"]) for h in rows],
+        "epoch int, reconstruction double, contrastive double, loss double",
+    )
+
+
+@query("n8_contrastive_encoder")
+def n8(spark, sf):
+    net, history = fit_encoder(_rows(spark, sf, "train"), [16], 3, epochs=3, batches=2, lr=5e-3)
+    last = history[-1]["loss"]
+    return encode(_rows(spark, sf, "test"), net).select("row_id", "y", "z").withColumn("loss", F.lit(last))
+
+
+@query("n9_plain_encoder")
+def n9(spark, sf):
+    _, history = fit_encoder(_rows(spark, sf, "train"), [16], 3, epochs=3, batches=2, lr=5e-3, lam=0.0)
+    return _history(spark, history)
+
+
+@query("n10_encoder_sweep")
+def n10(spark, sf):
+    trials = [{"hidden": [8], "latent": 2, "epochs": 1, "batches": 1}, {"hidden": [16], "latent": 3, "epochs": 1, "batches": 1}]
+    return sweep_encoder(_rows(spark, sf, "train"), trials, [3, 6])

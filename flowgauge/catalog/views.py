@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_side
+from ..functions.bounded import bounded_side, spread
 from ..functions.ordering import ranked
 from ..functions.vectors import pack
 from ..operators.assign import ClusterModel, assign
@@ -19,7 +19,7 @@ DIM = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,33 @@ def bounded_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[Row]
 
 def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """A join side that is broadcast only when its size is proven to be small."""
-    rows = bounded_rows(df, max_rows)
-    if rows is None:
+    found = df.limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+_ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
+    "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small driver-made table that the planner sees as a local relation."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(c), type=_ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[n for n, _ in fields]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that comes in too few pieces (one small file).
+
+    Large inputs already have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

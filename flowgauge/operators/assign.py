@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_side
+from ..functions.bounded import bounded_side, local_table
 from ..functions.ordering import same_key
 from ..functions.vectors import distance
 
@@ -83,7 +83,7 @@ class ClusterModel:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(self.ids, self.centroids, self.majority, self.n_train, strict=True))
-        return spark.createDataFrame(rows, CLUSTER_SCHEMA)
+        return local_table(spark, rows, CLUSTER_SCHEMA)
 
     def others(self, majority: int) -> list[int]:
         """Ids of the clusters whose majority label differs."""
@@ -256,8 +256,7 @@ def negative_grid(
     keys = keys or []
     model = ClusterModel.load(clusters)
     spark = assigned.sparkSession
-    cells = spark.createDataFrame(
-        [(i, m, model.others(m)) for i, m in zip(model.ids, model.majority, strict=True)],
+    cells = local_table(spark, [(i, m, model.others(m)) for i, m in zip(model.ids, model.majority, strict=True)],
         "pos int, majority_y int, negs array<int>",
     ).select("pos", "majority_y", F.explode("negs").alias("neg"))
     counts = negative_counts(assigned, keys)

@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bounded import local_table
 from .diversity import fourier_features, frequencies
 from .sampling import stratified_folds
 from .scores import balanced_weights, classification_metrics
@@ -149,8 +150,7 @@ class FittedClassifier:
         self.model.write().overwrite().save(f"{path}/model")
         k = self.kernel or Kernel(0, 0, 0.0, 0)
         row = [(self.kind, self.n_classes, k.dim, k.m, k.gamma, k.seed)]
-        spark.createDataFrame(
-            row, "kind string, n_classes int, dim int, m int, gamma double, seed int"
+        local_table(spark, row, "kind string, n_classes int, dim int, m int, gamma double, seed int"
         ).write.mode("overwrite").json(f"{path}/about")
 
     @staticmethod
@@ -241,7 +241,7 @@ def grid_search(
     data.unpersist()
     scores = [(i, repr(p), float(s)) for i, (p, s) in enumerate(zip(points, found.avgMetrics, strict=True))]
     best = max(scores, key=lambda r: (r[2], -r[0]))[0]
-    table = df.sparkSession.createDataFrame(scores, "point int, params string, macro_f1 double")
+    table = local_table(df.sparkSession, scores, "point int, params string, macro_f1 double")
     return FittedClassifier(kind, found.bestModel, n_classes, kernels[best]), table
 
 

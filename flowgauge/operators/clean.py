@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bounded import bounded_rows, bounded_side
+from ..functions.bounded import bounded_rows, bounded_side, local_table
 from ..functions.ordering import same_key
 
 FRACTIONAL = (T.DoubleType, T.FloatType)
@@ -157,7 +157,7 @@ def fit_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     rows = bounded_rows(labels)
     if rows is not None:
         names = sorted((r.label for r in rows), key=lambda t: t.encode())
-        return df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], schema)
+        return local_table(df.sparkSession, [(t, i) for i, t in enumerate(names)], schema)
     numbered = labels.orderBy("label").rdd.zipWithIndex().map(lambda p: (p[0].label, p[1]))
     return df.sparkSession.createDataFrame(numbered, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hex_int
 from ..functions.ordering import same_key
-from ..functions.bounded import bounded_side
+from ..functions.bounded import bounded_side, local_table
 from .assign import CLUSTER_SCHEMA, ClusterError, ClusterModel, nearest
 
 # The default candidate list and number of restarts.
@@ -80,8 +81,7 @@ def cluster_table(
                 F.col("r.n_train").cast("bigint").alias("n_train"),
             )
         )
-    base = df.sparkSession.createDataFrame(
-        list(zip(model.ids, model.centroids, strict=True)), "cluster_id int, centroid array<double>"
+    base = local_table(df.sparkSession, list(zip(model.ids, model.centroids, strict=True)), "cluster_id int, centroid array<double>"
     )
     return (
         base.alias("l")
@@ -120,16 +120,25 @@ def seed_cells(
     return ClusterModel.load(cluster_table(members, z=z, y=y)), members
 
 
-def kmeans_fit(df: DataFrame, k: int, seed: int = 42, restarts: int = DEFAULT_RESTARTS, z: str = "z", max_iter: int = 100):
-    """The lowest-cost model over ``restarts`` seeds."""
-    vectors = df.select(array_to_vector(F.col(z)).alias("features"))
-    best = None
-    for r in range(restarts):
+def kmeans_fits(
+    df: DataFrame, ks: list[int], seed: int = 42, restarts: int = DEFAULT_RESTARTS, z: str = "z", max_iter: int = 50,
+    parallelism: int = 4,
+) -> dict[int, tuple]:
+    """Lowest-cost (model, cost) per k over ``restarts`` seeds; fits run side by side."""
+    vectors = df.select(array_to_vector(F.col(z)).alias("features")).persist()
+
+    def fit(task: tuple[int, int]):
+        k, r = task
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode="k-means||").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1], best[0]
+        return k, float(model.summary.trainingCost), r, model
+
+    with ThreadPool(parallelism) as pool:
+        done = pool.map(fit, [(k, r) for k in ks for r in range(restarts)], chunksize=1)
+    vectors.unpersist()
+    best: dict[int, tuple] = {}
+    for k, cost, _, model in sorted(done, key=lambda d: (d[0], d[1], d[2])):
+        best.setdefault(k, (model, cost))
+    return best
 
 
 def silhouette(
@@ -149,7 +158,7 @@ def silhouette(
             value = 0.0
         else:
             value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
-        return spark.createDataFrame([(float(value), mode)], "silhouette double, mode string")
+        return local_table(spark, [(float(value), mode)], "silhouette double, mode string")
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     sums = block_sums(df, [], cluster, z, row_id)
     points = sums.alias("s").join(
@@ -264,15 +273,16 @@ def kmeans_sweep(
     usable = [k for k in (DEFAULT_KS if ks is None else ks) if k < n]
     if not usable:
         raise ClusterError(f"No candidate k is below the {n} rows to cluster")
+    fits = kmeans_fits(df, usable, seed, restarts, z)
     rows, models = [], {}
     for k in usable:
-        model, cost = kmeans_fit(df, k, seed, restarts, z)
+        model, cost = fits[k]
         labelled = predict(df, model, z)
         s = silhouette(labelled, mode, z=z, row_id=row_id).first().silhouette
         rows.append((k, float(cost), float(s), mode))
         models[k] = model
     df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double, mode string"), models
+    return local_table(df.sparkSession, rows, "k int, cost double, silhouette double, mode string"), models
 
 
 def model_centroids(model) -> ClusterModel:
@@ -310,8 +320,7 @@ def cluster(
     members = predict(df, model, z)
     table = cluster_table(members, model_centroids(model), z=z, y=y)
     accuracy = cluster_accuracy(members, y=y).first().km_accuracy
-    summary = df.sparkSession.createDataFrame(
-        [(chosen.best_k, float(chosen.silhouette), float(accuracy), mode)],
+    summary = local_table(df.sparkSession, [(chosen.best_k, float(chosen.silhouette), float(accuracy), mode)],
         "best_k int, silhouette double, km_accuracy double, mode string",
     )
     return table, members, summary
@@ -319,5 +328,5 @@ def cluster(
 
 __all__ = [
     "CLUSTER_SCHEMA", "DEFAULT_KS", "best_k", "block_sums", "cluster", "cluster_accuracy", "cluster_table",
-    "kmeans_fit", "kmeans_sweep", "majority_labels", "mean_vectors", "predict", "seed_cells", "silhouette",
+    "kmeans_fits", "kmeans_sweep", "majority_labels", "mean_vectors", "predict", "seed_cells", "silhouette",
 ]

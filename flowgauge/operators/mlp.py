@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import written
+from ..functions.bounded import local_table, written
 from ..functions.hashing import hash_hex, hex_int
 from ..functions.vectors import dot
 from .sampling import sample_pairs
@@ -361,8 +361,7 @@ def sweep_encoder(
         checked = df if validation is None else validation
         mse = reconstruction_error(checked, net, features).agg(F.avg("mse")).first()[0]
         rows.append((i, s.km_accuracy, s.silhouette, s.best_k, float(mse), history[-1]["loss"]))
-    return df.sparkSession.createDataFrame(
-        rows, "trial int, km_accuracy double, silhouette double, best_k int, val_mse double, loss double"
+    return local_table(df.sparkSession, rows, "trial int, km_accuracy double, silhouette double, best_k int, val_mse double, loss double"
     )
 
 

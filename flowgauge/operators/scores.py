@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_rows, bounded_side
+from ..functions.bounded import bounded_rows, bounded_side, local_table
 from ..functions.ordering import running_sum, same_key
 from ..functions.special import correlation_p_value
 from ..functions.vectors import distance
@@ -28,7 +28,7 @@ REWARD_WEIGHTS = {
 def reward_weights(spark: SparkSession, configs: dict[str, tuple] | None = None) -> DataFrame:
     configs = REWARD_WEIGHTS if configs is None else configs
     rows = [(name, *w) for name, w in configs.items()]
-    return spark.createDataFrame(rows, "reward_config string, w_d double, w_p double, w_s double")
+    return local_table(spark, rows, "reward_config string, w_d double, w_p double, w_s double")
 
 
 def reward_value(weights: dict[str, float] | None = None) -> Column:
