@@ -1,8 +1,9 @@
 """Centroid tables and the nearest same-label / other-label centroid of every row.
 
-The centroid table is model state: it is collected under a size bound and its
-values become part of the expression, so assignment is one map-only stage with
-no join at all.  A centroid table past the bound is worked off in bounded pieces,
+The centroid table is model state: it is collected under a size bound and shipped
+with a vectorised function on Arrow batches, so assignment is one map-only stage with
+no join at all.  (Unrolled SQL arithmetic was measured too: from a few dozen terms on the
+generated method is too long for the JIT and an order of magnitude slower.)  A centroid table past the bound is worked off in bounded pieces,
 each piece improving the best candidates found so far.
 """
 
@@ -12,19 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.bounded import bounded_side, local_table
+from ..functions.bounded import bounded_rows, bounded_side, local_table
 from ..functions.ordering import same_key
 from ..functions.vectors import distance
 
 MAX_CENTROID_VALUES = 1 << 20  # doubles per piece (8 MB)
-MAX_UNROLLED_TERMS = 512
 
 CLUSTER_SCHEMA = "cluster_id int, centroid array<double>, majority_y int, n_train bigint"
-CANDIDATE = "struct<d:double,id:int,majority:int>"
+CANDIDATE = "struct<d:double,id:int>"
 
 
 class ClusterError(ValueError):
@@ -94,71 +95,66 @@ class ClusterModel:
         return len(self.centroids[0])
 
 
-def _unrolled(piece: ClusterModel, z: str, y: str | None) -> dict[str, Column]:
-    """Candidates as plain scalar arithmetic that stays in generated code."""
-    candidates = []
-    for cid, centre, major in zip(piece.ids, piece.centroids, piece.majority, strict=True):
-        total = None
-        for axis, value in enumerate(centre):
-            delta = F.col(f"`{z}`")[axis] - F.lit(value)
-            total = delta * delta if total is None else total + delta * delta
-        candidates.append((
-            major,
-            F.struct(
-                F.sqrt(total).alias("d"), F.lit(cid).alias("id"), F.lit(major).alias("majority")
-            ),
-        ))
-
-    def least(cols: list[Column]) -> Column:
-        return cols[0] if len(cols) == 1 else F.least(*cols)
-
-    out = {"_any": least([c for _, c in candidates])}
-    if y is not None:
-        label = F.col(f"`{y}`")
-        out["_same"] = least([F.when(label == m, c) for m, c in candidates])
-        out["_other"] = least([F.when(label != m, c) for m, c in candidates])
-    return out
-
-
-def _vectorised(piece: ClusterModel):
-    """Candidates by numpy on Arrow batches, for wide centroid tables."""
-    ids = np.array(piece.ids)
-    centres = np.array(piece.centroids)
-    majority = np.array(piece.majority)
-
-    def closest(d: np.ndarray, allowed: np.ndarray) -> list:
-        masked = np.where(allowed, d, np.inf)
-        at = masked.argmin(axis=1)
-        best = masked[np.arange(len(d)), at]
-        return [
-            None if not np.isfinite(v) else {"d": float(v), "id": int(ids[i]), "majority": int(majority[i])}
-            for v, i in zip(best, at, strict=True)
-        ]
-
-    @F.pandas_udf(f"struct<any:{CANDIDATE},same:{CANDIDATE},other:{CANDIDATE}>")
-    def candidates(z: pd.Series, y: pd.Series) -> pd.DataFrame:
-        out = {"any": [], "same": [], "other": []}
-        step = max(1, (4 << 20) // max(1, centres.size))
-        labels = y.to_numpy()
-        for start in range(0, len(z), step):
-            pts = np.stack(z.iloc[start : start + step].to_numpy())
-            d = np.sqrt(((pts[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-            same = majority[None, :] == labels[start : start + step, None]
-            out["any"] += closest(d, np.ones_like(same))
-            out["same"] += closest(d, same)
-            out["other"] += closest(d, ~same)
-        return pd.DataFrame(out)
-
-    return candidates
+def as_matrix(v: pa.Array) -> np.ndarray:
+    """An Arrow list column as a dense matrix (rows x dimensions), without copying rows."""
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(v), -1) if len(v) else np.empty((0, 0))
+
+
+def from_matrix(m: np.ndarray) -> pa.Array:
+    """A dense matrix as an Arrow list column."""
+    offsets = np.arange(0, m.size + 1, max(1, m.shape[1]), dtype=np.int32)[: len(m) + 1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances, centroids x rows; each dimension is one vector operation."""
+    columns = np.ascontiguousarray(points.T)
+    out = np.zeros((len(centres), len(points)))
+    for total, centre in zip(out, centres, strict=True):
+        for x, c in zip(columns, centre, strict=True):
+            d = x - c
+            total += d * d
+    return np.sqrt(out)
+
+
+def closest(d: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest distance per row and its position (first on ties); inf where nothing is allowed."""
+    masked = d if allowed is None else np.where(allowed, d, np.inf)
+    at = masked.argmin(axis=0)
+    return masked[at, np.arange(d.shape[1])], at
+
+
+def _nullable(dist: np.ndarray, ids: np.ndarray) -> pa.StructArray:
+    empty = ~np.isfinite(dist)
+    return pa.StructArray.from_arrays(
+        [pa.array(dist), pa.array(ids.astype(np.int32))], names=["d", "id"], mask=pa.array(empty)
+    )
+
+
+def _candidates(piece: ClusterModel):
+    """Best of any / same / other label among one piece of the centroids."""
+    ids, centres, majority = np.array(piece.ids), np.array(piece.centroids), np.array(piece.majority)
+
+    @F.arrow_udf(f"struct<any:{CANDIDATE},same:{CANDIDATE},other:{CANDIDATE}>")
+    def best(z: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(z):
+            parts = [_nullable(np.empty(0), np.empty(0, int))] * 3
+        else:
+            d = distances(as_matrix(z), centres)
+            same = majority[:, None] == y.to_numpy(zero_copy_only=False)[None, :]
+            parts = []
+            for allowed in (None, same, ~same):
+                value, at = closest(d, allowed)
+                parts.append(_nullable(value, ids[at]))
+        return pa.StructArray.from_arrays(parts, names=["any", "same", "other"])
+
+    return best
 
 
 def _improve(df: DataFrame, piece: ClusterModel, z: str, y: str, first: bool) -> DataFrame:
-    names = ["_any", "_same", "_other"]
-    if len(piece.ids) * piece.dim <= MAX_UNROLLED_TERMS:
-        new = _unrolled(piece, z, y)
-    else:
-        df = df.withColumn("_found", _vectorised(piece)(F.col(f"`{z}`"), F.col(f"`{y}`").cast("int")))
-        new = {n: F.col(f"_found.{n[1:]}") for n in names}
+    df = df.withColumn("_found", _candidates(piece)(F.col(f"`{z}`"), F.col(f"`{y}`").cast("int")))
+    new = {n: F.col(f"_found.{n[1:]}") for n in ("_any", "_same", "_other")}
     if not first:
         new = {n: F.least(F.col(n), c) for n, c in new.items()}
     return df.withColumns(new).drop("_found")
@@ -198,7 +194,24 @@ def assign(
 
 
 def _assign_keyed(df: DataFrame, clusters: DataFrame, keys: list[str], z: str, y: str, keep: list[str]) -> DataFrame:
-    """Variants differ in their centroids: one packed model row per variant."""
+    """Variants differ in their centroids.
+
+    While all variants together stay within the size bound of a model, each
+    row only carries the number of its variant and stays map-side.  Past the bound every row meets
+    the packed centroids of its variant in a join.
+    """
+    models = _variant_models(clusters, keys)
+    if models is not None:
+        table, by_variant = models
+        numbered = (
+            df.alias("l").join(bounded_side(table).alias("r"), same_key("l", "r", keys)).select("l.*", "r._variant")
+        )
+        found = _variant_candidates(by_variant)(F.col(f"`{z}`"), F.col(f"`{y}`").cast("int"), F.col("_variant"))
+        return _finish(
+            numbered.withColumn("_found", found)
+            .withColumns({n: F.col(f"_found.{n[1:]}") for n in ("_any", "_same", "_other")}),
+            keep,
+        )
     packed = clusters.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("cluster_id", "majority_y", "centroid"))).alias("_cs")
     )
@@ -211,27 +224,65 @@ def _assign_keyed(df: DataFrame, clusters: DataFrame, keys: list[str], z: str, y
         c["majority_y"].alias("majority"),
     ))
     label = F.col(f"`{y}`")
+
+    def least(allowed=None):
+        of = F.col("_all") if allowed is None else F.filter("_all", allowed)
+        best = F.array_min(of)
+        return F.when(best.isNotNull(), F.struct(best["d"].alias("d"), best["id"].alias("id")))
+
     return _finish(
         joined.withColumn("_all", found).withColumns({
-            "_any": F.array_min("_all"),
-            "_same": F.array_min(F.filter("_all", lambda c: c["majority"] == label)),
-            "_other": F.array_min(F.filter("_all", lambda c: c["majority"] != label)),
+            "_any": least(), "_same": least(lambda c: c["majority"] == label), "_other": least(lambda c: c["majority"] != label),
         }),
         keep,
     )
 
 
+def _variant_models(clusters: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[int, ClusterModel]] | None:
+    """Numbered variants and their models, or None past the size bound."""
+    rows = bounded_rows(clusters.select(*keys, "cluster_id", "centroid", "majority_y", "n_train"))
+    if rows is None or sum(len(r.centroid) for r in rows) > MAX_CENTROID_VALUES:
+        return None
+    grouped: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: r.cluster_id):
+        grouped.setdefault(tuple(r[k] for k in keys), []).append(r)
+    schema = T.StructType([clusters.schema[k] for k in keys] + [T.StructField("_variant", T.IntegerType())])
+    table = clusters.sparkSession.createDataFrame([(*key, i) for i, key in enumerate(grouped)], schema)
+    return table, {i: ClusterModel._of(part) for i, part in enumerate(grouped.values())}
+
+
+def _variant_candidates(models: dict[int, ClusterModel]):
+    state = {
+        i: (np.array(m.ids), np.array(m.centroids), np.array(m.majority)) for i, m in models.items()
+    }
+
+    @F.arrow_udf(f"struct<any:{CANDIDATE},same:{CANDIDATE},other:{CANDIDATE}>")
+    def best(z: pa.Array, y: pa.Array, variant: pa.Array) -> pa.Array:
+        n = len(z)
+        value, ids = np.full((3, n), np.inf), np.zeros((3, n), int)
+        labels, which, points = y.to_numpy(zero_copy_only=False), variant.to_numpy(zero_copy_only=False), as_matrix(z)
+        for v in np.unique(which):
+            rows = np.flatnonzero(which == v)
+            own, centres, majority = state[int(v)]
+            d = distances(points[rows], centres)
+            same = majority[:, None] == labels[rows][None, :]
+            for i, allowed in enumerate((None, same, ~same)):
+                value[i, rows], at = closest(d, allowed)
+                ids[i, rows] = own[at]
+        return pa.StructArray.from_arrays([_nullable(value[i], ids[i]) for i in range(3)], names=["any", "same", "other"])
+
+    return best
+
+
 def nearest(df: DataFrame, clusters: "DataFrame | ClusterModel", z: str = "z", out: str = "cluster_id") -> DataFrame:
     """Nearest centroid regardless of labels."""
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in df.columns if c not in (out, f"{out}_dist")]
     first = True
-    work = df.withColumn("_y0", F.lit(0))
+    work = df
     for piece in ClusterModel.pieces(clusters):
-        if len(piece.ids) * piece.dim <= MAX_UNROLLED_TERMS:
-            new = _unrolled(piece, z, None)["_any"]
-        else:
-            new = _vectorised(piece)(F.col(f"`{z}`"), F.col("_y0")).getField("any")
-        work = work.withColumn("_any", new if first else F.least(F.col("_any"), new))
+        new = _nearest_of(piece)(F.col(f"`{z}`"))
+        work = work.withColumn("_new", new)
+        work = work.withColumn("_any", F.col("_new") if first else F.least("_any", "_new")).drop("_new")
         first = False
     if first:
         raise ClusterError("The cluster table is empty")
@@ -240,6 +291,19 @@ def nearest(df: DataFrame, clusters: "DataFrame | ClusterModel", z: str = "z", o
     )
 
 
+def _nearest_of(piece: ClusterModel):
+    ids, centres = np.array(piece.ids), np.array(piece.centroids)
+
+    @F.arrow_udf(CANDIDATE)
+    def best(z: pa.Array) -> pa.Array:
+        if not len(z):
+            return _nullable(np.empty(0), np.empty(0, int))
+        value, at = closest(distances(as_matrix(z), centres))
+        return _nullable(value, ids[at])
+
+    return best
+
+
 def negative_counts(assigned: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Test rows per (positive, negative) cluster; only pairs that occur."""
     return assigned.groupBy(*(keys or []), "pos", "neg").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bounded import local_table
+from .assign import as_matrix, from_matrix
 from .diversity import fourier_features, frequencies
 from .sampling import stratified_folds
 from .scores import balanced_weights, classification_metrics
@@ -40,11 +41,9 @@ def with_vectors(df: DataFrame, features: str = "features") -> DataFrame:
 def kernel_column(omega: np.ndarray):
     """Random Fourier features of an RBF kernel, by numpy on Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def mapped(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(fourier_features(np.stack(v.to_numpy()), omega)))
+    @F.arrow_udf("array<double>")
+    def mapped(v: pa.Array) -> pa.Array:
+        return from_matrix(fourier_features(as_matrix(v), omega) if len(v) else np.empty((0, 1)))
 
     return mapped
 
@@ -62,7 +61,7 @@ def _estimator(kind: str, params: dict, seed: int, dim: int, n_classes: int) ->
             regParam=1.0 / max(params.get("C", 1.0) * params.get("n_rows", 1000), 1e-9),
             maxIter=params.get("max_iter", 50), weightCol="weight", standardization=False,
         )
-        return OneVsRest(classifier=base, featuresCol=params["kernel_col"], labelCol="_label", weightCol="weight")
+        return OneVsRest(classifier=base, featuresCol=params["kernel_col"], labelCol="_label", weightCol="weight", parallelism=4)
     if kind == "dnn":
         hidden = params.get("hidden_dims", [128, 128, 128])
         return MultilayerPerceptronClassifier(

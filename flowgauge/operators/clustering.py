@@ -7,8 +7,8 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hex_int
 from ..functions.ordering import same_key
-from ..functions.bounded import bounded_side, local_table
-from .assign import CLUSTER_SCHEMA, ClusterError, ClusterModel, nearest
+from ..functions.bounded import bounded_rows, bounded_side, local_table
+from .assign import CLUSTER_SCHEMA, ClusterError, ClusterModel, as_matrix, nearest
 
 # The default candidate list and number of restarts.
 DEFAULT_KS = [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20]
@@ -153,12 +153,7 @@ def silhouette(
     """
     spark = df.sparkSession
     if mode == "fast":
-        vectors = df.select(F.col(cluster).alias("prediction"), array_to_vector(F.col(z)).alias("features"))
-        if vectors.select("prediction").distinct().limit(2).count() < 2:
-            value = 0.0
-        else:
-            value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
-        return local_table(spark, [(float(value), mode)], "silhouette double, mode string")
+        return squared_silhouette(df, cluster, z).withColumn("mode", F.lit(mode))
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     sums = block_sums(df, [], cluster, z, row_id)
     points = sums.alias("s").join(
@@ -177,6 +172,45 @@ def silhouette(
     return per_row.agg(F.coalesce(F.avg(score), F.lit(0.0)).alias("silhouette")).withColumn("mode", F.lit(mode))
 
 
+def squared_silhouette(df: DataFrame, cluster: str = "cluster_id", z: str = "z") -> DataFrame:
+    """Mean silhouette under squared Euclidean distance, exact, in two passes.
+
+    The mean squared distance from x to a cluster is |x|^2 + Q/n - 2 x.S/n with
+    the cluster's count n, vector sum S and sum of squared norms Q.
+    """
+    norm = F.aggregate(F.transform(z, lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
+    stats = bounded_rows(
+        df.groupBy(cluster).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"),
+            vector_to_array(Summarizer.sum(array_to_vector(F.col(z)))).alias("s"),
+        ).orderBy(cluster),
+        10_000,
+    )
+    if stats is None:
+        raise ClusterError("Too many clusters for a silhouette")
+    if len(stats) < 2:
+        return local_table(df.sparkSession, [(0.0,)], "silhouette double")
+    ids = np.array([r[0] for r in stats])
+    n = np.array([float(r.n) for r in stats])
+    means, q = np.array([list(r.s) for r in stats]) / n[:, None], np.array([r.q for r in stats]) / n
+
+    @F.arrow_udf("double")
+    def score(points: pa.Array, own: pa.Array) -> pa.Array:
+        if not len(points):
+            return pa.array([], pa.float64())
+        x = as_matrix(points)
+        d = (x * x).sum(axis=1)[None, :] + q[:, None] - 2.0 * means @ x.T
+        mine = ids[:, None] == own.to_numpy(zero_copy_only=False)[None, :]
+        size = (mine * n[:, None]).sum(axis=0)
+        a = np.where(mine, d, 0.0).sum(axis=0) * size / np.maximum(size - 1.0, 1.0)
+        b = np.where(mine, np.inf, d).min(axis=0)
+        top = np.maximum(a, b)
+        value = np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        return pa.array(value)
+
+    return df.agg(F.avg(score(F.col(z), F.col(cluster))).alias("silhouette"))
+
+
 def _packed_blocks(df: DataFrame, keys: list[str], group: str, z: str, row_id: str, block_rows: int) -> DataFrame:
     """Rows packed into dense blocks of about ``block_rows`` points, per key."""
     keyed = df.select(
@@ -275,11 +309,15 @@ def kmeans_sweep(
         raise ClusterError(f"No candidate k is below the {n} rows to cluster")
     fits = kmeans_fits(df, usable, seed, restarts, z)
     rows, models = [], {}
-    for k in usable:
+
+    def measure(k: int) -> float:
+        return float(silhouette(predict(df, fits[k][0], z), mode, z=z, row_id=row_id).first().silhouette)
+
+    with ThreadPool(4) as pool:
+        scores = pool.map(measure, usable, chunksize=1)
+    for k, s in zip(usable, scores, strict=True):
         model, cost = fits[k]
-        labelled = predict(df, model, z)
-        s = silhouette(labelled, mode, z=z, row_id=row_id).first().silhouette
-        rows.append((k, float(cost), float(s), mode))
+        rows.append((k, cost, s, mode))
         models[k] = model
     df.unpersist()
     return local_table(df.sparkSession, rows, "k int, cost double, silhouette double, mode string"), models

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.bounded import local_table, written
 from ..functions.hashing import hash_hex, hex_int
 from ..functions.vectors import dot
+from .assign import as_matrix, from_matrix
 from .sampling import sample_pairs
 
 WEIGHT_SCHEMA = (
@@ -147,11 +149,9 @@ def backward(outs: list[np.ndarray], grad: np.ndarray, stack: list[Layer]) -> tu
 
 
 def _apply(df: DataFrame, stack: list[Layer], source: str, out: str) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(forward(np.stack(v.to_numpy()), stack)[-1]))
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        return from_matrix(forward(as_matrix(v), stack)[-1] if len(v) else np.empty((0, 1)))
 
     return df.withColumn(out, run(F.col(source)))
 
@@ -288,7 +288,6 @@ def fit_encoder(
     Returns the network and the loss per epoch.
     """
     hidden = [64, 32, 16] if hidden is None else hidden
-    spark = df.sparkSession
     inputs = len(df.select(features).first()[0])
     net = Network.autoencoder(inputs, hidden, latent, seed)
     table = training_batches(df, batches, seed, y, row_id, features)
@@ -298,9 +297,9 @@ def fit_encoder(
     for epoch in range(epochs):
         totals = np.zeros(4)
         for b in range(batches):
-            state = spark.sparkContext.broadcast(net)
 
-            def fold(parts: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            # The network is a few thousand numbers and travels with the function.
+            def fold(parts: Iterator[pd.DataFrame], net=net) -> Iterator[pd.DataFrame]:
                 total = None
                 for pdf in parts:
                     is_pair = pdf["different"].notna().to_numpy()
@@ -308,7 +307,7 @@ def fit_encoder(
                     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.empty((0, 0))
                     a = np.stack(pairs["x"].to_numpy()) if len(pairs) else np.empty((0, 0))
                     c = np.stack(pairs["x2"].to_numpy()) if len(pairs) else np.empty((0, 0))
-                    g, recon, pair = gradient(state.value, x, a, c, pairs["different"].to_numpy(), margin, lam)
+                    g, recon, pair = gradient(net, x, a, c, pairs["different"].to_numpy(), margin, lam)
                     vec = np.concatenate([g, [recon, pair, len(rows), len(pairs)]])
                     total = vec if total is None else total + vec
                 if total is not None:
@@ -319,7 +318,6 @@ def fit_encoder(
                 .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"))
                 .first().vec
             )
-            state.unpersist()
             if not summed:
                 continue
             vec = np.array(summed)

@@ -156,8 +156,10 @@ def running_observations(
     log: DataFrame, dim: int, model: ClusterModel | None = None, episode: str = "episode", step: str = "step", z: str = "z"
 ) -> DataFrame:
     """``obs`` after each step: centroids, then mean, min, max, variance and std so far."""
-    cols = {f"_z{i}": F.col(z)[i] for i in range(dim)}
-    squares = {f"_q{i}": F.col(z)[i] * F.col(z)[i] for i in range(dim)}
+    # Squares are taken around the overall mean, so large offsets cancel before they lose digits.
+    shift = [float(v or 0.0) for v in log.agg(*[F.avg(F.col(z)[i]) for i in range(dim)]).first()]
+    cols = {f"_z{i}": F.col(z)[i] - F.lit(shift[i]) for i in range(dim)}
+    squares = {f"_q{i}": (F.col(z)[i] - F.lit(shift[i])) * (F.col(z)[i] - F.lit(shift[i])) for i in range(dim)}
     aggregates: dict[str, tuple[str, str]] = {"_n": ("sum", "_unit")}
     for i in range(dim):
         aggregates |= {
@@ -167,7 +169,8 @@ def running_observations(
     each = range(dim)
     mean = [F.col(f"_s{i}") / F.col("_n") for i in each]
     var = [F.greatest(F.lit(0.0), F.col(f"_ss{i}") / F.col("_n") - mean[i] * mean[i]) for i in each]
-    stats = [*mean, *[F.col(f"_lo{i}") for i in each], *[F.col(f"_hi{i}") for i in each], *var, *[F.sqrt(v) for v in var]]
+    place = [*mean, *[F.col(f"_lo{i}") for i in each], *[F.col(f"_hi{i}") for i in each]]
+    stats = [*[c + F.lit(shift[i % dim]) for i, c in enumerate(place)], *var, *[F.sqrt(v) for v in var]]
     flat = [F.lit(float(v)) for c in model.centroids for v in c] if model else []
     return run.select(*log.columns, F.array(*flat, *stats).alias("obs"))
 
