@@ -66,7 +66,7 @@ def coded_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_flows(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(coded_flows(spark, sf), RATIOS, [42], "y", "row_id")
+    return stratified_split(coded_flows(spark, sf), RATIOS, [42], "y", "row_id").persist()
 
 
 def flow_latent(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,14 +74,15 @@ def flow_latent(spark: SparkSession, sf: str) -> DataFrame:
     rows = split_flows(spark, sf)
     scaler = fit_scaler(rows.filter(F.col("split") == "train"), FEATURES)
     scaled = apply_scaler(rows, scaler, FEATURES)
-    return scaled.select("row_id", "y", F.col("split").alias("side"), pack(FEATURES).alias("z"))
+    return scaled.select("row_id", "y", F.col("split").alias("side"), pack(FEATURES).alias("z")).persist()
 
 
 def latent(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("z")
     )
-    return stratified_split(rows, RATIOS, [42], "y", "row_id").select("row_id", "y", "z", F.col("split").alias("side"))
+    split = stratified_split(rows, RATIOS, [42], "y", "row_id")
+    return split.select("row_id", "y", "z", F.col("split").alias("side")).persist()
 
 
 def cell_model(rows: DataFrame) -> tuple[ClusterModel, DataFrame]:
@@ -92,7 +93,7 @@ def cell_model(rows: DataFrame) -> tuple[ClusterModel, DataFrame]:
 def assessed(rows: DataFrame) -> tuple[DataFrame, ClusterModel]:
     """Train and test rows with their assignments."""
     model, _ = cell_model(rows)
-    return assign(rows.filter(F.col("side") != "val"), model), model
+    return assign(rows.filter(F.col("side") != "val"), model).persist(), model
 
 
 def predictions(rows: DataFrame, n_classes: int) -> DataFrame:

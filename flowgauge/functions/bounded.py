@@ -49,10 +49,11 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an input that comes in too few pieces (one small file).
 
-    Large inputs already have more partitions than cores and are left as they are.
+    Large inputs already have more partitions than cores and are left as they
+    are; what is dealt out here is at most a few splits and is kept in memory.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores).persist() if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
