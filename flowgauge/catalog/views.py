@@ -19,7 +19,7 @@ DIM = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -31,7 +31,11 @@ def row_key() -> Column:
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus",
+    ))
+    return lines.select(
         row_key().alias("row_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         F.concat("l_returnflag", "l_linestatus").alias("label"),
@@ -81,7 +85,7 @@ def latent(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("z")
     )
-    split = stratified_split(rows, RATIOS, [42], "y", "row_id")
+    split = stratified_split(spread(rows), RATIOS, [42], "y", "row_id")
     return split.select("row_id", "y", "z", F.col("split").alias("side")).persist()
 
 

@@ -39,18 +39,26 @@ def value_bounds(
     """Ascending quantile bounds that cut ``value`` into buckets of bounded size.
 
     Empty for inputs that fit one bucket.  The bounds only steer balance; any
-    bounds give the same result.
+    bounds give the same result.  One pass counts the rows and takes a first set of quantiles;
+    only a table past their resolution is read once more.
     """
-    if n_rows is None:
-        n_rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n_rows / rows_per_bucket))
+    if n_rows is not None and n_rows <= rows_per_bucket:
+        return []
+    coarse = 256
+
+    def quantiles(count: int) -> Column:
+        return F.percentile_approx(value, [i / count for i in range(1, count)], max(10_000, 4 * count))
+
+    first = df.agg(F.count(F.lit(1)).alias("n"), quantiles(coarse).alias("q")).first()
+    buckets = min(MAX_BUCKETS, math.ceil(first.n / rows_per_bucket))
     if buckets <= 1:
         return []
-    points = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        F.percentile_approx(value, points, max(10_000, 4 * buckets)).alias("q")
-    ).first()
-    return sorted({float(v) for v in row.q or [] if v is not None and math.isfinite(v)})
+    found = first.q
+    if buckets > coarse:
+        found = df.agg(quantiles(buckets).alias("q")).first().q
+    elif buckets < coarse:
+        found = [found[round(i * coarse / buckets) - 1] for i in range(1, buckets)] if found else []
+    return sorted({float(v) for v in found or [] if v is not None and math.isfinite(v)})
 
 
 def with_bucket(df: DataFrame, value: str, bounds: list[float], out: str) -> DataFrame:
@@ -75,30 +83,45 @@ def running(
     aggregates: dict[str, tuple[str, str]],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     n_rows: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running aggregates in ascending order of ``order``.
 
     ``aggregates`` maps an output name to (``sum`` | ``min`` | ``max``, column).
-    ``order`` must be distinct within a key (aggregate equal values first).
+    ``totals`` maps further names to columns whose sum over the whole key is
+    wanted on every row.  ``order`` must be distinct within a key (aggregate
+    equal values first).
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    totals = totals or {}
     bounds = value_bounds(df, F.col(order).cast("double"), rows_per_bucket, n_rows)
+    whole = W.partitionBy(*keys)
     if not bounds:
-        w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({o: fold[f](c).over(w) for o, (f, c) in aggregates.items()})
+        w = whole.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        everything = whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return df.withColumns({
+            **{o: fold[f](c).over(w) for o, (f, c) in aggregates.items()},
+            **{o: F.sum(c).over(everything) for o, c in totals.items()},
+        })
     tagged = with_bucket(df.withColumn("_axis", F.col(order).cast("double")), "_axis", bounds, "_bucket")
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, "_bucket")
-        .agg(*[fold[f](c).alias(f"_t_{o}") for o, (f, c) in aggregates.items()])
-        .withColumns({f"_o_{o}": fold[f](f"_t_{o}").over(before) for o, (f, _) in aggregates.items()})
-        .drop(*[f"_t_{o}" for o in aggregates])
+        .agg(
+            *[fold[f](c).alias(f"_t_{o}") for o, (f, c) in aggregates.items()],
+            *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()],
+        )
+        .withColumns({
+            **{f"_o_{o}": fold[f](f"_t_{o}").over(before) for o, (f, _) in aggregates.items()},
+            **{o: F.sum(f"_t_{o}").over(whole) for o in totals},
+        })
+        .drop(*[f"_t_{o}" for o in [*aggregates, *totals]])
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     joined = (
         tagged.alias("l")
         .join(bounded_side(offsets).alias("r"), same_key("l", "r", [*keys, "_bucket"]))
-        .select("l.*", *[f"r._o_{o}" for o in aggregates])
+        .select("l.*", *[f"r._o_{o}" for o in aggregates], *[f"r.{o}" for o in totals])
     )
 
     def combined(out: str, name: str, col: str) -> Column:

@@ -70,17 +70,19 @@ def cluster_table(
     table with majority -1 and no members; otherwise centroids are the means.
     """
     keys = keys or []
-    stats = majority_labels(df, keys, "cluster_id", y)
     if model is None:
-        means = mean_vectors(df, [*keys, "cluster_id"], z)
-        return (
-            means.alias("l")
-            .join(stats.alias("r"), same_key("l", "r", [*keys, "cluster_id"]))
-            .select(
-                *[f"l.{k}" for k in keys], "l.cluster_id", "l.centroid", "r.majority_y",
-                F.col("r.n_train").cast("bigint").alias("n_train"),
-            )
+        # One pass: counts and vector sums per (cluster, label) give label votes and means.
+        votes = df.groupBy(*keys, "cluster_id", F.col(y).alias("_y")).agg(
+            F.count(F.lit(1)).alias("_n"), Summarizer.sum(array_to_vector(F.col(z))).alias("_s")
+        )
+        merged = votes.groupBy(*keys, "cluster_id").agg(
+            vector_to_array(Summarizer.sum(F.col("_s"))).alias("_s"),
+            F.max_by("_y", F.struct(F.col("_n"), -F.col("_y"))).cast("int").alias("majority_y"),
+            F.sum("_n").cast("bigint").alias("n_train"),
         )
+        centre = F.transform("_s", lambda v: v / F.col("n_train"))
+        return merged.select(*keys, "cluster_id", centre.alias("centroid"), "majority_y", "n_train")
+    stats = majority_labels(df, keys, "cluster_id", y)
     base = local_table(df.sparkSession, list(zip(model.ids, model.centroids, strict=True)), "cluster_id int, centroid array<double>"
     )
     return (
@@ -215,13 +217,13 @@ def _packed_blocks(df: DataFrame, keys: list[str], group: str, z: str, row_id: s
     """Rows packed into dense blocks of about ``block_rows`` points, per key."""
     keyed = df.select(
         *keys, F.col(group).cast("int").alias("_g"), F.col(row_id).cast("string").alias("_row"), F.col(z).alias("_z")
-    ).withColumn("_one", F.lit(0))
-    counts = bounded_side(keyed.groupBy(*keys, "_one").agg(
+    ).withColumn("_unit", F.lit(0))
+    counts = bounded_side(keyed.groupBy(*keys, "_unit").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")
     ))
     blocked = (
         keyed.alias("l")
-        .join(counts.alias("r"), same_key("l", "r", [*keys, "_one"]))
+        .join(counts.alias("r"), same_key("l", "r", [*keys, "_unit"]))
         .select("l.*", "r._blocks")
         .withColumn("_block", F.pmod(hex_int(hash_hex("block", F.col("_row"))), F.col("_blocks")).cast("int"))
     )

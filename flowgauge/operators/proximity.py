@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_side
-from ..functions.ordering import ROWS_PER_BUCKET, running_sum, same_key, value_bounds
+from ..functions.ordering import ROWS_PER_BUCKET, running, running_sum
 
 TEST, TRAIN = "test", "train"
 
@@ -49,15 +49,11 @@ def ks_from_counts(
     n_rows: int | None = None,
 ) -> DataFrame:
     """``ks`` per key from distinct-value counts; 0 where a side is empty."""
-    one = counts.withColumn("_one", F.lit(0))
-    run = running_sum(
-        one, [*keys, "_one"], "value", {"_ct": "n_test", "_cr": "n_train"}, rows_per_bucket, n_rows
-    )
-    totals = bounded_side(
-        one.groupBy(*keys, "_one").agg(F.sum("n_test").alias("_nt"), F.sum("n_train").alias("_nr"))
-    )
-    joined = run.alias("l").join(totals.alias("r"), same_key("l", "r", [*keys, "_one"])).select(
-        "l.*", "r._nt", "r._nr"
+    # The ordering reads the counts more than once (quantiles, bucket totals, curves).
+    one = counts.withColumn("_one", F.lit(0)).persist()
+    joined = running(
+        one, [*keys, "_one"], "value", {"_ct": ("sum", "n_test"), "_cr": ("sum", "n_train")}, rows_per_bucket, n_rows,
+        totals={"_nt": "n_test", "_nr": "n_train"},
     )
     both = (F.col("_nt") > 0) & (F.col("_nr") > 0)
     gap = _gap(alternative, F.col("_ct") / F.col("_nt"), F.col("_cr") / F.col("_nr"))
@@ -112,7 +108,7 @@ def ks_by_bin(binned: DataFrame, train: DataFrame, n_bins: int, rows_per_bucket:
     ).select("pos", "value", F.lit(0).cast("bigint").alias("n_test"), F.lit(None).cast("int").alias("bin"), "n_train")
     counts = test.unionByName(base).groupBy("pos", "value").agg(
         F.sum("n_test").alias("n_test"), F.sum("n_train").alias("n_train"), F.min("bin").alias("bin")
-    )
+    ).persist()
     run = running_sum(counts, ["pos"], "value", {"_ct": "n_test", "_cr": "n_train"}, rows_per_bucket)
     # Members of every (cluster, bin), accumulated into one array per cluster:
     # a table of clusters x bins whatever the number of rows.
