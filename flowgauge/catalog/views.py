@@ -14,6 +14,10 @@ from ..operators.clustering import seed_cells
 from ..operators.sampling import stratified_split
 
 FEATURES = ["quantity", "extendedprice", "discount", "tax"]
+LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus",
+]
 RATIOS = {"train": 0.6, "val": 0.2, "test": 0.2}
 DIM = 64
 
@@ -31,10 +35,7 @@ def row_key() -> Column:
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spread(table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    ))
+    lines = spread(table(spark, sf, "lineitem").select(*LINE_COLUMNS))
     return lines.select(
         row_key().alias("row_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
@@ -45,7 +46,8 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
 def dirty_flows(spark: SparkSession, sf: str) -> DataFrame:
     """Flows with missing, infinite and repeated rows, a text and a constant column."""
     inf = float("inf")
-    raw = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem").select(*LINE_COLUMNS))
+    raw = lines.select(
         row_key().alias("row_id"),
         F.when(F.col("l_partkey") % 97 == 0, float("nan")).otherwise(F.col("l_quantity")).alias("quantity"),
         F.col("l_extendedprice").alias("extendedprice"),
