@@ -57,15 +57,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session has
-    one; a temporary folder is made only where it is unset (single-machine tests).
+    Where it is unset, a session on one machine (master ``local[...]``) uses FLOWGAUGE_WORK_DIR or the temporary
+    folder of that machine; on a cluster it is an error, as executors do not share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ.get("FLOWGAUGE_WORK_DIR") or tempfile.mkdtemp(prefix="flowgauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.environ.get("FLOWGAUGE_WORK_DIR") or os.path.join(tempfile.gettempdir(), "flowgauge-work")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
