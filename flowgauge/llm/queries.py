@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, sharding, token_orc
+from . import common, minhash, packing, sharding, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_extendible_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.documents(spark, sf_dir), SHARD_BYTES)
+
+
+@query("op2_minhash_groups")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_groups(common.documents(spark, sf_dir))
