@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, minhash, packing, sharding, token_orc
+from . import common, minhash, packing, quality, sharding, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +50,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_groups")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(common.documents(spark, sf_dir))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+    return out.withColumn("rejected_by", F.concat_ws(",", "rejected_by"))

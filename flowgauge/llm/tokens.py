@@ -108,7 +108,7 @@ class Encoder:
             for ids in self.whole(some):
                 out[odd.pop(0)] = ids
         places = iter(safe)
-        for some in slices([texts[i] for i in safe], 1 << 22):
+        for some in slices([texts[i] for i in safe]):
             for ids in self._slice(some):
                 out[next(places)] = ids
         return out
