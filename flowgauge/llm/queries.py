@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, packing, quality, sharding, token_orc
+from . import common, linededup, minhash, packing, quality, sharding, token_orc, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
     return out.withColumn("rejected_by", F.concat_ws(",", "rejected_by"))
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.repeats(common.documents(spark, sf_dir))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return out.withColumn("spans", F.concat_ws(",", spans))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(common.documents(spark, sf_dir), common.labels(spark, sf_dir))

@@ -27,7 +27,8 @@ from .common import Words, slices, utf8, written
 BITS = 18
 MAX_DOCS = 6000
 PREFIXES = (4, 5)
-STEPS, RATE, DECAY = 120, 0.15, 1e-4
+STEPS, RATE = 120, 0.15
+DECAY, SPARSE = 1e-4, 1e-4  # pulls on a weight: in proportion to it, and the same for all
 THRESHOLD = 0.3
 
 _STOP = np.zeros(256, dtype=bool)
@@ -86,7 +87,7 @@ class Model:
         for some in slices(texts):
             found = Sentences(some)
             p = 1 / (1 + np.exp(-np.clip(found.logits(self.weights, self.bias), -30, 30)))
-            clean = np.bincount(found.owner, np.log1p(-p), minlength=len(some))
+            clean = np.bincount(found.owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(some))
             begins, ends = found.spans()
             bounds = np.searchsorted(found.owner, np.arange(len(some) + 1))
             letters = np.concatenate([[0], np.cumsum((found.words.symbols & 0xC0) != 0x80)])
@@ -180,14 +181,16 @@ def train(features: np.ndarray, begins: np.ndarray, owner: np.ndarray, y: np.nda
     for step in range(1, STEPS + 1):
         z = np.bincount(place, w[column], minlength=len(begins)) + bias[0]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_q = np.bincount(owner, np.log1p(-p), minlength=len(y))
+        log_q = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         q = np.exp(log_q)
         pull = np.where(y == 1, q / np.maximum(1 - q, 1e-9), -1.0) * cost
         slope = pull[owner] * p  # of the log-likelihood by the logit of each sentence
-        gradient = np.append(np.bincount(column, slope[place], minlength=size) - DECAY * len(y) * w, slope.sum()) / len(y)
+        pulls = DECAY * w + SPARSE * np.tanh(w / 0.05)
+        gradient = np.append(np.bincount(column, slope[place], minlength=size) / len(y) - pulls, slope.sum() / len(y))
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        rate = RATE * (1 - (step - 1) / STEPS)
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += np.where(used, move[:-1], 0)
         bias += move[-1]
     return Model(w.astype(np.float32), float(bias[0]))
