@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, linededup, minhash, packing, quality, sharding, token_orc, toxicity
+from . import common, fingerprint, linededup, minhash, packing, quality, sharding, token_orc, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,3 +68,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
+@query("op1_weighted_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(common.documents(spark, sf_dir))

@@ -28,7 +28,7 @@ BITS = 18
 MAX_DOCS = 6000
 PREFIXES = (4, 5)
 STEPS, RATE = 120, 0.15
-DECAY, SPARSE = 1e-4, 1e-4  # pulls on a weight: in proportion to it, and the same for all
+DECAY, SPARSE = 1e-4, 3e-4  # pulls on a weight: in proportion to it, and the same for all
 THRESHOLD = 0.3
 
 _STOP = np.zeros(256, dtype=bool)
