@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, linededup, minhash, packing, quality, sharding, token_orc, toxicity
+from . import common, fingerprint, license, linededup, minhash, packing, quality, sharding, token_orc, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,3 +73,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_weighted_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(common.documents(spark, sf_dir))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(common.documents(spark, sf_dir))
