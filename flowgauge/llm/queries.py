@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, license, linededup, minhash, packing, quality, sharding, token_orc, toxicity
+from . import common, fingerprint, license, linededup, minhash, packing, pieces, quality, sharding, token_orc, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(common.documents(spark, sf_dir))
+
+
+@query("op8_pieces_round_trip")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(common.documents(spark, sf_dir), model)
+    texts = ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                       token_orc.ids_crc32(F.col("ids")).alias("ids_crc32"), pieces.decode(F.col("ids"), model).alias("text"))
+    return texts.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
