@@ -1,18 +1,55 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that stay, with all columns of ``documents``; the last one
+gives the pieces of the packed sequences.  ``run`` writes every stage's result before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.llm import common
+from flowgauge.llm import common, linededup, minhash, packing, quality, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: Learned thresholds, learned scores and tokenizers are beyond SQL; tests compare with brute force.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base checks and the certified rules keep."""
+    return quality.keep_good(docs, common.labels(spark, sf_dir))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    return toxicity.drop_toxic(docs, common.labels(spark, sf_dir))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one has."""
+    return linededup.cut_repeats(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they stand in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("line_dedup", repeated_passages),
+    ("packing", packed_sequences),
+]
+
+#: Learned cutoffs and scores and tokenizers are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
