@@ -105,7 +105,7 @@ def _candidates(spark, sf):
     rows = latent(spark, sf)
     model, _ = cell_model(rows)
     h = F.conv(F.substring(F.md5(F.col("row_id").cast("string")), 1, 4), 16, 10).cast("int")
-    return base_scores(rows.filter("side <> 'val'"), model), rows.filter("side = 'val'").withColumn("batch", h % 4)
+    return base_scores(rows.filter("side <> 'val'"), model, m=128), rows.filter("side = 'val'").withColumn("batch", h % 4)
 
 
 @query("a4_candidate_scores", _A4 + " SELECT batch::INT AS batch, round(proximity, 6) AS proximity, round(scarcity, 6) AS scarcity FROM px JOIN sx USING (batch)")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.diversity import diversity, order_two_diversity
+from ..operators.diversity import covariance_partials, diversity, order_two_diversity
 from ..operators.proximity import ks, proximity
 from ..operators.sampling import stratified_split
 from ..operators.scarcity import gini, scarcity
@@ -30,10 +30,42 @@ def m1(spark, sf):
     return rounded(diversity(_test(rows), ["pos"], method="exact"), "diversity")
 
 
+_HASHED = "((('0x' || substr(md5('42:' || i || ':' || j || ':{0}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+@query("m1d_diversity_matrix", ASSIGNED_SQL + f""", omega AS (
+  SELECT j, list(sqrt(2.0) * sqrt(-2 * ln({_HASHED.format("u")})) * cos(2 * pi() * {_HASHED.format("v")}) ORDER BY i) AS w
+  FROM range(64) a(i), range(2) b(j) GROUP BY j),
+angles AS (
+  SELECT a.pos, a.row_id, list(list_dot_product(l.z, o.w) ORDER BY o.j) AS t
+  FROM assigned a JOIN latent l USING (row_id), omega o WHERE a.side = 'test' GROUP BY a.pos, a.row_id),
+phi AS (SELECT pos, [cos(t[1]), cos(t[2]), sin(t[1]), sin(t[2])] AS p FROM angles)
+SELECT pos, r::INT AS i, c::INT AS j, round(sum(p[r + 1] * p[c + 1] / 2), 6) AS total
+FROM phi, range(4) x(r), range(4) y(c) GROUP BY pos, r, c""")
+def m1d(spark, sf):
+    """What the feature form rests on: the summed outer products, here of two frequencies."""
+    rows, _ = assessed(latent(spark, sf))
+    sums = covariance_partials(_test(rows), ["pos"], m=2)
+    cells = sums.select("pos", F.posexplode("total").alias("k", "total"))
+    return rounded(cells.select("pos", F.floor(F.col("k") / 4).cast("int").alias("i"), (F.col("k") % 4).alias("j"), "total"), "total")
+
+
+@query("m1e_diversity_of_pairs", """WITH e AS (SELECT vec_id, vec_id // 2 AS pair, embedding::DOUBLE[] AS z FROM embeddings),
+k AS (SELECT a.pair, exp(-0.5 * list_distance(a.z, b.z) ** 2) AS k FROM e a LEFT JOIN e b ON a.pair = b.pair AND a.vec_id < b.vec_id
+  WHERE a.vec_id % 2 = 0)
+SELECT pair, CASE WHEN k IS NULL THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN k IS NULL THEN 0.0 ELSE
+  round(exp(-((1 + k) / 2 * ln((1 + k) / 2) + (1 - k) / 2 * ln((1 - k) / 2))) - 1, 6) END::DOUBLE AS diversity FROM k""")
+def m1e(spark, sf):
+    """Two points have the eigenvalues (1 + k) / 2 and (1 - k) / 2."""
+    rows = table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 2).alias("pair"), F.col("embedding").cast("array<double>").alias("z"))
+    return rounded(diversity(rows, ["pair"], gamma=0.5, method="exact").select("pair", "n", "diversity"), "diversity")
+
+
 @query("m1b_diversity_features")
 def m1b(spark, sf):
     rows, _ = assessed(flow_latent(spark, sf))
-    return rounded(diversity(_test(rows), ["pos"], method="rff", m=128), "diversity")
+    return rounded(diversity(_test(rows), ["pos"], method="rff", m=512), "diversity")
 
 
 @query(
@@ -280,15 +312,22 @@ def m14(spark, sf):
     return rounded(contrastive_loss(order_pairs(spark, sf, rows), rows, reconstruction=0.25), "contrastive", "total")
 
 
-_MEANS = ", ".join(f"round(avg({c}), 6)" for c in FEATURES)
-_STDS = ", ".join(f"round(stddev_pop({c}), 6)" for c in FEATURES)
+# Digits at which no mean of so many cents or hundredths lies near a half.
+_DIGITS = {"quantity": 6, "extendedprice": 4, "discount": 8, "tax": 8}
 
 
-@query("m15_feature_stats", FLOWS_SQL + f"SELECT [{_MEANS}, 7.0] AS means, [{_STDS}, 1.0] AS stds FROM flows")
+@query("m15_feature_stats", FLOWS_SQL + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), {d})::DOUBLE AS mean, round(stddev_pop({c}), {d})::DOUBLE AS std FROM flows"
+    for c, d in _DIGITS.items()) + " UNION ALL SELECT 'fixed', 7.0::DOUBLE, 1.0::DOUBLE")
 def m15(spark, sf):
     rows = flows(spark, sf).withColumn("fixed", F.lit(7.0))
-    stats = feature_stats(rows, [*FEATURES, "fixed"])
-    return stats.select(*[F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("means", "stds")])
+    names = [*_DIGITS, "fixed"]
+    stats = feature_stats(rows, names)
+    each = stats.select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), "means", "stds")).alias("s"))
+    digits = F.coalesce(F.create_map(*[F.lit(x) for pair in _DIGITS.items() for x in pair])[F.col("s.feature")], F.lit(6))
+    scale = F.pow(F.lit(10.0), digits)
+    return each.select("s.feature", (F.round(F.col("s.means") * scale) / scale).alias("mean"),
+                       (F.round(F.col("s.stds") * scale) / scale).alias("std"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -27,6 +28,13 @@ from .sampling import stratified_folds
 from .scores import balanced_weights, classification_metrics
 
 KINDS = ("random_forest", "svm", "dnn")
+#: The deepest tree that Spark ML grows.
+MAX_DEPTH = 30
+OPTIONS = {
+    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features"},
+    "svm": {"C", "gamma", "max_iter", "m", "n_rows", "kernel_col"},
+    "dnn": {"hidden_dims", "epochs", "tol", "learning_rate"},
+}
 
 
 class ModelError(ValueError):
@@ -52,7 +60,7 @@ def _estimator(kind: str, params: dict, seed: int, dim: int, n_classes: int) ->
     columns = {"featuresCol": "_vec", "labelCol": "_label"}
     if kind == "random_forest":
         return RandomForestClassifier(
-            numTrees=params.get("n_estimators", 200), maxDepth=min(30, params.get("max_depth", 10)),
+            numTrees=params.get("n_estimators", 200), maxDepth=_depth(params.get("max_depth", 10)),
             minInstancesPerNode=params.get("min_samples_leaf", 1),
             featureSubsetStrategy=params.get("max_features", "sqrt"), weightCol="weight", seed=seed, **columns,
         )
@@ -65,8 +73,9 @@ def _estimator(kind: str, params: dict, seed: int, dim: int, n_classes: int) ->
     if kind == "dnn":
         hidden = params.get("hidden_dims", [128, 128, 128])
         return MultilayerPerceptronClassifier(
-            layers=[dim, *hidden, n_classes], maxIter=params.get("epochs", 100), tol=params.get("tol", 1e-6),
-            stepSize=params.get("learning_rate", 0.03), blockSize=params.get("batch_size", 128), seed=seed, **columns,
+            layers=[dim, *hidden, n_classes], maxIter=params.get("epochs", 100), tol=params.get("tol", 1e-6), seed=seed,
+            # only gradient descent has a rate; without one the quasi-Newton solver is used
+            **({"solver": "gd", "stepSize": params["learning_rate"]} if "learning_rate" in params else {}), **columns,
         )
     raise ModelError(f"Unknown kind of model: {kind}. Known: {', '.join(KINDS)}")
 
@@ -89,11 +98,34 @@ class Kernel:
         return df.withColumn(self.column, array_to_vector(kernel_column(omega)(F.col("features"))))
 
 
-def _kernel(kind: str, params: dict, seed: int, dim: int) -> Kernel | None:
+def _depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ModelError(f"A tree can be at most {MAX_DEPTH} deep, not {depth}")
+    return depth
+
+
+def _check(kind: str, params: dict) -> None:
+    unknown = set(params) - OPTIONS[kind]
+    if unknown:
+        raise ModelError(f"{kind} has no option {', '.join(sorted(unknown))}; it has {', '.join(sorted(OPTIONS[kind]))}")
+
+
+def feature_variance(df: DataFrame) -> float:
+    """The variance of all feature values taken together, in one pass."""
+    value = F.explode("features").alias("v")
+    return float(df.select(value).agg(F.var_pop("v")).first()[0] or 0.0)
+
+
+def _kernel(kind: str, params: dict, seed: int, dim: int, variance: float) -> Kernel | None:
+    """Gamma "scale" is 1 / (dim * variance of the features), "auto" is 1 / dim."""
     if kind != "svm":
         return None
     gamma = params.get("gamma", "scale")
-    return Kernel(dim, params.get("m", 128), float(gamma) if isinstance(gamma, (int, float)) else 1.0 / dim, seed)
+    if gamma == "scale":
+        gamma = 1.0 / (dim * variance) if variance > 0 else 1.0
+    elif gamma == "auto":
+        gamma = 1.0 / dim
+    return Kernel(dim, params.get("m", 128), float(gamma), seed)
 
 
 class FittedClassifier:
@@ -159,15 +191,29 @@ class FittedClassifier:
         return FittedClassifier(a.kind, PipelineModel.load(f"{path}/model"), a.n_classes, kernel)
 
 
-def fit_classifier(df: DataFrame, kind: str, params: dict | None = None, seed: int = 42) -> FittedClassifier:
-    """Fit on ``features, y`` with balanced class weights."""
+def fit_classifier(
+    df: DataFrame, kind: "str | Estimator", params: dict | None = None, seed: int = 42
+) -> FittedClassifier:
+    """Fit on ``features, y``.
+
+    ``kind`` is a known name or any Spark ML classifier of the caller's own, whose features and label columns are set.
+    Forest and kernel machine use balanced class weights, as does an own classifier that takes weights; the feed-forward
+    network takes none.
+    """
+    params = dict(params or {})
+    if isinstance(kind, Estimator):
+        own = kind.copy({kind.getParam(k): v for k, v in params.items()})
+        columns = {"featuresCol": "_vec", "labelCol": "_label", "weightCol": "weight"}
+        own = own.copy({own.getParam(k): v for k, v in columns.items() if own.hasParam(k)})
+        n_classes = int(df.agg(F.max("y")).first()[0]) + 1
+        return FittedClassifier("own", Pipeline(stages=[own]).fit(balanced_weights(with_vectors(df))), n_classes)
     if kind not in KINDS:
         raise ModelError(f"Unknown kind of model: {kind}. Known: {', '.join(KINDS)}")
-    params = dict(params or {})
+    _check(kind, params)
     dim = len(df.select("features").first()[0])
     n_classes = int(df.agg(F.max("y")).first()[0]) + 1
     train = balanced_weights(with_vectors(df))
-    kernel = _kernel(kind, params, seed, dim)
+    kernel = _kernel(kind, params, seed, dim, feature_variance(df) if kind == "svm" else 0.0)
     if kernel:
         params.setdefault("n_rows", df.count())
         params["kernel_col"] = kernel.column
@@ -189,16 +235,15 @@ class MacroF1Evaluator(Evaluator):
         return True
 
 
-# The default search grids, by kind.
+# The default search grids, by kind. Depth 50 is beyond Spark ML's trees, so the deepest that it grows
+# stands in for it; sizes of batches are left out, as its network is fitted on all rows at once.
 GRIDS = {
     "random_forest": {
-        "n_estimators": [50, 100, 200, 500], "max_depth": [10, 20, 50], "min_samples_leaf": [1, 2, 4],
+        "n_estimators": [50, 100, 200, 500], "max_depth": [10, 20, MAX_DEPTH], "min_samples_leaf": [1, 2, 4],
         "max_features": ["sqrt", "log2"],
     },
     "svm": {"C": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", "auto", 0.001, 0.01, 0.1, 1.0]},
-    "dnn": {
-        "learning_rate": [0.0001, 0.0005, 0.001, 0.005, 0.01], "batch_size": [64, 128, 256], "epochs": [50, 100, 200],
-    },
+    "dnn": {"learning_rate": [0.0001, 0.0005, 0.001, 0.005, 0.01], "epochs": [50, 100, 200]},
 }
 
 
@@ -221,7 +266,10 @@ def grid_search(
     dim = len(df.select("features").first()[0])
     n_classes = int(df.agg(F.max("y")).first()[0]) + 1
     data = balanced_weights(with_vectors(stratified_folds(df, folds, seed, row_id=row_id)))
-    kernels = [_kernel(kind, p, seed, dim) for p in points]
+    for p in points:
+        _check(kind, p)
+    variance = feature_variance(df) if kind == "svm" else 0.0
+    kernels = [_kernel(kind, p, seed, dim, variance) for p in points]
     for kernel in {k for k in kernels if k}:
         data = kernel.add(data)
     data = data.persist()
@@ -253,8 +301,7 @@ def retrain_and_score(
     if extra is not None:
         rows = rows.unionByName(extra.select("features", "y"))
     rows = rows.persist()
-    out = None
-    for kind, params in kinds.items():
-        part = fit_classifier(rows, kind, params, seed).evaluate(holdout).select(F.lit(kind).alias("model"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    models = {kind: fit_classifier(rows, kind, params, seed) for kind, params in kinds.items()}
+    rows.unpersist()
+    parts = [m.evaluate(holdout).select(F.lit(kind).alias("model"), "*") for kind, m in models.items()]
+    return reduce(DataFrame.unionByName, parts)

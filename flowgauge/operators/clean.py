@@ -152,7 +152,8 @@ def fit_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     Class labels are few, so they are numbered from a bounded list; a label set
     past the bound is sorted and numbered in parallel.
     """
-    labels = df.select(_c(label_col).cast("string").alias("label")).distinct()
+    # a NULL label has no code: applying the codes to its rows is an error by name
+    labels = df.select(_c(label_col).cast("string").alias("label")).where("label is not null").distinct()
     schema = "label string, y int"
     rows = bounded_rows(labels)
     if rows is not None:

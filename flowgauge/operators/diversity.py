@@ -1,23 +1,31 @@
-"""Vendi diversity: exact for small groups, additive random features for large ones."""
+"""Vendi diversity by additive random features, or exact where a caller asks for it.
+
+The method never depends on the number of rows.  Random features (the default) give one matrix of fixed size per key
+that partials add up to; the exact form holds all distinct points of a key in one task and is for keys known to be small.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_side
-from ..functions.ordering import same_key
+from .assign import as_matrix
 from .clustering import block_sums
 
 DEFAULT_FREQUENCIES = 512
-DEFAULT_CAP = 3000
+METHODS = ("rff", "exact")
+# Matrices that a task holds before it hands them on.
+HELD_BYTES = 128 << 20
 # Rows of one shuffled piece of a covariance matrix.
 COVARIANCE_ROWS = 64
 
@@ -53,9 +61,19 @@ def weighted_vendi(points: np.ndarray, weights: np.ndarray, kernel) -> float:
     return spectral_score(np.linalg.eigvalsh(kernel(points) * root[:, None] * root[None, :]))
 
 
+def _hash_unit(text: str) -> float:
+    return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 2.0**48
+
+
 def frequencies(dim: int, m: int, gamma: float, seed: int) -> np.ndarray:
-    """Random Fourier frequencies of exp(-gamma |x-y|^2) (Rahimi and Recht, 2007)."""
-    return np.random.default_rng(seed).normal(0.0, np.sqrt(2.0 * gamma), size=(dim, m))
+    """Random Fourier frequencies of exp(-gamma |x-y|^2) (Rahimi and Recht, 2007).
+
+    Normal draws of ``seed:dimension:frequency`` by the library's hash, which SQL can recompute.
+    """
+    draws = [[
+        math.sqrt(-2.0 * math.log(_hash_unit(f"{seed}:{i}:{j}:u"))) * math.cos(2.0 * math.pi * _hash_unit(f"{seed}:{i}:{j}:v"))
+        for j in range(m)] for i in range(dim)]
+    return math.sqrt(2.0 * gamma) * np.array(draws).reshape(dim, m)
 
 
 def fourier_features(points: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -99,17 +117,9 @@ def covariance_partials(
     result is additive: partials of disjoint rows just sum.
     """
     schema = _key_schema(df, keys) + "part int, vec array<double>, n bigint"
+    held = max(1, HELD_BYTES // (8 * 4 * m * m))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        omega, totals, counts = None, {}, {}
-        for pdf in batches:
-            for key, rows in pdf.groupby(keys, dropna=False, sort=False):
-                points = np.stack(rows["z"].to_numpy())
-                if omega is None:
-                    omega = frequencies(points.shape[1], m, gamma, seed)
-                phi = fourier_features(points, omega)
-                totals[key] = totals[key] + phi.T @ phi if key in totals else phi.T @ phi
-                counts[key] = counts.get(key, 0) + len(points)
+    def pieces(totals: dict, counts: dict) -> Iterator[pd.DataFrame]:
         for key, matrix in totals.items():
             out = []
             for part, start in enumerate(range(0, 2 * m, COVARIANCE_ROWS)):
@@ -117,6 +127,25 @@ def covariance_partials(
                 out.append((*key, part, piece.ravel(), counts[key] if part == 0 else 0))
             yield pd.DataFrame(out, columns=[*keys, "part", "vec", "n"])
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        omega, totals, counts = None, {}, {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            points = as_matrix(pa.array(pdf["z"], type=pa.list_(pa.float64())))
+            if omega is None:
+                omega = frequencies(points.shape[1], m, gamma, seed)
+            for key, places in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                phi = fourier_features(points[places], omega)
+                if key not in totals and len(totals) >= held:
+                    # partials add up, so what is held can be handed on at any time
+                    yield from pieces(totals, counts)
+                    totals, counts = {}, {}
+                totals[key] = totals[key] + phi.T @ phi if key in totals else phi.T @ phi
+                counts[key] = counts.get(key, 0) + len(places)
+        yield from pieces(totals, counts)
+
     return add_covariances(df.select(*keys, F.col(z).alias("z")).mapInPandas(fold, schema), keys, "vec")
 
 
@@ -126,18 +155,22 @@ def add_covariances(partials: DataFrame, keys: list[str], vec: str = "total") ->
     )
 
 
+def unpacked(pdf: pd.DataFrame, m: int) -> np.ndarray:
+    """The symmetric matrix behind its stored pieces."""
+    upper = np.zeros((2 * m, 2 * m))
+    for part, vec in zip(pdf["part"], pdf["total"], strict=True):
+        start = part * COVARIANCE_ROWS
+        upper[start : start + COVARIANCE_ROWS, start:] = np.asarray(vec).reshape(-1, 2 * m - start)
+    return np.triu(upper) + np.triu(upper, 1).T
+
+
 def covariance_scores(
     partials: DataFrame, keys: list[str], m: int = DEFAULT_FREQUENCIES, normalize: bool = True
 ) -> DataFrame:
     """Score per key from summed outer products (one 2m x 2m matrix per key)."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].sum())
-        upper = np.zeros((2 * m, 2 * m))
-        for part, vec in zip(pdf["part"], pdf["total"], strict=True):
-            start = part * COVARIANCE_ROWS
-            upper[start : start + COVARIANCE_ROWS, start:] = np.asarray(vec).reshape(-1, 2 * m - start)
-        full = np.triu(upper) + np.triu(upper, 1).T
+        n, full = int(pdf["n"].sum()), unpacked(pdf, m)
         score = spectral_score(np.linalg.eigvalsh(full / max(n, 1))) if n > 1 else 1.0
         out = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**out, "diversity": [normalised(score, n, normalize)], "n": [n], "method": [f"rff{m}"]})
@@ -151,20 +184,18 @@ def diversity(
     keys: list[str] | None = None,
     gamma: float = 1.0,
     normalize: bool = True,
-    method: str = "auto",
+    method: str = "rff",
     m: int = DEFAULT_FREQUENCIES,
-    cap: int = DEFAULT_CAP,
     seed: int = 42,
     z: str = "z",
     kernel=None,
 ) -> DataFrame:
-    """``diversity, n, method`` per key.
+    """``diversity, n, method`` per key, by one method for all keys.
 
-    ``auto`` scores a key exactly while its distinct points stay within ``cap`` and by random
-    features past it (Ospanov et al., 2024), naming the method in the
-    result.  No row is left out in either case.
+    ``rff``: random Fourier features (Ospanov et al., 2024) with ``m`` frequencies.  ``exact``: the kernel matrix of a
+    key's distinct points, in one task per key.
     """
-    if method not in ("auto", "exact", "rff"):
+    if method not in METHODS:
         raise ValueError(f"Unknown diversity method: {method}")
     if kernel is not None and method != "exact":
         raise ValueError("A custom kernel needs method='exact'")
@@ -173,22 +204,8 @@ def diversity(
     if method == "exact":
         distinct = points.groupBy(*inner, "z").agg(F.count(F.lit(1)).alias("weight"))
         return exact_vendi(distinct, inner, gamma, normalize, kernel).select(*keys, "diversity", "n", "method")
-    if method == "rff":
-        partials = covariance_partials(points, inner, gamma, m, seed)
-        return covariance_scores(partials, inner, m, normalize).select(*keys, "diversity", "n", "method")
-    sizes = points.groupBy(*inner).agg(
-        F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("z").alias("_distinct")
-    )
-    routed = sizes.select(*inner, ((F.col("_n") > cap) & (F.col("_distinct") > cap)).alias("_large"))
-    route = bounded_side(routed)
-    any_large = routed.filter("_large").limit(1).count() > 0
-    tagged = points.alias("l").join(route.alias("r"), same_key("l", "r", inner)).select("l.*", "r._large")
-    small = tagged.filter(~F.col("_large")).groupBy(*inner, "z").agg(F.count(F.lit(1)).alias("weight"))
-    out = exact_vendi(small, inner, gamma, normalize)
-    if any_large:
-        large = covariance_partials(tagged.filter("_large"), inner, gamma, m, seed)
-        out = out.unionByName(covariance_scores(large, inner, m, normalize))
-    return out.select(*keys, "diversity", "n", "method")
+    partials = covariance_partials(points, inner, gamma, m, seed)
+    return covariance_scores(partials, inner, m, normalize).select(*keys, "diversity", "n", "method")
 
 
 def warn_if_coarse(gamma: float, dim: int, spread: float) -> None:

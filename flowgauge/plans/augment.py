@@ -12,7 +12,6 @@ from ..functions.ordering import running
 from ..operators.assign import ClusterModel, assign, negative_counts
 from ..operators.classify import retrain_and_score
 from ..operators.diversity import (
-    DEFAULT_CAP,
     DEFAULT_FREQUENCIES,
     add_covariances,
     covariance_partials,
@@ -36,15 +35,24 @@ class BaseScores:
     test: DataFrame  # pos, z of test rows
     points: DataFrame  # pos, z, weight of distinct test points
     scores: DataFrame  # pos, diversity, proximity, scarcity
+    diversity: "DiversityOptions"  # how base and candidates alike are scored
 
 
-def base_scores(df: DataFrame, clusters: "DataFrame | ClusterModel", gamma: float = 1.0,
-                bins: float | None = None, z: str = "z", y: str = "y") -> BaseScores:
+@dataclass(frozen=True)
+class DiversityOptions:
+    method: str = "rff"
+    m: int = DEFAULT_FREQUENCIES
+    seed: int = 42
+    gamma: float = 1.0
+
+
+def base_scores(df: DataFrame, clusters: "DataFrame | ClusterModel", gamma: float = 1.0, bins: float | None = None,
+                method: str = "rff", m: int = DEFAULT_FREQUENCIES, seed: int = 42, z: str = "z", y: str = "y") -> BaseScores:
     """Partials of ``side`` test / train rows; computed once, shared by all candidates."""
     from .assess import assess
 
     model = ClusterModel.load(clusters)
-    found = assess(df, model, gamma=gamma, bins=bins, z=z, y=y)
+    found = assess(df, model, gamma=gamma, method=method, m=m, seed=seed, bins=bins, z=z, y=y)
     test = found.assignments.filter(F.col("side") == "test")
     return BaseScores(
         model,
@@ -53,12 +61,12 @@ def base_scores(df: DataFrame, clusters: "DataFrame | ClusterModel", gamma: floa
         test.select("pos", F.col(z).alias("z")),
         test.groupBy("pos", F.col(z).alias("z")).agg(F.count(F.lit(1)).alias("weight")).persist(),
         found.cluster_scores.select(F.col("cluster_id").alias("pos"), "diversity", "proximity", "scarcity").persist(),
+        DiversityOptions(method, m, seed, gamma),
     )
 
 
 def candidate_scores(
-    base: BaseScores, batches: DataFrame, gamma: float = 1.0, bins: float | None = None, cap: int = DEFAULT_CAP,
-    m: int = DEFAULT_FREQUENCIES, seed: int = 42, z: str = "z", y: str = "y", batch: str = "batch",
+    base: BaseScores, batches: DataFrame, bins: float | None = None, z: str = "z", y: str = "y", batch: str = "batch",
 ) -> DataFrame:
     """Scores of test set plus batch, for every batch: ``batch, diversity, proximity, scarcity``.
 
@@ -80,7 +88,7 @@ def candidate_scores(
     values = with_base(base.values).select(*keys, "value", "n_test", "n_train").unionByName(added)
     values = values.groupBy(*keys, "value").agg(F.sum("n_test").alias("n_test"), F.sum("n_train").alias("n_train"))
     p = ks_from_counts(values, keys)
-    d = _candidate_diversity(base, rows, touched, keys, gamma, cap, m, seed)
+    d = _candidate_diversity(base, rows, touched, keys)
     pieces = (
         touched.join(d.select(*keys, "diversity"), keys, "left")
         .join(p.select(*keys, F.col("ks").alias("proximity")), keys, "left")
@@ -99,32 +107,19 @@ def candidate_scores(
     )
 
 
-def _candidate_diversity(base, rows, touched, keys, gamma, cap, m, seed) -> DataFrame:
-    own = rows.groupBy(*keys, "z").agg(F.count(F.lit(1)).alias("weight"))
-    sizes = base.points.groupBy("pos").agg(F.count(F.lit(1)).alias("_base"))
-    added = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_added"))
-    large = bounded_side(
-        added.join(sizes, "pos", "left")
-        .select(*keys, (F.coalesce("_base", F.lit(0)) + F.col("_added") > cap).alias("_large"))
-    )
-    both = touched.join(base.points, "pos").select(*keys, "z", "weight")
-    small_keys = large.filter(~F.col("_large")).select(*keys)
-    exact = exact_vendi(
-        both.join(small_keys, keys, "left_semi").unionByName(own.join(small_keys, keys, "left_semi"))
-        .groupBy(*keys, "z").agg(F.sum("weight").alias("weight")),
-        keys, gamma,
-    )
-    if not large.filter("_large").limit(1).count():
-        return exact
-    big = large.filter("_large").select(*keys)
-    shared = covariance_partials(
-        base.test.join(big.select("pos").distinct(), "pos", "left_semi"), ["pos"], gamma, m, seed
-    )
-    extra = covariance_partials(rows.join(big, keys, "left_semi"), keys, gamma, m, seed)
+def _candidate_diversity(base: BaseScores, rows: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of the touched (batch, cluster) pairs, by the base's own method and settings."""
+    o = base.diversity
+    if o.method == "exact":
+        own = rows.groupBy(*keys, "z").agg(F.count(F.lit(1)).alias("weight"))
+        both = touched.join(base.points, "pos").select(*keys, "z", "weight").unionByName(own)
+        return exact_vendi(both.groupBy(*keys, "z").agg(F.sum("weight").alias("weight")), keys, o.gamma)
+    shared = covariance_partials(base.test, ["pos"], o.gamma, o.m, o.seed)
+    extra = covariance_partials(rows, keys, o.gamma, o.m, o.seed)
     merged = add_covariances(
-        big.join(shared, "pos").select(*keys, "part", "total", "n").unionByName(extra), keys, "total"
+        touched.join(shared, "pos").select(*keys, "part", "total", "n").unionByName(extra), keys, "total"
     )
-    return exact.unionByName(covariance_scores(merged, keys, m))
+    return covariance_scores(merged, keys, o.m)
 
 
 def score_candidates(base: BaseScores, batches: DataFrame, weights: DataFrame | None = None, batch: str = "batch",
