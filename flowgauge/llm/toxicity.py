@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import Words, slices, utf8, written
 
 BITS = 18
-MAX_DOCS = 6000
+MAX_DOCS = 5000
 PREFIXES = (4, 5)
 STEPS, RATE = 120, 0.15
-DECAY, SPARSE = 1e-4, 3e-4  # pulls on a weight: in proportion to it, and the same for all
+DECAY, SPARSE = 1e-4, 4e-4  # pulls on a weight: in proportion to it, and the same for all
 THRESHOLD = 0.3
 
 _STOP = np.zeros(256, dtype=bool)
@@ -63,7 +63,7 @@ class Sentences:
     def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
         if not len(self.first_word):
             return np.empty(0)
-        return np.add.reduceat(weights[self.features].sum(axis=1), self.first_word) + bias
+        return np.add.reduceat(weights[self.features].sum(axis=1), self.first_word).astype(float) + bias
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets of each sentence in the joined texts."""
@@ -146,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
     """None without labels of both kinds."""
     rows, weight = sample(docs, labels, max_docs)
     bags = rows.mapInArrow(_bags, "toxic int, begins binary, features binary").toArrow()
-    y_all = np.array(bags.column("toxic").to_pylist(), dtype=int)
-    if len(set(y_all.tolist())) < 2:
+    labels_ = bags.column("toxic").to_pylist()
+    if len(set(labels_)) < 2:
         return None
     features, begins, owner, y, n_words, n_docs = [], [], [], [], 0, 0
-    for label, begin, feature in zip(y_all, bags.column("begins"), bags.column("features"), strict=True):
+    for label, begin, feature in zip(labels_, bags.column("begins"), bags.column("features"), strict=True):
         begin = np.frombuffer(begin.as_py(), dtype=np.int32)
         if len(begin):
             rows_ = np.frombuffer(feature.as_py(), dtype=np.int32).reshape(-1, 1 + len(PREFIXES))
@@ -160,20 +160,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
             y.append(label)
             n_words += len(rows_)
             n_docs += 1
-    return train(np.concatenate(features), np.concatenate(begins), np.concatenate(owner), np.array(y), weight)
+    whole = np.concatenate(features)
+    del bags, features
+    return train(whole, np.concatenate(begins), np.concatenate(owner), np.array(y), weight)
 
 
 def train(features: np.ndarray, begins: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: dict[int, float]) -> Model:
     """Adam steps on the likelihood of the labels under the noisy-or."""
     size, width = 1 << BITS, features.shape[1]
     # features that at most one toxic document has cannot be told from chance: they stay at zero and are left out
-    word_owner = np.repeat(owner, np.diff(np.append(begins, len(features))))
+    lengths = np.diff(np.append(begins, len(features)))
+    word_owner = np.repeat(owner.astype(np.int32), lengths)
     toxic = y[word_owner] == 1
-    pairs = np.unique(features[toxic].astype(np.int64) * len(y) + word_owner[toxic, None])
-    used = np.bincount(pairs // len(y), minlength=size) > 1
-    sentence = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(features))))
+    used = np.zeros(size, dtype=np.int32)
+    for k in range(width):
+        pairs = np.unique(features[toxic, k].astype(np.int64) * len(y) + word_owner[toxic])
+        used += np.bincount(pairs // len(y), minlength=size).astype(np.int32)
+    used = used > 1
+    del word_owner, toxic, pairs
+    sentence = np.repeat(np.arange(len(begins), dtype=np.int32), lengths)
     keep = used[features].ravel()
     place, column = np.repeat(sentence, width)[keep], features.ravel()[keep]
+    del sentence, keep, features
     # a feature that a sentence has several times counts as often
     w, bias = np.zeros(size), np.array([-4.0])
     m, v = np.zeros(size + 1), np.zeros(size + 1)
