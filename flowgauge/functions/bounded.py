@@ -46,14 +46,17 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[n for n, _ in fields]))
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that comes in too few pieces (one small file).
+    """Use all cores for a small input that comes in too few pieces (one file of a few row groups).
 
-    Large inputs already have more partitions than cores and are left as they
-    are; what is dealt out here is at most a few splits and is kept in memory.
+    Only what Spark estimates at up to ``SPREAD_BYTES`` is dealt out; larger inputs come in enough pieces.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores).persist() if df.rdd.getNumPartitions() * 2 <= cores else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -304,6 +304,7 @@ def kmeans_sweep(
     row_id: str = "row_id",
 ) -> tuple[DataFrame, dict]:
     """Fit every k below the row count; scores ``k, cost, silhouette, mode`` and the models."""
+    held = df.is_cached  # a caller's own cache stays as it is
     df = df.persist()
     n = df.count()
     usable = [k for k in (DEFAULT_KS if ks is None else ks) if k < n]
@@ -321,7 +322,8 @@ def kmeans_sweep(
         model, cost = fits[k]
         rows.append((k, cost, s, mode))
         models[k] = model
-    df.unpersist()
+    if not held:
+        df.unpersist()
     return local_table(df.sparkSession, rows, "k int, cost double, silhouette double, mode string"), models
 
 

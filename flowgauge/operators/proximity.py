@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_side
 from ..functions.ordering import ROWS_PER_BUCKET, running, running_sum
 
 TEST, TRAIN = "test", "train"
@@ -90,6 +93,37 @@ def proximity(assigned: DataFrame, keys: list[str] | None = None, alternative: s
     return ks(assigned, "neg_dist", "side", [*keys, "pos"], alternative, bins).withColumnRenamed("ks", "proximity")
 
 
+def _hull(test: np.ndarray, train: np.ndarray) -> list[int]:
+    """Places of the points of a curve that some a * test - b * train with a, b > 0 is largest at."""
+    kept: list[int] = []
+    for i in np.lexsort((-test, train)).tolist():
+        if kept and test[i] <= test[kept[-1]]:
+            continue
+        while len(kept) > 1:
+            (x0, y0), (x1, y1) = ((int(train[k]), int(test[k])) for k in kept[-2:])
+            if (y1 - y0) * (int(train[i]) - x0) > (int(test[i]) - y0) * (x1 - x0):
+                break
+            kept.pop()
+        kept.append(i)
+    return kept
+
+
+def corners(points: DataFrame) -> DataFrame:
+    """``pos, bin, _ct, _cr`` reduced, batch by batch, to what a maximum over a (cluster, bin) can be taken at.
+
+    The curve of a subset is a * _ct - b * _cr + c with its own a, b > 0, so its maximum lies on the convex hull, and the
+    hull of all rows is within the hulls of any parts of them.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            keep = [places[k] for places in rows.groupby(["pos", "bin"]).indices.values()
+                    for k in _hull(rows["_ct"].to_numpy()[places], rows["_cr"].to_numpy()[places])]
+            yield batch.take(pa.array(keep, type=pa.int64()))
+
+    return points.mapInArrow(fold, points.schema)
+
+
 def ks_by_bin(binned: DataFrame, train: DataFrame, n_bins: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Proximity of every cumulative subset: ``bin, pos, ks``.
 
@@ -97,8 +131,8 @@ def ks_by_bin(binned: DataFrame, train: DataFrame, n_bins: int, rows_per_bucket:
     with ``bin <= p`` and bins grow with falling distance; ``train`` holds
     ``pos, neg_dist``.  Rows outside subset p of a cluster lie below all of its
     members, so the test curve of subset p is the full curve minus a constant,
-    rescaled.  One running sum therefore serves all subsets, and the maxima for
-    all of them are taken side by side in a single partial aggregate.
+    rescaled.  One running sum therefore serves all subsets; rows at which no
+    subset can have its maximum go, and the maxima are taken side by side.
     """
     test = binned.groupBy("pos", F.col("neg_dist").alias("value")).agg(
         F.count(F.lit(1)).alias("n_test"), F.min("bin").alias("bin")
@@ -128,8 +162,8 @@ def ks_by_bin(binned: DataFrame, train: DataFrame, n_bins: int, rows_per_bucket:
         "pos", "_nt", F.coalesce("_nr", F.lit(0)).alias("_nr"), inside.alias("_in")
     )
     points = (
-        run.filter(F.col("n_test") > 0).alias("l")
-        .join(bounded_side(filled).alias("r"), "pos")
+        corners(run.filter(F.col("n_test") > 0).select("pos", "bin", "_ct", "_cr")).alias("l")
+        .join(filled.alias("r"), "pos")
         .select("pos", "l.bin", "l._ct", "l._cr", "r._nt", "r._nr", "r._in")
     )
     members = [F.col("_in")[p - 1] for p in range(1, n_bins + 1)]

@@ -15,6 +15,10 @@ from ..functions.ordering import hash_cutoffs, hash_rank, ranked, same_key
 DEFAULT_SEEDS = [42, 43, 44, 45, 46, 47, 48, 49, 50, 51]
 
 
+# Keys that the rows of a class stand under at least where draws are joined to them.
+SPREAD = 1024
+
+
 class SplitError(ValueError):
     """Split ratios that do not add up."""
 
@@ -150,6 +154,11 @@ def draw_with_replacement(
     )
 
 
+def salts(members: int) -> int:
+    """Under how many keys each row of a class stands, so that even the smallest class has ``SPREAD`` of them."""
+    return max(1, SPREAD // max(members, 1))
+
+
 def sample_pairs(
     df: DataFrame,
     n: int | None = None,
@@ -176,7 +185,8 @@ def sample_pairs(
     rows = sorted(rows, key=lambda r: r.cls)
     n_classes = len(rows)
     table = F.array(*[
-        F.struct(F.lit(r.cls).alias("cls"), F.lit(r.members).alias("members")) for r in rows
+        F.struct(F.lit(r.cls).alias("cls"), F.lit(r.members).alias("members"), F.lit(salts(r.members)).alias("salts"))
+        for r in rows
     ])
     pairs = requests if requests is not None else spark.range(n).withColumnRenamed("id", "pair_id")
     pid = F.col("pair_id")
@@ -210,14 +220,18 @@ def sample_pairs(
         "_hash",
         "_rank",
     ).select("_cls", "_row", (F.col("_rank") - 1).alias("_index"))
-    left = picked.join(
-        members.select(F.col("_cls").alias("_ca"), F.col("_index").alias("_ia"), F.col("_row").alias("row_i")),
-        (F.col("_a.cls") == F.col("_ca")) & (F.col("_i") == F.col("_ia")),
-    )
-    return left.join(
-        members.select(F.col("_cls").alias("_cb"), F.col("_index").alias("_ib"), F.col("_row").alias("row_j")),
-        (F.col("_b.cls") == F.col("_cb")) & (F.col("_j") == F.col("_ib")),
-    ).select("pair_id", "row_i", "row_j", "different")
+    # Classes are drawn evenly, so the members of a small one are drawn often: its rows are repeated under salts.
+    copies = F.create_map(*[x for r in rows for x in (F.lit(r.cls), F.lit(salts(r.members)))])[F.col("_cls")]
+    members = members.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies.cast("bigint") - 1)))
+
+    def member(of: DataFrame, side: str, at: str, out: str) -> DataFrame:
+        some = members.select(*[F.col(c).alias(f"{c}{side}") for c in ("_cls", "_index", "_salt")], F.col("_row").alias(out))
+        salt = hash_int(F.col(f"{side}.salts"), seed, F.lit(f"salt{side}"), pid)
+        return of.join(some, (F.col(f"{side}.cls") == F.col(f"_cls{side}")) & (F.col(at) == F.col(f"_index{side}"))
+                       & (salt == F.col(f"_salt{side}")))
+
+    left = member(picked, "_a", "_i", "row_i")
+    return member(left, "_b", "_j", "row_j").select("pair_id", "row_i", "row_j", "different")
 
 
 def rank_bins(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,7 +48,7 @@ def require_tables(spark: SparkSession, root: str, names: list[str]) -> None:
     for name in names:
         try:
             load_table(spark, root, name).schema
-        except Exception:
+        except AnalysisException:
             missing.append(name)
     if missing:
         raise MissingArtifacts(f"Missing under {root}: {', '.join(missing)}")
