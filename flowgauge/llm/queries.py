@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, license, linededup, minhash, packing, pieces, quality, sharding, token_orc, toxicity
+from . import common, fingerprint, license, linededup, minhash, oracles, packing, pieces, quality, sharding, token_orc, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +47,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.documents(spark, sf_dir), SHARD_BYTES)
 
 
-@query("op2_minhash_groups")
+@query("op2_minhash_groups", oracles.NEAR_DUPLICATES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(common.documents(spark, sf_dir))
 
@@ -75,7 +75,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(common.documents(spark, sf_dir))
 
 
-@query("op5_license_scan")
+@query("op5_license_scan", oracles.LICENSES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(common.documents(spark, sf_dir))
 
