@@ -41,24 +41,36 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def _product(h: Column) -> Column:
-    """The product of two uniforms in (0, 1) from the two halves of a hash."""
-    high = F.shiftrightunsigned(h, 32).cast("double") + 0.5
-    low = h.bitwiseAND(F.lit(_LOW_32)).cast("double") + 0.5
-    return high * low * F.lit(2.0**-64)
+def _seeded(term: Column, seed: int) -> Column:
+    """One 64-bit hash of a term for each seed."""
+    return F.xxhash64(term.bitwiseXOR(F.lit((seed * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 63))))
+
+
+def _quarters(h: Column) -> list[Column]:
+    """Four numbers of 16 bits from a hash."""
+    low = F.lit(0xFFFF)
+    return [F.shiftrightunsigned(h, 48).cast("double"), *(
+        (F.shiftrightunsigned(h, n) if n else h).bitwiseAND(low).cast("double") for n in (32, 16, 0))]
 
 
 def sample(k: int, term: Column, weight: Column, log_weight: Column, total: Column) -> Column:
-    """ln a in the upper and the name of (term, t) in the lower half of a number; null where a cannot be the smallest."""
-    u12 = _product(F.xxhash64(term, F.lit(2 * k)))
-    u34 = _product(F.xxhash64(term, F.lit(2 * k + 1)))
-    r, c = -F.log(u12), -F.log(u34)
-    b = (F.shiftrightunsigned(F.xxhash64(term, F.lit(-1 - k)), 12).cast("double") + 0.5) * F.lit(2.0**-52)
+    """ln a in the upper and the name of (term, t) in the lower half of a number; null where a cannot be the smallest.
+
+    The four uniforms behind r and c have their first 16 bits from one hash, which is enough for a bound, and the next
+    16 bits from a second one.
+    """
+    first = _quarters(_seeded(term, 3 * k))
+    u1, u2, u3, u4 = ((a + (b + 0.5) / 65536) / 65536
+                      for a, b in zip(first, _quarters(_seeded(term, 3 * k + 1)), strict=True))
+    r, c = -F.log(u1 * u2), -F.log(u3 * u4)
+    b = (F.shiftrightunsigned(_seeded(term, 3 * k + 2), 12).cast("double") + 0.5) * F.lit(2.0**-52)
     t = F.floor(log_weight / r + b)
     log_a = F.log(c) - r * (t - b + 1)
     place = F.floor((F.greatest(F.lit(-60.0), F.least(F.lit(60.0), log_a)) + 64) * F.lit(float(1 << 24)))
     name = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(_LOW_32))
-    return F.when((1 - u34) * u12 * total <= LEAST_CHANCE * weight, F.shiftleft(place, 32).bitwiseOR(name))
+    a1, a2, a3, a4 = first
+    bound = (F.lit(2.0**32) - (a3 + 1) * (a4 + 1)) * (a1 * a2) * total
+    return F.when(bound <= F.lit(LEAST_CHANCE * 2.0**64) * weight, F.shiftleft(place, 32).bitwiseOR(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
