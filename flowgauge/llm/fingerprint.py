@@ -8,9 +8,9 @@ and each term with weight w, a hash of (term, k) gives r and c from the Gamma(2,
 and the term with the smallest a is the sample, named by (term, t).  Two texts have the same sample with a probability of
 sum(min(w)) / sum(max(w)), their generalised Jaccard similarity, so the share of equal samples estimates it.
 
-What keeps it cheap: a is exponential with rate w, so the smallest is far below 30 / sum(w) but for a chance of e^-30,
+What keeps it cheap: a is exponential with rate w, so the smallest is far below 14 / sum(w) but for a chance of e^-14,
 and a >= (1 - u3 u4) u1 u2 / w for the uniforms behind r and c.  Terms for which that bound is already above
-30 / sum(w) are passed over before any logarithm; on long texts those are most of them.
+14 / sum(w) are passed over before any logarithm; on long texts those are most of them.
 
 Texts are shuffled once, by document.  Words are counted and sampled inside that partitioning, without a further
 shuffle.  The next document is found on ids alone: they are dealt out by ranges, each range looks ahead in itself, and
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLES = 64
-LEAST_CHANCE = 30.0
+SAMPLES, GROUP = 64, 16
+LEAST_CHANCE = 14.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW_32 = (1 << 32) - 1
 KEY = ["key", "text_hash"]
@@ -84,17 +84,26 @@ def as_text(marks: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, marks) for a table (keys, text) that is already partitioned by (some of) the keys."""
+    """(keys, part, marks) for a table (keys, text) that is already partitioned by (some of) the keys."""
     words = texts.select(*keys, words_of(F.col("text")).alias("words"))
     terms = (words.select(*keys, F.greatest(F.size("words"), F.lit(1)).cast("double").alias("total"),
                           F.explode_outer("words").alias("word"))
              .select(*keys, "total", F.coalesce(F.xxhash64("word"), F.lit(0)).alias("term")))
     counted = (terms.groupBy(*keys, "total", "term").agg(F.count("*").cast("double").alias("weight"))
                .withColumn("log_weight", F.log("weight")))
+    # sixteen samples are one aggregate of a size that is still compiled; each group has hashes of its own
+    grouped = (counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))))
+               .withColumn("term", F.xxhash64("term", "part")))
     columns = [F.min(sample(k, *map(F.col, ("term", "weight", "log_weight", "total")))).alias(f"s{k}")
-               for k in range(samples)]
-    marks = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(_LOW_32)), F.lit(0)) for k in range(samples)])
-    return counted.groupBy(*keys).agg(*columns).select(*keys, marks.alias("marks"))
+               for k in range(GROUP)]
+    marks = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(_LOW_32)), F.lit(0)) for k in range(GROUP)])
+    return grouped.groupBy(*keys, "part").agg(*columns).select(*keys, "part", marks.alias("marks"))
+
+
+def joined(which: Column) -> Column:
+    """The aggregate that puts the parts of the rows for which ``which`` holds together."""
+    parts = F.array_sort(F.collect_list(F.when(which, F.struct("part", "marks"))))
+    return F.flatten(F.transform(parts, lambda p: p["marks"]))
 
 
 def _order() -> list[Column]:
@@ -147,7 +156,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = dealt.join(heads, KEY).dropDuplicates(KEY).select(*KEY, "text", edited.alias("edited"))
     sides = both.select(*KEY, F.posexplode(F.array("text", "edited")).alias("side", "text"))
     marks = fingerprints(sides, [*KEY, "side"], samples)
-    pairs = marks.groupBy(*KEY).agg(F.max_by("marks", -F.col("side")).alias("own"), F.max_by("marks", "side").alias("changed"))
+    pairs = marks.groupBy(*KEY).agg(joined(F.col("side") == 0).alias("own"), joined(F.col("side") == 1).alias("changed"))
     digests = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
     found = written(pairs.join(digests, KEY), "fingerprints")
     chained = chain.join(found, KEY)
