@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.bounded import local_table
 from ..operators.assign import assign, nearest, negative_grid
 from ..operators.clustering import (
-    best_k, cluster, cluster_accuracy, cluster_table, kmeans_sweep, majority_labels, silhouette,
+    best_k, cluster, cluster_accuracy, cluster_table, kmeans_sweep, majority_labels, model_centroids, silhouette,
 )
 from . import query
 from .views import (
@@ -19,6 +20,21 @@ def c1(spark, sf):
     return scores
 
 
+@query("c1b_kmeans_costs", "SELECT k, 1 AS holds FROM (VALUES (2), (4), (8)) v(k)")
+def c1b(spark, sf):
+    """The cost of each fit is the summed squared distance of all rows to their nearest centre, and falls with k."""
+    rows = latent(spark, sf).select("row_id", "y", "z")
+    scores, models = kmeans_sweep(rows, [2, 4, 8], restarts=2)
+    told = {r.k: r.cost for r in scores.collect()}
+    out = []
+    for k, model in models.items():
+        near = nearest(rows, model_centroids(model))
+        cost = near.agg(F.sum(F.col("cluster_id_dist") ** 2)).first()[0]
+        smaller = all(told[j] > told[k] for j in told if j < k)
+        out.append((k, int(abs(cost - told[k]) <= 1e-6 * cost and smaller)))
+    return local_table(spark, out, "k int, holds int")
+
+
 @query(
     "c2_silhouette_exact",
     CLUSTERS_SQL + """, sums AS (

@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     Only what Spark estimates at up to ``SPREAD_BYTES`` is dealt out; larger inputs come in enough pieces.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return df.repartition(cores) if small and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
