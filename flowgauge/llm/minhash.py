@@ -97,13 +97,18 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
-def _agreements(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([int((x == y).sum()) for x, y in zip(_lists(a), _lists(b), strict=True)], type=pa.int64())
+def _similar(percent: int, least: int):
+    """Whether two texts are similar enough: by at least ``least`` equal minima, and then by their full sets."""
+    def run(a: pa.Array, b: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for one, other, left, right in zip(_lists(a), _lists(b), _lists(x), _lists(y), strict=True):
+            if found := int((one == other).sum()) >= least:
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                found = 100 * shared >= percent * (len(left) + len(right) - shared)
+            out.append(found)
+        return pa.array(out, type=pa.bool_())
 
-
-def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([len(np.intersect1d(x, y, assume_unique=True))
-                     for x, y in zip(_lists(a), _lists(b), strict=True)], type=pa.int64())
+    return F.arrow_udf(run, "boolean")
 
 
 def _sets_udf(size: int):
@@ -131,11 +136,16 @@ def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(bucket.ravel().view(np.int64))], names=["id", "bucket"])
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written out in a few files per core rather than one per shuffle partition: it is far smaller than the texts."""
+    return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def _saved_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges written out, and their number and checksum, which the same job counts."""
     seen = Observation()
     watched = edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum"))
-    saved = written(watched, "components")
+    saved = _saved(watched, "components")
     return saved, (seen.get["n"], seen.get["sum"])
 
 
@@ -150,7 +160,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _saved(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                         .distinct(), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -190,21 +200,15 @@ class NearDuplicates:
 
     def _confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough, by signature and then by full sets."""
-        agree = F.arrow_udf(_agreements, "long")
         margin = max(0, int(self.count * (self.percent / 100 - 0.25)))
-        left = sets.select(F.col("id").alias("a"), F.col("minima").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("minima").alias("y"))
-        close = written(pairs.join(left, "a").join(right, "b").where(agree("x", "y") >= margin).select("a", "b"), "close")
-        shared = F.arrow_udf(_shared, "long")
-        left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        both = close.join(left, "a").join(right, "b").select(
-            "a", "b", shared("x", "y").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total"))
-        return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * self.percent).select("a", "b")
+        left = sets.select(F.col("id").alias("a"), F.col("minima").alias("m"), F.col("set").alias("x"))
+        right = sets.select(F.col("id").alias("b"), F.col("minima").alias("n"), F.col("set").alias("y"))
+        similar = _similar(self.percent, margin)
+        return pairs.join(left, "a").join(right, "b").where(similar("m", "n", "x", "y")).select("a", "b")
 
     def _sets(self, nodes: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, minima, set) of the nodes that share a bucket."""
-        wanted = written(ids.distinct(), "wanted")
+        wanted = _saved(ids.distinct(), "wanted")
         texts = id_text(self.docs).join(wanted.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
         sets = texts.select(F.col("doc_id").alias("id"), _sets_udf(self.size)(F.col("text")).alias("set"))
         own = self.rows.join(nodes, (self.rows["digest"] == nodes["digest"]) & (self.rows["doc_id"] == nodes["node"]))
@@ -218,38 +222,51 @@ class NearDuplicates:
             return None
         sets = self._sets(nodes, members.select("id"))
         pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-        found = written(self._confirm(pairs, sets), "links")
-        more = self._across(members.select("bucket", "id"), written(connected_components(found), "labels"), sets)
+        found = _saved(self._confirm(pairs, sets), "links")
+        more = self._across(members.select("bucket", "id"), _saved(connected_components(found), "labels"), sets)
         return found.unionByName(more)
 
+    def _limits(self, nodes: DataFrame) -> DataFrame:
+        """(id, label, size, most): the largest set that each of the nodes can be linked with.
+
+        |x & y| >= p / (100 + p) * (|x| + |y|) and |x & y| <= |x| - own, where own counts the shingles of x that no other
+        of the nodes has, so |y| <= ((100 + p) * (|x| - own) - p |x|) / p.
+        """
+        own = (nodes.select("id", F.explode("set").alias("shingle")).groupBy("shingle")
+               .agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+               .groupBy("id").agg(F.count("*").alias("own")))
+        p = self.percent
+        most = F.expr(f"({100 + p} * (size - own) - {p} * size) div {p}")
+        return _saved(nodes.select("id", "label", F.size("set").cast("long").alias("size")).join(own, "id", "left")
+                      .withColumn("own", F.coalesce("own", F.lit(0))).select("id", "label", "size", most.alias("most")),
+                      "limits")
+
+    def _in_reach(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The ids of nodes that can be linked with a text as small as the smallest of one of their buckets."""
+        sized = members.join(self._limits(nodes), "id")
+        least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+        return _saved(sized.join(least, "bucket").where("most >= least").select("id").distinct(), "left")
+
     def _across(self, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         """Confirmed pairs between components that share a bucket."""
         known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         split = (known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
                  .where("one <> other").select("bucket"))
-        open_rows = written(known.join(split, "bucket"), "open")
+        open_rows = _saved(known.join(split, "bucket"), "open")
         mine = written(open_rows.select("id", "label").distinct().join(sets.select("id", "set"), "id"), "open-sets")
-        # |x & y| >= p / (100 + p) * (|x| + |y|) and |x & y| <= |x| - own, so |y| <= ((100 + p) * (|x| - own) - p |x|) / p
-        own = (mine.select("id", F.explode("set").alias("shingle")).groupBy("shingle")
-               .agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-               .groupBy("id").agg(F.count("*").alias("own")))
-        p = self.percent
-        most = F.expr(f"({100 + p} * (size - own) - {p} * size) div {p}")
-        limits = written(mine.select("id", "label", F.size("set").cast("long").alias("size")).join(own, "id", "left")
-                         .withColumn("own", F.coalesce("own", F.lit(0))).select("id", "label", "size", most.alias("most")),
-                         "limits")
-        sized = open_rows.select("bucket", "id").join(limits, "id")
-        least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
-        left = written(sized.join(least, "bucket").where("most >= least").select("id").distinct(), "left")
+        members = open_rows.select("bucket", "id")
+        left = self._in_reach(members, mine)
+        # once more among those that are left, as what others had does not count any more
+        limits = self._limits(mine.join(left, "id"))
         fine = mine.select("id", "set").join(left, "id").select("id", "set").mapInArrow(_fine_bands, "id long, bucket long")
-        fine = written(fine.join(limits, "id"), "fine-buckets")
+        fine = _saved(fine.join(limits, "id"), "fine-buckets")
         split = (fine.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
                  .where("one <> other").select("bucket"))
-        fine = written(fine.join(split, "bucket"), "fine-open")
+        fine = _saved(fine.join(split, "bucket"), "fine-open")
         other = fine.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "most")])
         pairs = (fine.join(other, "bucket").where("label < label_b and size_b <= most and size <= most_b")
                  .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        return written(self._confirm(pairs, sets), "links")
+        return _saved(self._confirm(pairs, sets), "links")
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row."""
@@ -258,10 +275,10 @@ class NearDuplicates:
         if found is None:
             owner = nodes.where("copies > 1").select("digest", F.col("node").alias("component"))
         else:
-            labels = written(connected_components(found), "labels").withColumnRenamed("id", "node")
+            labels = _saved(connected_components(found), "labels").withColumnRenamed("id", "node")
             owner = nodes.join(labels, "node", "left").where("copies > 1 or label is not null").select(
                 "digest", F.coalesce("label", "node").alias("component"))
-        owner = written(owner, "owners")
+        owner = _saved(owner, "owners")
         usable = F.col("n_shingles") > 0
         out = self.rows.select("doc_id", "n_shingles", F.when(usable, F.col("digest")).alias("digest")).join(
             owner, "digest", "left")
@@ -276,6 +293,6 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` without the documents whose group has one with a smaller id; all columns stay."""
-    gone = written(near_duplicate_groups(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
+    gone = _saved(near_duplicate_groups(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
