@@ -80,7 +80,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(marks, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -96,7 +96,9 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
                .withColumn("term", F.xxhash64("term", "part")))
     columns = [F.min(sample(k, *map(F.col, ("term", "weight", "log_weight", "total")))).alias(f"s{k}")
                for k in range(GROUP)]
-    marks = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(_LOW_32)), F.lit(0)) for k in range(GROUP)])
+    # names of 32 bits, kept as signed numbers of that size
+    marks = F.array(*[(F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(_LOW_32)), F.lit(0)) - F.lit(1 << 31)).cast("int")
+                      for k in range(GROUP)])
     return grouped.groupBy(*keys, "part").agg(*columns).select(*keys, "part", marks.alias("marks"))
 
 
