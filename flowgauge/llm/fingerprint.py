@@ -8,9 +8,9 @@ and each term with weight w, a hash of (term, k) gives r and c from the Gamma(2,
 and the term with the smallest a is the sample, named by (term, t).  Two texts have the same sample with a probability of
 sum(min(w)) / sum(max(w)), their generalised Jaccard similarity, so the share of equal samples estimates it.
 
-What keeps it cheap: a is exponential with rate w, so the smallest is far below 14 / sum(w) but for a chance of e^-14,
-and a >= (1 - u3 u4) u1 u2 / w for the uniforms behind r and c.  Terms for which that bound is already above
-14 / sum(w) are passed over before any logarithm; on long texts those are most of them.
+What keeps it cheap: a is exponential with rate w, so the smallest is far below 12 / sum(w) but for a chance of e^-12,
+and the uniforms behind r and c give a bound of a without a logarithm.  Terms for which that is already above
+12 / sum(w) are passed over before any logarithm; on long texts those are most of them.
 
 Texts are shuffled once, by document.  Words are counted and sampled inside that partitioning, without a further
 shuffle.  The next document is found on ids alone: they are dealt out by ranges, each range looks ahead in itself, and
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SAMPLES, GROUP = 64, 16
-LEAST_CHANCE = 14.0
+LEAST_CHANCE = 12.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW_32 = (1 << 32) - 1
 KEY = ["key", "text_hash"]
@@ -46,31 +46,35 @@ def _seeded(term: Column, seed: int) -> Column:
     return F.xxhash64(term.bitwiseXOR(F.lit((seed * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 63))))
 
 
-def _quarters(h: Column) -> list[Column]:
-    """Four numbers of 16 bits from a hash."""
-    low = F.lit(0xFFFF)
-    return [F.shiftrightunsigned(h, 48).cast("double"), *(
-        (F.shiftrightunsigned(h, n) if n else h).bitwiseAND(low).cast("double") for n in (32, 16, 0))]
+def _bits(h: Column, start: int, count: int) -> Column:
+    """``count`` bits of a hash from bit ``start`` on, as a double."""
+    moved = F.shiftrightunsigned(h, start) if start else h
+    return moved.bitwiseAND(F.lit((1 << count) - 1)).cast("double")
 
 
 def sample(k: int, term: Column, weight: Column, log_weight: Column, total: Column) -> Column:
     """ln a in the upper and the name of (term, t) in the lower half of a number; null where a cannot be the smallest.
 
-    The four uniforms behind r and c have their first 16 bits from one hash, which is enough for a bound, and the next
-    16 bits from a second one.
+    One hash has b and the first 12 bits of the four uniforms behind r and c.  That is enough for a bound, as
+    c >= q + q^2 / 2 with q = 1 - u3 u4, and exp(-r (t - b + 1)) >= u1 u2 / w, which for w = 1, where t is 0, is sharpened
+    by x^s >= x / (x + s (1 - x)) for x = u1 u2 and s = 1 - b.  A second hash has 16 more bits of each uniform.
     """
-    first = _quarters(_seeded(term, 3 * k))
-    u1, u2, u3, u4 = ((a + (b + 0.5) / 65536) / 65536
-                      for a, b in zip(first, _quarters(_seeded(term, 3 * k + 1)), strict=True))
+    h = _seeded(term, 2 * k)
+    first = [_bits(h, start, 12) for start in (52, 40, 28, 16)]
+    b = (_bits(h, 0, 16) + 0.5) * F.lit(2.0**-16)
+    more = _seeded(term, 2 * k + 1)
+    u1, u2, u3, u4 = ((a + (_bits(more, 16 * i, 16) + 0.5) * F.lit(2.0**-16)) * F.lit(2.0**-12)
+                      for i, a in enumerate(first))
     r, c = -F.log(u1 * u2), -F.log(u3 * u4)
-    b = (F.shiftrightunsigned(_seeded(term, 3 * k + 2), 12).cast("double") + 0.5) * F.lit(2.0**-52)
     t = F.floor(log_weight / r + b)
     log_a = F.log(c) - r * (t - b + 1)
     place = F.floor((F.greatest(F.lit(-60.0), F.least(F.lit(60.0), log_a)) + 64) * F.lit(float(1 << 24)))
     name = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(_LOW_32))
     a1, a2, a3, a4 = first
-    bound = (F.lit(2.0**32) - (a3 + 1) * (a4 + 1)) * (a1 * a2) * total
-    return F.when(bound <= F.lit(LEAST_CHANCE * 2.0**64) * weight, F.shiftleft(place, 32).bitwiseOR(name))
+    x = a1 * a2 * F.lit(2.0**-24)
+    q = 1 - (a3 + 1) * (a4 + 1) * F.lit(2.0**-24)
+    x = F.when(weight == 1, x / (x + (1 - b) * (1 - x))).otherwise(x)
+    return F.when((q + q * q * 0.5) * x * total <= LEAST_CHANCE * weight, F.shiftleft(place, 32).bitwiseOR(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
