@@ -281,7 +281,25 @@ def m12(spark, sf):
     return correlations(rows, "quantity", "flat", ["y"], p_values=False)
 
 
-@query("m12b_correlation_p_values")
+# A t value with v degrees of freedom is sqrt(v) tan(phi), under which its density is proportional to cos(phi)^(v - 1):
+# the p-value is the share of that integral beyond phi, here by Simpson's rule.
+_P_VALUES = """WITH e AS (SELECT label AS y, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY y ORDER BY a) + (count(*) OVER (PARTITION BY y, a) - 1) / 2 AS ra,
+         rank() OVER (PARTITION BY y ORDER BY b) + (count(*) OVER (PARTITION BY y, b) - 1) / 2 AS rb FROM e),
+c AS (SELECT y, count(*) AS n, corr(a, b) AS pearson_r, corr(ra, rb) AS spearman_r FROM ranked GROUP BY y),
+each AS (SELECT y, n, 'p' AS kind, pearson_r AS r FROM c UNION ALL SELECT y, n, 's', spearman_r FROM c),
+bent AS (SELECT *, atan(abs(r) / sqrt(1 - r * r)) AS phi, n - 2 AS v FROM each),
+parts AS (
+  SELECT y, kind, sum(w * cos(phi + (pi() / 2 - phi) * i / 400) ** (v - 1)) * (pi() / 2 - any_value(phi)) AS beyond,
+         sum(w * cos(pi() / 2 * i / 400) ** (v - 1)) * pi() / 2 AS whole
+  FROM bent, (SELECT i, CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(401) t(i)) GROUP BY y, kind),
+p AS (SELECT y, max(beyond / whole) FILTER (kind = 'p') AS pp, max(beyond / whole) FILTER (kind = 's') AS ps FROM parts GROUP BY y)
+SELECT c.y, n, round(pearson_r, 6) AS pearson_r, round(spearman_r, 6) AS spearman_r, round(pp, 6) AS pearson_p,
+  round(ps, 6) AS spearman_p, round(pp, 6) AS again FROM c JOIN p USING (y)"""
+
+
+@query("m12b_correlation_p_values", _P_VALUES)
 def m12b(spark, sf):
     small = table(spark, sf, "embeddings").select(
         F.col("label").alias("y"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b")
