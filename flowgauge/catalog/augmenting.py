@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.bounded import local_table
 from ..operators.clean import fit_scaler
 from ..operators.episodes import bellman_target, fitted_q, next_rows, policy_value, rollout_summary, transitions
 from ..operators.perturb import SETTINGS, map_actions, perturb
@@ -183,6 +182,3 @@ def a8(spark, sf):
     policy = lambda obs: F.array(F.lit(0.5))
     q = fitted_q(steps, policy, gamma=0.9, iterations=50)
     return rounded(policy_value(steps, policy, q), "value", digits=4)
-
-
-__all__ = ["local_table"]

@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.bounded import work_dir
-from ..functions.vectors import pack
 from ..operators.clean import apply_labels, apply_scaler, fit_labels, fit_scaler, preprocess
 from ..operators.mlp import Layer, Network, activations, encode, mlp_columns, reconstruction_error
 from ..operators.sampling import stratified_split
@@ -12,7 +11,7 @@ from ..sources.artifacts import load_table, save_table
 from . import query
 from .views import (
     CODED_SQL, DIRTY_SQL, FEATURES, FLOW_LATENT_SQL, RATIOS, SPLIT_SQL, dirty_flows, flow_latent, flows, rounded,
-    split_flows, table, with_,
+    split_flows, table,
 )
 
 
@@ -154,6 +153,3 @@ def e8(spark, sf):
     save_table(small_network().to_table(spark), root, "encoder")
     z = encode(_net_input(spark, sf), load_table(spark, root, "encoder"))
     return z.groupBy("y").agg(F.round(F.avg(F.col("z")[0]), 6).alias("e1"), F.round(F.avg(F.col("z")[1]), 6).alias("e2"))
-
-
-__all__ = ["pack", "small_network", "with_"]

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators.diversity import covariance_partials, diversity, order_two_diversity
 from ..operators.proximity import ks, proximity
-from ..operators.sampling import stratified_split
 from ..operators.scarcity import gini, scarcity
 from ..operators.scores import (
     balanced_weights, classification_metrics, contrastive_loss, correlations, feature_stats, improvement, latent_summary,
@@ -14,9 +13,8 @@ from ..plans.assess import assess
 from . import query
 from .sampling import PAIRS_SQL, order_pairs
 from .views import (
-    ASSIGNED_SQL, CLUSTERS_SQL, CODED_SQL, FEATURES, FLOW_ASSIGNED_SQL, FLOW_SCORES_SQL, FLOWS_SQL, LATENT_SQL, SCORES_SQL,
-    SPLIT_SQL, assessed, cell_model, coded_flows, flow_latent, flows, latent, preds_sql, predictions, rounded, table,
-    split_flows,
+    ASSIGNED_SQL, CLUSTERS_SQL, CODED_SQL, FLOW_SCORES_SQL, FLOWS_SQL, SCORES_SQL, SPLIT_SQL, assessed, cell_model,
+    coded_flows, flow_latent, flows, latent, preds_sql, predictions, rounded, table, split_flows,
 )
 
 
@@ -368,6 +366,3 @@ def j6(spark, sf):
     scores = split_flows(spark, sf).groupBy(F.col("split").alias("side")).agg(F.avg("tax").alias("tax"), F.avg("discount").alias("discount"))
     gained = improvement(scores, scores.filter("side = 'train'"), ["tax", "discount"])
     return rounded(gained.select("side", "tax_gain", "discount_gain"), "tax_gain", "discount_gain", digits=8)
-
-
-__all__ = ["CLUSTERS_SQL", "FLOW_ASSIGNED_SQL", "LATENT_SQL", "stratified_split", "latent"]

@@ -9,7 +9,7 @@ from ..operators.sampling import (
 )
 from . import query
 from .views import (
-    CODED_SQL, EPISODES_SQL, FLOWS_SQL, LATENT_SQL, RATIOS, SPLIT_SQL, coded_flows, episodes, flows, latent, rounded,
+    CODED_SQL, EPISODES_SQL, FLOWS_SQL, LATENT_SQL, RATIOS, SPLIT_SQL, coded_flows, episodes, flows, latent,
     split_flows, table,
 )
 
@@ -191,6 +191,3 @@ def t12(spark, sf):
     keys = episodes(spark, sf).select("episode", "step")
     drawn = random_configs(spark, 0, 0, requests=keys)
     return drawn.select("episode", "step", *[F.round(F.col("action")[d], 6).alias(f"a{d}") for d in range(7)])
-
-
-__all__ = ["rounded"]
