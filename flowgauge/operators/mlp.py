@@ -363,17 +363,23 @@ def sweep_encoder(
     )
 
 
+# The ranges and layer lists that trials are drawn from.
+HIDDEN_OPTIONS = [[128, 64, 32], [64, 32, 16], [128, 64, 32, 16]]
+LATENT_SIZES = [2, 3, 4, 5]
+RATE_RANGE, WEIGHT_RANGE, MARGIN_RANGE = (1e-4, 1e-2), (0.01, 1.0), (5.0, 20.0)
+
+
 def random_trials(n: int, seed: int = 42, hidden_options: list[list[int]] | None = None) -> list[dict]:
     """Random settings over the documented ranges (log-uniform rates and weights)."""
-    hidden_options = hidden_options or [[128, 64, 32], [64, 32, 16], [128, 64, 32, 16]]
+    hidden_options = hidden_options or HIDDEN_OPTIONS
     rng = np.random.default_rng(seed)
     return [
         {
             "hidden": hidden_options[rng.integers(len(hidden_options))],
-            "latent": int(rng.integers(2, 6)),
-            "lr": float(np.exp(rng.uniform(np.log(1e-4), np.log(1e-2)))),
-            "lam": float(np.exp(rng.uniform(np.log(0.01), np.log(1.0)))),
-            "margin": float(rng.uniform(5.0, 20.0)),
+            "latent": int(rng.choice(LATENT_SIZES)),
+            "lr": float(np.exp(rng.uniform(*np.log(RATE_RANGE)))),
+            "lam": float(np.exp(rng.uniform(*np.log(WEIGHT_RANGE)))),
+            "margin": float(rng.uniform(*MARGIN_RANGE)),
         }
         for _ in range(n)
     ]
