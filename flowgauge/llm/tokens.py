@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -81,6 +82,64 @@ def _byte_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(points))
 
 
+class Known:
+    """Pieces seen before and their ids: sorted arrays, and a small dictionary of the latest ones.
+
+    A piece takes some 30 bytes, so that a worker that lives on after its task keeps little.
+    """
+
+    def __init__(self, most: int, latest: int = 50_000):
+        self.most, self.most_latest = most, latest
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts = np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+        self.flat = np.empty(0, dtype=np.uint32)
+        self.latest: dict[int, bytes] = {}
+
+    def settle(self) -> None:
+        """Move the latest pieces into the arrays."""
+        keys = np.fromiter(self.latest, dtype=np.uint64, count=len(self.latest))
+        sizes = np.fromiter(map(len, self.latest.values()), dtype=np.int64, count=len(keys)) // 4
+        keys = np.concatenate([self.keys, keys])
+        sizes = np.concatenate([np.diff(self.starts), sizes])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(self.latest.values()), dtype=np.uint32)])
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(keys)
+        self.keys, sizes = keys[order], sizes[order]
+        self.flat, self.starts = flat[spread(begin[order], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        self.latest = {}
+
+    def ids_of(self, keys: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, begin, size): where the ids of each key are; ``encode`` gives those of the places not known."""
+        if len(self.keys) + len(self.latest) + len(keys) > self.most:
+            self.clear()
+        elif len(self.latest) > self.most_latest:
+            self.settle()
+        at = np.searchsorted(self.keys, keys)
+        found = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            found = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        other = np.flatnonzero(~found)
+        names, latest = keys[other].tolist(), self.latest
+        new = [k for k, name in enumerate(names) if name not in latest]
+        for k, ids in zip(new, encode(other[new]), strict=True):
+            latest[names[k]] = ids
+        parts = [latest[name] for name in names]
+        begin, size = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+        begin[found] = self.starts[at[found]]
+        size[found] = self.starts[at[found] + 1] - begin[found]
+        size[other] = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        begin[other] = len(self.flat) + np.cumsum(size[other]) - size[other]
+        return np.concatenate([self.flat, np.frombuffer(b"".join(parts), dtype=np.uint32)]), begin, size
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each stretch of ``size``, one stretch after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 class Encoder:
     """Ids of texts, by batches.  ``cuts``: "word" or "byte", the kind of pieces the tokenizer cuts."""
 
@@ -88,11 +147,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.cuts, self.remember = cuts, remember
+        self.cuts = cuts
         if ("tokenizer", path) not in process_cache():
             library = Tokenizer.from_file(path)
             library.encode_special_tokens = True
-            process_cache()["tokenizer", path] = library, {}
+            process_cache()["tokenizer", path] = library, Known(remember)
         self.library, self.seen = process_cache()["tokenizer", path]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -127,23 +186,18 @@ class Encoder:
             starts, ends = self._byte_cut(points, bounds)
         hashes = Rolling(points).of(starts, ends)
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        seen, known = self.seen, distinct.tolist()
-        new = [k for k, h in enumerate(known) if h not in seen]
-        if len(seen) + len(new) > self.remember:
-            seen.clear()
-            new = range(len(known))
-        pieces = [data[a:b] for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist(), strict=True)]
-        for at in range(0, len(pieces), 20_000):
-            some = self.library.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)
-            for k, x in zip(new[at : at + 20_000], some, strict=True):
-                seen[known[k]] = np.array(x.ids, dtype=np.uint32).tobytes()
-        parts = [seen[h] for h in known]
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        begin = np.cumsum(sizes) - sizes
+
+        def encode(places: np.ndarray) -> Iterator[bytes]:
+            at = place[places]
+            pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            for k in range(0, len(pieces), 20_000):
+                for x in self.library.encode_batch_fast(pieces[k : k + 20_000], add_special_tokens=False):
+                    yield np.array(x.ids, dtype=np.uint32).tobytes()
+
+        flat, begin, sizes = self.seen.ids_of(distinct, encode)
         size = sizes[inverse]
         stop = np.cumsum(size)
-        ids = flat[np.repeat(begin[inverse] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ids = flat[spread(begin[inverse], size)]
         cut = np.concatenate([[0], stop])[np.searchsorted(starts, bounds)]
         return np.split(ids, cut[:-1]) if len(texts) > 1 else [ids]
 
