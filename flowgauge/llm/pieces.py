@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, written
+from .common import Rolling, mix64, process_cache, slices, written
+from .tokens import Known, spread
 
 GIANT, CHUNK = 1 << 16, 1 << 14
 BLANK = "▁"
@@ -53,6 +54,9 @@ class Model:
         self.reach = max(map(len, self.ids))
         self.merge = lru_cache(200_000)(self._merge)
         self.cuts_before_blank = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        # texts of a model that changes nothing but blanks can be cut before they are normalised
+        self.as_it_is = self.library.normalize(" x  ﬁ\n") == f"{BLANK}{BLANK}x{BLANK}{BLANK}ﬁ\n"
+        self.known = Known(1_000_000)
 
     @classmethod
     def of(cls, path: str) -> Model:
@@ -80,6 +84,47 @@ class Model:
     def together(self, a: str, b: str) -> bool:
         return self.merge(a + b) == (a, b)
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts; words with the blanks before them are encoded once each."""
+        if not (self.cuts_before_blank and self.as_it_is):
+            return [np.array(x, dtype=np.int32) for t in texts for x in self.library.encode([t], num_threads=1)]
+        out: list[np.ndarray] = []
+        for some in slices(texts):
+            out += self._encode_words(some)
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[np.ndarray]:
+        # the blank sign that the library puts before a text is a blank here, and so is one that stands in a text
+        data = "".join(" " + t.replace(BLANK, " ") if t else "" for t in texts)
+        points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter((len(t) + 1 if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        blank = points == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[bounds[:-1][lengths > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(points)) if len(starts) else starts
+        hashes = Rolling(points & 0xFF).of(starts, ends) ^ mix64(Rolling((points >> 8) & 0x1FF).of(starts, ends)) ^ mix64(
+            Rolling(points >> 17).of(starts, ends) + np.uint64(1))
+        distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+
+        def encode(places: np.ndarray) -> Iterator[bytes]:
+            at = place[places]
+            words = [data[a + 1 : b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            for k in range(0, len(words), 20_000):
+                for word, ids in zip(words[k : k + 20_000], self.library.encode(words[k : k + 20_000], num_threads=1),
+                                     strict=True):
+                    # a blank alone has no word for the library to put it before
+                    yield np.array(ids if word else [self.ids[BLANK]], dtype=np.uint32).tobytes()
+
+        flat, begin, sizes = self.known.ids_of(distinct, encode)
+        size = sizes[inverse]
+        ids = flat[spread(begin[inverse], size)].view(np.int32)
+        stop = np.concatenate([[0], np.cumsum(size)])
+        cut = stop[np.searchsorted(starts, bounds)]
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
     def piece_ids(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
@@ -287,9 +332,10 @@ def _traced(path: str):
 
 def _whole(path: str):
     def run(texts: pa.Array) -> pa.Array:
-        model = Model.of(path)
-        return pa.array(model.library.encode([t or "" for t in texts.to_pylist()], num_threads=1),
-                        type=pa.list_(pa.int32()))
+        found = Model.of(path).encode([t or "" for t in texts.to_pylist()])
+        ends = np.cumsum([0, *map(len, found)])
+        flat = np.concatenate([np.empty(0, dtype=np.int32), *found])
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
 
     return F.arrow_udf(run, "array<int>")
 
@@ -319,7 +365,9 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
 def decode(ids: Column, model: str) -> Column:
     """The text of an array of ids."""
     def run(lists: pa.Array) -> pa.Array:
-        library = Model.of(model).library
-        return pa.array(library.decode([x or [] for x in lists.to_pylist()], num_threads=1), type=pa.string())
+        library, out = Model.of(model).library, []
+        for at in range(0, len(lists), 200):  # lists of Python numbers are large, so few at a time
+            out += library.decode([x or [] for x in lists.slice(at, 200).to_pylist()], num_threads=1)
+        return pa.array(out, type=pa.string())
 
     return F.arrow_udf(run, "string")(ids)
