@@ -56,7 +56,7 @@ def test_fixed_values(slice8):
 
 
 def test_diversity_matches_eigenvalues(slice8):
-    found = assess(*slice8)
+    found = assess(*slice8, method="exact")
     test = found.assignments.filter("side = 'test'").select("pos", "z").toPandas()
     scores = {r.cluster_id: r.diversity for r in found.cluster_scores.collect()}
     for pos, part in test.groupby("pos"):
@@ -74,16 +74,18 @@ def test_random_feature_diversity_is_close_and_additive(spark):
     assert one.method == "rff512" and one.n == 200
     assert one.diversity == pytest.approx(many.diversity, abs=1e-9)
     assert one.diversity == pytest.approx(exact, rel=0.1)
-    # A group past the cap is routed to random features and loses no row.
-    assert diversity(df, method="auto", cap=50, m=64).first().n == 200
+    # The method never depends on the number of rows, and no row is lost.
+    for n in (2, 50, 200):
+        some = diversity(df.limit(n), m=64).first()
+        assert (some.method, some.n) == ("rff64", n)
 
 
 def test_diversity_edge_cases(spark):
     rows = [(1, [0.0, 0.0])] + [(2, [1.0, 1.0])] * 5 + [(3, [100.0 * i, 0.0]) for i in range(6)]
     df = spark.createDataFrame(rows, "g int, z array<double>")
-    got = {r.g: r.diversity for r in diversity(df, ["g"]).collect()}
+    got = {r.g: r.diversity for r in diversity(df, ["g"], method="exact").collect()}
     assert got[1] == 0.0 and got[2] == pytest.approx(0.0, abs=1e-12) and got[3] == pytest.approx(1.0, abs=1e-9)
-    raw = {r.g: r.diversity for r in diversity(df, ["g"], normalize=False).collect()}
+    raw = {r.g: r.diversity for r in diversity(df, ["g"], normalize=False, method="exact").collect()}
     assert raw[1] == 1.0 and raw[3] == pytest.approx(6.0, abs=1e-6)
 
 
