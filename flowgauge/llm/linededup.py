@@ -1,10 +1,12 @@
-"""Repeated lines and passages: hash units of lines, keep the earliest occurrence, cut the others out.
+"""Repeated lines and passages: hash windows of units, keep the earliest occurrence, cut the others out.
 
 A text is cut into units: lines, and within a line sentences, which end at . ! ? before a blank or begin with a
-capital, so that a passage is found wherever it stands in a line.  Units are compared by their words, with A-Z as a-z
-and without ASCII signs at the words' ends.  Digests are grouped over all documents; the earliest occurrence is the one in the document with the
-smallest id, and there the first.  Any other occurrence is a repeat.  Repeats that follow each other are one passage,
-and passages of at least ``min_words`` words are cut out; shorter ones, such as common short sentences, stay.
+capital, so that a passage is found wherever it stands in a line.  A unit alone tells nothing, as names and common short
+sentences occur everywhere.  Compared are windows: the fewest units from each unit on, and those up to each unit, that
+have ``min_words`` words together.  Words are compared with A-Z as a-z and without ASCII signs at their ends.  Digests
+are grouped over all documents; the earliest occurrence is the one in the document with the smallest id, and there the
+first.  Any other occurrence is a repeat; of a line repeated at once the first one stays.  Words of repeats are cut out,
+so each of them stands in a stretch of at least ``min_words`` words that one earlier place has in that order.
 
 The table is grouped by (digest, smallest id), which Spark combines before it shuffles, and joined back on the digest,
 which adaptive execution splits where one digest holds many rows.  Texts meet only the digests of their own repeats.
@@ -35,10 +37,10 @@ _PLAIN[128:] = True
 _CAPITAL[list(range(ord("A"), ord("Z") + 1))] = True
 
 
-class Units:
-    """The units of several texts: digests, numbers of words, and spans as code points of their text."""
+class Windows:
+    """The windows of several texts: digests, first words and ends, and the words' places as code points of their text."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], min_words: int):
         raw = Words(texts)
         symbols, starts, ends, owner = raw.symbols, raw.starts, raw.ends, np.repeat(np.arange(len(texts)), np.diff(raw.first))
         plain = Words([t.lower() for t in texts])
@@ -57,54 +59,67 @@ class Units:
         breaks = np.concatenate([[0], np.cumsum(_LINE_BREAK[symbols])])
         begins[1:] = (capital[1:] | _ENDS[symbols[ends[:-1] - 1]] | (breaks[starts[1:]] != breaks[ends[:-1]])
                       | (owner[1:] != owner[:-1]))
-        first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(starts))
+        # from here on words are those with a form, numbered over all texts; words without one leave no gap
         counts = np.concatenate([[0], np.cumsum(has_form)])
-        self.words = counts[last] - counts[first]
-        # a polynomial over the forms in order; words without one leave no gap
-        up, down = powers(len(starts))
-        place = counts[:-1]
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(np.where(has_form, forms * up[place], np.uint64(0)))])
-        self.digests = mix64((sums[last] - sums[first]) * down[place[first]] + self.words.astype(np.uint64)) if len(first) \
-            else np.empty(0, dtype=np.uint64)
-        self.bounds = np.searchsorted(owner[first], np.arange(len(texts) + 1)) if len(first) \
-            else np.zeros(len(texts) + 1, dtype=np.int64)
+        self.first = counts[raw.first]
+        forms, owner = forms[has_form], owner[has_form]
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(forms * powers(len(forms))[0][: len(forms)])])
+        low, high = _unit_windows(np.unique(np.append(counts[:-1][begins], counts[-1])), min_words)
+        keep = np.append(owner, -1)[low] == np.append(owner, -1)[high - 1]
+        low, high = low[keep], high[keep]
+        order = np.lexsort((high, low))
+        self.low, self.high = low[order], high[order]
+        self.digests = self._of(self.low, self.high)
+        self.bounds = np.searchsorted(self.low, self.first)
         letters = np.concatenate([[0], np.cumsum((symbols & 0xC0) != 0x80)])
         origin = letters[raw.text_starts]
-        mine = owner[first]
-        self.starts = letters[starts[first]] - origin[mine]
-        # a unit reaches to the next one, or to the end of the text
-        follow = np.append(self.starts[1:], 0)
-        text_end = (origin[1:] - origin[:-1] - 1)[mine]
-        is_last = np.append(mine[1:] != mine[:-1], True) if len(first) else np.empty(0, dtype=bool)
-        self.ends = np.where(is_last, text_end, follow)
-
-    def passages(self, i: int, later: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+        # a word reaches to the next one, also one without a form, or to the end of the text
+        at = np.flatnonzero(has_form)
+        self.starts = letters[starts[at]] - origin[owner]
+        self.ends = letters[np.append(starts, len(symbols))[at + 1]] - origin[owner]
+        some = self.first[1:] > self.first[:-1]
+        self.starts[self.first[:-1][some]] = (letters[np.append(starts, 0)[raw.first[:-1]]] - origin[:-1])[some]
+        self.ends[self.first[1:][some] - 1] = (origin[1:] - origin[:-1] - 1)[some]
+
+    def _of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A polynomial over the forms of words low to high - 1."""
+        down = powers(len(self.sums) - 1)[1]
+        return mix64((self.sums[high] - self.sums[low]) * down[low] + (high - low).astype(np.uint64))
+
+    def passages(self, i: int, later: np.ndarray) -> list[tuple[int, int]]:
         """Spans of text i to cut; ``later`` has the digests whose earliest occurrence is in another document."""
         a, b = self.bounds[i], self.bounds[i + 1]
         if a == b:
             return []
-        keys, words = self.digests[a:b], self.words[a:b]
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(b - a, dtype=bool)
-        again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        repeat = (again | np.isin(keys, later)) | (words == 0)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], repeat, [False]])))
-        total = np.concatenate([[0], np.cumsum(words)])
-        return [(int(self.starts[a + x]), int(self.ends[a + y - 1]))
-                for x, y in zip(edges[0::2], edges[1::2], strict=True) if total[y] - total[x] >= min_words]
+        keys, low, high = self.digests[a:b], self.low[a:b], self.high[a:b]
+        _, place, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        repeat = (low > low[place][inverse]) | np.isin(keys, later)
+        begin, n = self.first[i], self.first[i + 1] - self.first[i]
+        depth = np.bincount(low[repeat] - begin, minlength=n + 1) - np.bincount(high[repeat] - begin, minlength=n + 1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(depth)[:n] > 0, [False]])))
+        return [(int(self.starts[begin + x]), int(self.ends[begin + y - 1]))
+                for x, y in zip(edges[0::2], edges[1::2], strict=True)]
 
 
-def unit_digests(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id): the distinct units of each row."""
+def _unit_windows(edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest windows of ``least`` words from each unit's begin and up to each unit's end, also across texts."""
+    after = np.searchsorted(edges, edges + least)
+    before = np.searchsorted(edges, edges - least, side="right") - 1
+    has, had = after < len(edges), before >= 0
+    low = np.concatenate([edges[has], edges[before[had]]])
+    high = np.concatenate([edges[after[has]], edges[had]])
+    return low, high
+
+
+def window_digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """(digest, doc_id): the distinct windows of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for some in slices(utf8(batch.column(1))):
-                found = Units(some)
-                each = [np.unique(found.digests[a:b][found.words[a:b] > 0])
-                        for a, b in zip(found.bounds, found.bounds[1:], strict=False)]
+                found = Windows(some, min_words)
+                each = [np.unique(found.digests[a:b]) for a, b in zip(found.bounds, found.bounds[1:], strict=False)]
                 ids = batch.column(0).slice(at, len(some)).take(
                     pa.array(np.repeat(np.arange(len(some)), [len(x) for x in each])))
                 flat = np.concatenate([np.empty(0, dtype=np.uint64), *each])
@@ -114,11 +129,11 @@ def unit_digests(docs: DataFrame) -> DataFrame:
     return id_text(docs).where("doc_id is not null").mapInArrow(run, "digest long, doc_id long")
 
 
-def repeated_digests(docs: DataFrame) -> DataFrame:
+def repeated_digests(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, later): for each document the digests whose earliest occurrence is in another one."""
-    rows = written(unit_digests(docs), "units")
+    rows = written(window_digests(docs, min_words), "windows")
     first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                    .where("first <> last").select("digest", "first"), "repeated-units")
+                    .where("first <> last").select("digest", "first"), "repeated-windows")
     return (rows.join(first, "digest").where("doc_id > first").groupBy("doc_id")
             .agg(F.collect_set("digest").alias("later")))
 
@@ -130,11 +145,11 @@ def _spans(min_words: int):
         known = iter(later.to_pylist())
         spans = []
         for some in slices(utf8(texts)):
-            found = Units(some)
+            found = Windows(some, min_words)
             for i in range(len(some)):
                 mine = next(known)
                 mine = np.array(mine, dtype=np.int64).view(np.uint64) if mine else none
-                spans.append(found.passages(i, mine, min_words))
+                spans.append(found.passages(i, mine))
         ends = np.cumsum([0, *map(len, spans)])
         flat = [s for x in spans for s in x]
         pairs = pa.StructArray.from_arrays([pa.array([s[0] for s in flat], type=pa.int32()),
@@ -155,7 +170,7 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 def with_spans(docs: DataFrame, min_words: int, name: str) -> DataFrame:
     """``docs`` with a column of the spans to cut."""
-    later = written(repeated_digests(docs), "later").select(F.col("doc_id").alias("_id"), F.col("later").alias("_later"))
+    later = written(repeated_digests(docs, min_words), "later").select(F.col("doc_id").alias("_id"), F.col("later").alias("_later"))
     joined = docs.join(later.hint("shuffle_hash"), docs["doc_id"] == later["_id"], "left")
     return joined.withColumn(name, _spans(min_words)(F.col("text"), F.col("_later"))).drop("_id", "_later")
 

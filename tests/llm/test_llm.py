@@ -315,6 +315,42 @@ def test_repeats_of_odd_rows(odd, empty):
     assert linededup.repeats(empty).count() == 0
 
 
+def brute_windows(text, least):
+    """(first word, end) of the shortest runs of whole units with ``least`` words, from each unit on and up to each one."""
+    words, edges = [], [0]
+    for _, _, form in brute_units(text):
+        words += form
+        edges.append(len(words))
+    pairs = {(a, min(b for b in edges if b >= a + least)) for a in edges if a + least <= edges[-1]}
+    pairs |= {(max(a for a in edges if a <= b - least), b) for b in edges if b >= least}
+    return words, sorted(pairs)
+
+
+def test_repeats_are_earlier_passages(spark, sf, docs):
+    """Every word cut lies in a window that an earlier document or place has, and every such window is cut."""
+    some = sorted(docs)[:300]
+    rows = common.documents(spark, sf).where(F.col("doc_id").isin(some))
+    first, want = {}, {}
+    for i in some:
+        words, pairs = brute_windows(docs[i].text, linededup.MIN_WORDS)
+        for a, b in pairs:
+            first.setdefault(tuple(words[a:b]), (i, a))
+        cut = {k for a, b in pairs if first[tuple(words[a:b])] != (i, a) for k in range(a, b)}
+        want[i] = [w for k, w in enumerate(words) if k not in cut]
+    found = {r.doc_id: r.text for r in linededup.repeats(rows).collect()}
+    assert {i: [w for u in (brute_units(t) if t.strip() else []) for w in u[2]] for i, t in found.items()} == want
+    assert any(found[i] != docs[i].text for i in some)
+
+
+def test_names_that_occur_elsewhere_stay(spark):
+    names = [f"Name{k}x" for k in range(40)]
+    rows = [(k, f"{n} was here with others of the place {k}. {n} left") for k, n in enumerate(names)]
+    rows += [(100, " ".join(names)), (101, "Mr. " + " ".join(names[::-1])), (102, "Quite so. " + " ".join(names))]
+    found = {r.doc_id: r for r in linededup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100].n_cut == 0 and found[101].n_cut == 0
+    assert found[102].text == "Quite so. "
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
