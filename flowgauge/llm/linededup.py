@@ -3,7 +3,9 @@
 A text is cut into units: lines, and within a line sentences, which end at . ! ? before a blank or begin with a
 capital, so that a passage is found wherever it stands in a line.  A unit alone tells nothing, as names and common short
 sentences occur everywhere.  Compared are windows: the fewest units from each unit on, and those up to each unit, that
-have ``min_words`` words together.  Words are compared with A-Z as a-z and without ASCII signs at their ends.  Digests
+have ``min_words`` words together.  So that a passage is also found where it begins and ends inside of units or has none,
+runs of exactly ``min_words`` words are compared too, of any ``RUNS`` neighbours the one with the smallest digest: two texts
+that share ``min_words`` + ``RUNS`` - 1 words in order share a run that both choose.  Words are compared with A-Z as a-z and without ASCII signs at their ends.  Digests
 are grouped over all documents; the earliest occurrence is the one in the document with the smallest id, and there the
 first.  Any other occurrence is a repeat; of a line repeated at once the first one stays.  Words of repeats are cut out,
 so each of them stands in a stretch of at least ``min_words`` words that one earlier place has in that order.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Words, id_text, mix64, powers, slices, utf8, written
 
 MIN_WORDS = 30
+#: of so many neighbouring runs of words at least one is compared
+RUNS = 16
 
 _LINE_BREAK, _ENDS, _PLAIN, _CAPITAL = (np.zeros(256, dtype=bool) for _ in range(4))
 _LINE_BREAK[ord("\n")] = True
@@ -65,6 +69,8 @@ class Windows:
         forms, owner = forms[has_form], owner[has_form]
         self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(forms * powers(len(forms))[0][: len(forms)])])
         low, high = _unit_windows(np.unique(np.append(counts[:-1][begins], counts[-1])), min_words)
+        runs = self._chosen_runs(min_words)
+        low, high = np.concatenate([low, runs]), np.concatenate([high, runs + min_words])
         keep = np.append(owner, -1)[low] == np.append(owner, -1)[high - 1]
         low, high = low[keep], high[keep]
         order = np.lexsort((high, low))
@@ -86,6 +92,20 @@ class Windows:
         down = powers(len(self.sums) - 1)[1]
         return mix64((self.sums[high] - self.sums[low]) * down[low] + (high - low).astype(np.uint64))
 
+    def _chosen_runs(self, size: int) -> np.ndarray:
+        """First words of the runs of ``size`` words with the smallest digest of some RUNS neighbours in their text."""
+        starts = np.arange(max(0, len(self.sums) - size))
+        if len(starts) < RUNS:
+            return starts[:0]
+        keys = self._of(starts, starts + size)
+        least = _over(keys, RUNS, np.minimum)
+        text = np.searchsorted(self.first, starts[: len(least)], side="right")
+        inside = starts[: len(least)] + RUNS - 1 + size <= np.append(self.first, self.first[-1])[text]
+        # the neighbourhoods of a run are those that begin up to RUNS - 1 runs before it
+        none = np.zeros(RUNS - 1, dtype=np.uint64)
+        most = _over(np.concatenate([none, np.where(inside, least, np.uint64(0)), none]), RUNS, np.maximum)
+        return starts[(keys == most) & (most > 0)]
+
     def passages(self, i: int, later: np.ndarray) -> list[tuple[int, int]]:
         """Spans of text i to cut; ``later`` has the digests whose earliest occurrence is in another document."""
         a, b = self.bounds[i], self.bounds[i + 1]
@@ -101,6 +121,15 @@ class Windows:
                 for x, y in zip(edges[0::2], edges[1::2], strict=True)]
 
 
+def _over(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """``pick`` over every ``size`` neighbours, a power of two."""
+    step = 1
+    while step < size:
+        values = pick(values[:-step], values[step:])
+        step *= 2
+    return values
+
+
 def _unit_windows(edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The shortest windows of ``least`` words from each unit's begin and up to each unit's end, also across texts."""
     after = np.searchsorted(edges, edges + least)

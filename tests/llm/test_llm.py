@@ -326,20 +326,53 @@ def brute_windows(text, least):
     return words, sorted(pairs)
 
 
+def form_words(text):
+    """(start, form) of the words with a form."""
+    signs = "".join(map(chr, [*range(48), *range(58, 97), *range(123, 128)]))
+    found = [(m.start(), lower(m[0]).strip(signs)) for m in re.finditer(BLANK, text)]
+    return [(a, w) for a, w in found if w]
+
+
 def test_repeats_are_earlier_passages(spark, sf, docs):
-    """Every word cut lies in a window that an earlier document or place has, and every such window is cut."""
-    some = sorted(docs)[:300]
+    """Every word cut is in a run that stands earlier; every window of units that does is cut, every long run in part."""
+    some, least = sorted(docs)[:300], linededup.MIN_WORDS
     rows = common.documents(spark, sf).where(F.col("doc_id").isin(some))
-    first, want = {}, {}
+    first, all_words = {}, {}
+    long = least + linededup.RUNS - 1
     for i in some:
-        words, pairs = brute_windows(docs[i].text, linededup.MIN_WORDS)
-        for a, b in pairs:
-            first.setdefault(tuple(words[a:b]), (i, a))
-        cut = {k for a, b in pairs if first[tuple(words[a:b])] != (i, a) for k in range(a, b)}
-        want[i] = [w for k, w in enumerate(words) if k not in cut]
-    found = {r.doc_id: r.text for r in linededup.repeats(rows).collect()}
-    assert {i: [w for u in (brute_units(t) if t.strip() else []) for w in u[2]] for i, t in found.items()} == want
-    assert any(found[i] != docs[i].text for i in some)
+        words = all_words[i] = [w for _, w in form_words(docs[i].text)]
+        for size in (least, long):
+            for a in range(len(words) - size + 1):
+                first.setdefault(tuple(words[a : a + size]), (i, a))
+        for a, b in brute_windows(docs[i].text, least)[1]:
+            first.setdefault((tuple(words[a:b]), "units"), (i, a))
+    n_cut = 0
+    for r in linededup.repeats(rows).collect():
+        i, words = r.doc_id, all_words[r.doc_id]
+        cut = {k for k, (a, _) in enumerate(form_words(docs[i].text)) if any(x <= a < y for x, y in r.spans)}
+        runs = [a for a in range(len(words) - least + 1) if first[tuple(words[a : a + least])] != (i, a)]
+        assert cut <= {k for a in runs for k in range(a, a + least)}
+        for a, b in brute_windows(docs[i].text, least)[1]:
+            assert first[tuple(words[a:b]), "units"] == (i, a) or cut.issuperset(range(a, b))
+        for a in range(len(words) - long + 1):
+            assert first[tuple(words[a : a + long])] == (i, a) or not cut.isdisjoint(range(a, a + long))
+        n_cut += len(cut)
+    assert n_cut
+
+
+def test_passage_that_begins_inside_sentences(spark):
+    """Twelve, 25 and 18 words around two full stops, and 60 words without any."""
+    def words(n, name):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    passages = [f"{words(12, 'a')}. {words(25, 'b')}. {words(18, 'c')}", words(60, "d")]
+    rows = [(2 * k + j, f"{words(20, f'x{j}')} {p} {words(20, f'y{j}')}.") for k, p in enumerate(passages) for j in (0, 1)]
+    found = {r.doc_id: r for r in linededup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert found[2 * k].n_cut == 0
+        (span,) = found[2 * k + 1].spans
+        cut = rows[2 * k + 1][1][span[0] : span[1]]
+        assert cut.strip() in p and len(cut.split()) >= linededup.MIN_WORDS
 
 
 def test_names_that_occur_elsewhere_stay(spark):
