@@ -3,7 +3,7 @@
 The tokenizers of this module cut a text into pieces by a pattern and encode each piece on its own, so the ids of a text
 are those of its pieces in order.  Pieces are found on arrays of code points, hashed, and only pieces not seen before go
 to the library.  That holds for code points whose class is beyond doubt (Latin letters, ASCII, no rare blanks); texts
-with any other code point go to the library whole, with the same result.
+with any other code point, or with the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -150,9 +150,10 @@ class Encoder:
         self.cuts = cuts
         if ("tokenizer", path) not in process_cache():
             library = Tokenizer.from_file(path)
-            library.encode_special_tokens = True
-            process_cache()["tokenizer", path] = library, Known(remember)
-        self.library, self.seen = process_cache()["tokenizer", path]
+            added = [re.escape(t.content) for t in library.get_added_tokens_decoder().values() if t.content]
+            pattern = re.compile("|".join(added) if added else "(?!)", re.IGNORECASE)
+            process_cache()["tokenizer", path] = library, Known(remember), pattern
+        self.library, self.seen, self.added = process_cache()["tokenizer", path]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -161,7 +162,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids for each text."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        safe = [i for i, t in enumerate(texts) if _SAFE.fullmatch(t)]
+        safe = [i for i, t in enumerate(texts) if _SAFE.fullmatch(t) and not self.added.search(t)]
         odd = sorted(set(range(len(texts))) - set(safe))
         for some in slices([texts[i] for i in odd]):
             for ids in self.whole(some):

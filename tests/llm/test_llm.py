@@ -481,6 +481,20 @@ def test_encoder_is_the_library(name, cuts, docs):
         assert np.array_equal(got, want)
 
 
+@pytest.mark.parametrize(("name", "cuts"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_is_the_untouched_library(name, cuts, docs):
+    """Also where a text holds the string of an added token."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [f"{x}{t}{y}" for t in added for form in (t, t.upper(), t.lower()) for t in [form] for x in ("", "a ") for y in ("", " b")]
+    texts += [r.text for r in list(docs.values())[:100]] + ["a <|endoftext|> b"]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.Encoder(path, cuts).encode(texts)] == want
+
+
 def reference_ids(name, text, end):
     encoder = tokens.Encoder(public_tokenizers.path(name), "word")
     return [*encoder.whole([text or ""])[0].tolist(), end]
