@@ -171,3 +171,15 @@ def test_majority_and_silhouette(spark):
             s.append((b - a) / max(a, b))
         assert silhouette(df, mode).first().silhouette == pytest.approx(np.mean(s))
     assert math.isclose(silhouette(df.filter("cluster_id = 0"), "fast").first().silhouette, 0.0)
+
+
+def test_label_subsets_gather_no_cluster_in_one_task(spark, monkeypatch):
+    from flowgauge.catalog import sweeps as registered
+    from flowgauge.plans import sweeps
+
+    def gathered(*_):
+        raise AssertionError("points of a cluster meet in one task")
+
+    monkeypatch.setattr(sweeps, "exact_vendi", gathered)
+    found = registered.x1(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == 1023 and all(0 <= r.diversity <= 1 for r in found)
