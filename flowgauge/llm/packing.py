@@ -115,6 +115,8 @@ def pack_plan(counts: dict[int, int], capacity: int) -> Plan:
             large.pop()
             continue
         other = large[at]
+        if other == longest and left[longest] == 1 and at:
+            other = large[at - 1]  # a single piece goes with the next shorter one
         if other == longest:
             many, odd = divmod(left[longest], 2)
             if not many:

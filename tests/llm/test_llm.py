@@ -540,6 +540,11 @@ def test_plan_on_counts():
     assert packing.pack_plan({}, 10).steps == []
 
 
+def test_single_large_pieces_go_in_pairs():
+    assert packing.pack_plan({k: 1 for k in range(1981, 2001)}, 4096).sequences == 10
+    assert packing.pack_plan({2000: 3, 1999: 1}, 4096).sequences == 2
+
+
 def test_packing_of_odd_rows(odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     found = packing.pack_documents(odd, path, 1, 64).collect()
