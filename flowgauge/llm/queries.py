@@ -8,7 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, license, linededup, minhash, oracles, packing, pieces, quality, sharding, token_orc, toxicity
+from . import (
+    common,
+    filter_audit,
+    fingerprint,
+    license,
+    linededup,
+    merkle,
+    minhash,
+    ngram_join,
+    oracles,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    token_orc,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +103,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
                        token_orc.ids_crc32(F.col("ids")).alias("ids_crc32"), pieces.decode(F.col("ids"), model).alias("text"))
     return texts.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op11_ngram_join", oracles.NGRAM_JOIN)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(common.documents(spark, sf_dir))
+
+
+@query("op12_merkle_manifest", oracles.MERKLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(*merkle.manifest(common.documents(spark, sf_dir)))
+
+
+@query("op13_filter_audit", oracles.FILTER_AUDIT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
