@@ -93,7 +93,7 @@ def proximity(assigned: DataFrame, keys: list[str] | None = None, alternative: s
     return ks(assigned, "neg_dist", "side", [*keys, "pos"], alternative, bins).withColumnRenamed("ks", "proximity")
 
 
-def _hull(test: np.ndarray, train: np.ndarray) -> list[int]:
+def hull(test: np.ndarray, train: np.ndarray) -> list[int]:
     """Places of the points of a curve that some a * test - b * train with a, b > 0 is largest at."""
     kept: list[int] = []
     for i in np.lexsort((-test, train)).tolist():
@@ -118,7 +118,7 @@ def corners(points: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.to_pandas()
             keep = [places[k] for places in rows.groupby(["pos", "bin"]).indices.values()
-                    for k in _hull(rows["_ct"].to_numpy()[places], rows["_cr"].to_numpy()[places])]
+                    for k in hull(rows["_ct"].to_numpy()[places], rows["_cr"].to_numpy()[places])]
             yield batch.take(pa.array(keep, type=pa.int64()))
 
     return points.mapInArrow(fold, points.schema)

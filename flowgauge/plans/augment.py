@@ -11,6 +11,7 @@ from ..functions.bounded import bounded_side
 from ..functions.ordering import running
 from ..operators.assign import ClusterModel, assign, negative_counts
 from ..operators.classify import retrain_and_score
+from ..operators.curves import CurveSummary, curve_summary, ks_with_batches
 from ..operators.diversity import (
     DEFAULT_FREQUENCIES,
     add_covariances,
@@ -19,7 +20,7 @@ from ..operators.diversity import (
     exact_vendi,
 )
 from ..operators.episodes import best_of
-from ..operators.proximity import ks_from_counts, value_counts
+from ..operators.proximity import value_counts
 from ..operators.sampling import sample_n, train_pool_holdout
 from ..operators.scarcity import scarcity_from_counts
 from ..operators.scores import reward, reward_weights
@@ -31,11 +32,18 @@ class BaseScores:
 
     model: ClusterModel
     counts: DataFrame  # pos, neg, n of test rows
-    values: DataFrame  # pos, value, n_test, n_train
+    curves: CurveSummary  # of negative distances
     test: DataFrame  # pos, z of test rows
     points: DataFrame  # pos, z, weight of distinct test points
     scores: DataFrame  # pos, diversity, proximity, scarcity
     diversity: "DiversityOptions"  # how base and candidates alike are scored
+    bins: float | None = None  # grid of the distances
+
+    def release(self) -> None:
+        """Give up the memory that holds the partials."""
+        self.curves.release()
+        for part in (self.counts, self.points, self.scores):
+            part.unpersist()
 
 
 @dataclass(frozen=True)
@@ -57,22 +65,21 @@ def base_scores(df: DataFrame, clusters: "DataFrame | ClusterModel", gamma: floa
     return BaseScores(
         model,
         negative_counts(test).persist(),
-        value_counts(found.assignments, "neg_dist", "side", ["pos"], bins).persist(),
+        curve_summary(value_counts(found.assignments, "neg_dist", "side", ["pos"], bins)),
         test.select("pos", F.col(z).alias("z")),
         test.groupBy("pos", F.col(z).alias("z")).agg(F.count(F.lit(1)).alias("weight")).persist(),
         found.cluster_scores.select(F.col("cluster_id").alias("pos"), "diversity", "proximity", "scarcity").persist(),
         DiversityOptions(method, m, seed, gamma),
+        bins,
     )
 
 
-def candidate_scores(
-    base: BaseScores, batches: DataFrame, bins: float | None = None, z: str = "z", y: str = "y", batch: str = "batch",
-) -> DataFrame:
+def candidate_scores(base: BaseScores, batches: DataFrame, z: str = "z", y: str = "y", batch: str = "batch") -> DataFrame:
     """Scores of test set plus batch, for every batch: ``batch, diversity, proximity, scarcity``.
 
-    A batch only changes the clusters its rows fall into; those (batch, cluster)
-    pairs add the batch's partials to the base partials, all other clusters keep their base
-    score.
+    A batch only changes the clusters its rows fall into.  There its counts and matrices are added to those of the base,
+    and proximity comes from the nodes of the base's curve summary that its values touch; all other clusters keep their
+    base score.
     """
     rows = assign(batches, base.model, z=z, y=y).select(batch, "pos", "neg", "neg_dist", F.col(z).alias("z")).persist()
     touched = bounded_side(rows.select(batch, "pos").distinct())
@@ -84,10 +91,8 @@ def candidate_scores(
     counts = with_base(base.counts).select(batch, "pos", "neg", "n").unionByName(negative_counts(rows, [batch]))
     counts = counts.groupBy(*keys, "neg").agg(F.sum("n").alias("n"))
     s = scarcity_from_counts(counts, base.model, [batch])
-    added = value_counts(rows.withColumn("side", F.lit("test")), "neg_dist", "side", keys, bins)
-    values = with_base(base.values).select(*keys, "value", "n_test", "n_train").unionByName(added)
-    values = values.groupBy(*keys, "value").agg(F.sum("n_test").alias("n_test"), F.sum("n_train").alias("n_train"))
-    p = ks_from_counts(values, keys)
+    added = value_counts(rows.withColumn("side", F.lit("test")), "neg_dist", "side", keys, base.bins)
+    p = ks_with_batches(base.curves, added.select(*keys, "value", F.col("n_test").alias("n")), batch)
     d = _candidate_diversity(base, rows, touched, keys)
     pieces = (
         touched.join(d.select(*keys, "diversity"), keys, "left")
@@ -95,13 +100,12 @@ def candidate_scores(
         .join(s.select(*keys, "scarcity"), keys, "left")
         .na.fill(0.0, ["diversity", "proximity", "scarcity"])
     )
-    # Untouched clusters: base scores, expanded per batch from a table of one row per cluster.
-    known = base.scores.agg(
-        F.collect_list(F.struct("pos", "diversity", "proximity", "scarcity")).alias("s")
-    ).first().s
-    kept = touched.groupBy(batch).agg(F.collect_set("pos").alias("_seen")).withColumn("_b", F.explode(F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in known
-    ]))).filter(~F.array_contains("_seen", F.col("_b.pos"))).select(batch, "_b.*")
+    # Untouched clusters: base scores, expanded per batch from one row with an entry per cluster of the model.
+    known = F.broadcast(base.scores.groupBy(F.lit(0).alias("_one")).agg(
+        F.collect_list(F.struct("pos", "diversity", "proximity", "scarcity")).alias("_s")))
+    seen = touched.groupBy(batch).agg(F.collect_set("pos").alias("_seen")).withColumn("_one", F.lit(0))
+    kept = seen.join(known, "_one").select(
+        batch, F.inline(F.filter("_s", lambda s: ~F.array_contains("_seen", s["pos"]))))
     return pieces.unionByName(kept).groupBy(batch).agg(
         F.avg("diversity").alias("diversity"), F.max("proximity").alias("proximity"), F.avg("scarcity").alias("scarcity")
     )
