@@ -2,37 +2,40 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.bounded import local_table
+from ..functions.vectors import distance
 from ..operators.assign import assign, nearest, negative_grid
 from ..operators.clustering import (
-    best_k, cluster, cluster_accuracy, cluster_table, kmeans_sweep, majority_labels, model_centroids, silhouette,
+    best_k, cluster, cluster_accuracy, cluster_table, kmeans_fits, kmeans_sweep, majority_labels, mean_vectors, silhouette,
 )
+from ..operators.lloyd import nearest_of
 from . import query
 from .views import (
-    ASSIGNED_SQL, CLUSTERS_SQL, FLOW_ASSIGNED_SQL, FLOW_SCORES_SQL, SCORES_SQL, assessed, cell_model, flow_latent, latent,
+    ASSIGNED_SQL, CLUSTERS_SQL, FLOW_ASSIGNED_SQL, FLOW_SCORES_SQL, LATENT_SQL, SCORES_SQL, assessed, cell_model, flow_latent, latent,
     rounded,
 )
 
 
 @query("c1_kmeans_sweep")
 def c1(spark, sf):
-    scores, _ = kmeans_sweep(latent(spark, sf).select("row_id", "y", "z"), [2, 4, 8], restarts=2)
+    """All default k with ten restarts each."""
+    scores, _ = kmeans_sweep(latent(spark, sf).select("row_id", "y", "z"))
     return scores
 
 
-@query("c1b_kmeans_costs", "SELECT k, 1 AS holds FROM (VALUES (2), (4), (8)) v(k)")
+@query("c1b_kmeans_members", LATENT_SQL + "SELECT k, row_id, true AS nearest, true AS centred FROM latent, (VALUES (2), (5), (12)) v(k)")
 def c1b(spark, sf):
-    """The cost of each fit is the summed squared distance of all rows to their nearest centre, and falls with k."""
+    """Of every row and fit: its cluster's centre is the nearest one, and the mean of all rows in that cluster."""
     rows = latent(spark, sf).select("row_id", "y", "z")
-    scores, models = kmeans_sweep(rows, [2, 4, 8], restarts=2)
-    told = {r.k: r.cost for r in scores.collect()}
-    out = []
-    for k, model in models.items():
-        near = nearest(rows, model_centroids(model))
-        cost = near.agg(F.sum(F.col("cluster_id_dist") ** 2)).first()[0]
-        smaller = all(told[j] > told[k] for j in told if j < k)
-        out.append((k, int(abs(cost - told[k]) <= 1e-6 * cost and smaller)))
-    return local_table(spark, out, "k int, holds int")
+    fits = kmeans_fits(rows, [2, 5, 12], restarts=3, max_iter=300)
+    every = rows.withColumn("k", F.explode(F.array(*map(F.lit, fits))))
+    members = nearest_of(every, {k: fit.centres for k, fit in fits.items()}, "k")
+    means = mean_vectors(members, ["k", "cluster_id"], out="mean").groupBy("k").agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster_id", "mean"))).alias("means"))
+    centres = F.create_map(*[x for k, fit in fits.items() for x in (F.lit(k), F.lit(fit.centres.tolist()))])
+    own, mean = F.get("centres", F.col("cluster_id")), F.element_at("means", F.col("cluster_id"))
+    least = F.array_min(F.transform("centres", lambda c: distance(F.col("z"), c)))
+    return members.join(F.broadcast(means), "k").withColumn("centres", centres[F.col("k")]).select(
+        "k", "row_id", (distance(F.col("z"), own) <= least + 1e-9).alias("nearest"), (distance(own, mean) < 1e-2).alias("centred"))
 
 
 @query(
@@ -106,7 +109,7 @@ def c6(spark, sf):
 
 @query("c7_choose_and_label")
 def c7(spark, sf):
-    clusters, _, summary = cluster(latent(spark, sf).select("row_id", "y", "z"), [3, 6, 10], restarts=2)
+    clusters, _, summary = cluster(latent(spark, sf).select("row_id", "y", "z"))
     best = summary.first()
     return clusters.withColumns({
         "best_k": F.lit(best.best_k), "silhouette": F.lit(best.silhouette), "km_accuracy": F.lit(best.km_accuracy)

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,6 +17,7 @@ from ..functions.hashing import hash_hex, hex_int
 from ..functions.ordering import same_key
 from ..functions.bounded import bounded_rows, bounded_side, local_table
 from .assign import CLUSTER_SCHEMA, ClusterError, ClusterModel, as_matrix, nearest
+from .lloyd import Fit, kmeans_many, nearest_of
 
 # The default candidate list and number of restarts.
 DEFAULT_KS = [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20]
@@ -124,23 +123,10 @@ def seed_cells(
 
 def kmeans_fits(
     df: DataFrame, ks: list[int], seed: int = 42, restarts: int = DEFAULT_RESTARTS, z: str = "z", max_iter: int = 50,
-    parallelism: int = 4,
-) -> dict[int, tuple]:
-    """Lowest-cost (model, cost) per k over ``restarts`` seeds; fits run side by side."""
-    vectors = df.select(array_to_vector(F.col(z)).alias("features")).persist()
-
-    def fit(task: tuple[int, int]):
-        k, r = task
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode="k-means||").fit(vectors)
-        return k, float(model.summary.trainingCost), r, model
-
-    with ThreadPool(parallelism) as pool:
-        done = pool.map(fit, [(k, r) for k in ks for r in range(restarts)], chunksize=1)
-    vectors.unpersist()
-    best: dict[int, tuple] = {}
-    for k, cost, _, model in sorted(done, key=lambda d: (d[0], d[1], d[2])):
-        best.setdefault(k, (model, cost))
-    return best
+    row_id: str = "row_id",
+) -> dict[int, Fit]:
+    """Lowest-cost fit per k over ``restarts`` seeds; all models advance in the same passes."""
+    return {k: fit for (_, k), fit in kmeans_many(df, ks, restarts, seed, z, row_id, max_iter=max_iter).items()}
 
 
 def silhouette(
@@ -302,39 +288,52 @@ def kmeans_sweep(
     mode: str = "fast",
     z: str = "z",
     row_id: str = "row_id",
-) -> tuple[DataFrame, dict]:
-    """Fit every k below the row count; scores ``k, cost, silhouette, mode`` and the models."""
-    held = df.is_cached  # a caller's own cache stays as it is
-    df = df.persist()
-    n = df.count()
-    usable = [k for k in (DEFAULT_KS if ks is None else ks) if k < n]
-    if not usable:
-        raise ClusterError(f"No candidate k is below the {n} rows to cluster")
-    fits = kmeans_fits(df, usable, seed, restarts, z)
-    rows, models = [], {}
-
-    def measure(k: int) -> float:
-        return float(silhouette(predict(df, fits[k][0], z), mode, z=z, row_id=row_id).first().silhouette)
-
-    with ThreadPool(4) as pool:
-        scores = pool.map(measure, usable, chunksize=1)
-    for k, s in zip(usable, scores, strict=True):
-        model, cost = fits[k]
-        rows.append((k, cost, s, mode))
-        models[k] = model
-    if not held:
-        df.unpersist()
-    return local_table(df.sparkSession, rows, "k int, cost double, silhouette double, mode string"), models
-
-
-def model_centroids(model) -> ClusterModel:
-    centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    return ClusterModel(list(range(len(centres))), centres, [-1] * len(centres), [0] * len(centres))
-
-
-def predict(df: DataFrame, model, z: str = "z") -> DataFrame:
+) -> tuple[DataFrame, dict[int, Fit]]:
+    """Fit every k below the row count; scores ``k, cost, silhouette, mode`` and the fits."""
+    fits = kmeans_fits(df, DEFAULT_KS if ks is None else ks, seed, restarts, z, row_id=row_id)
+    rows = []
+    for k, fit in sorted(fits.items()):
+        score = fit.silhouette
+        if mode != "fast":
+            score = float(silhouette(predict(df, fit, z), mode, z=z, row_id=row_id).first().silhouette)
+        rows.append((k, fit.cost, score, mode))
+    return local_table(df.sparkSession, rows, "k int, cost double, silhouette double, mode string"), fits
+
+
+def model_centroids(fit: Fit) -> ClusterModel:
+    return ClusterModel(list(range(len(fit.centres))), fit.centres.tolist(), [-1] * len(fit.centres), [0] * len(fit.centres))
+
+
+def predict(df: DataFrame, fit: Fit, z: str = "z") -> DataFrame:
     """Nearest centre of a fitted k-means as ``cluster_id``."""
-    return nearest(df, model_centroids(model), z).drop("cluster_id_dist")
+    return nearest(df, model_centroids(fit), z).drop("cluster_id_dist")
+
+
+def cluster_many(
+    df: DataFrame, group: str, ks: list[int] | None = None, restarts: int = DEFAULT_RESTARTS, seed: int = 42,
+    z: str = "z", y: str = "y", row_id: str = "row_id",
+) -> tuple[DataFrame, DataFrame]:
+    """``cluster`` for every value of an int column at once.
+
+    Returns the cluster table and a summary ``best_k, silhouette, km_accuracy``, both keyed by ``group``.
+    """
+    fits = kmeans_many(df, DEFAULT_KS if ks is None else ks, restarts, seed, z, row_id, group)
+    chosen: dict[int, tuple[int, Fit]] = {}
+    for (g, k), fit in sorted(fits.items()):
+        if g not in chosen or fit.silhouette > chosen[g][1].silhouette:
+            chosen[g] = k, fit
+    spark = df.sparkSession
+    members = nearest_of(df, {g: fit.centres for g, (_, fit) in chosen.items()}, group, z)
+    labels = majority_labels(members, [group], y=y)
+    base = local_table(spark, [(g, i, list(map(float, c))) for g, (_, fit) in chosen.items() for i, c in enumerate(fit.centres)],
+                       f"{group} int, cluster_id int, centroid array<double>")
+    table = base.join(labels, [group, "cluster_id"], "left").select(
+        group, "cluster_id", "centroid", F.coalesce("majority_y", F.lit(-1)).alias("majority_y"),
+        F.coalesce("n_train", F.lit(0)).cast("bigint").alias("n_train"))
+    rated = local_table(spark, [(g, k, float(fit.silhouette)) for g, (k, fit) in chosen.items()],
+                        f"{group} int, best_k int, silhouette double")
+    accuracy = labels.groupBy(group).agg((F.sum("n_majority") / F.sum("n_train")).alias("km_accuracy"))
+    return table, rated.join(accuracy, group)
 
 
 def best_k(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -356,9 +355,9 @@ def cluster(
     row_id: str = "row_id",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sweep, choose k, label the clusters: (cluster table, members, one-row summary)."""
-    scores, models = kmeans_sweep(df, ks, restarts, seed, mode, z, row_id)
+    scores, fits = kmeans_sweep(df, ks, restarts, seed, mode, z, row_id)
     chosen = best_k(scores).first()
-    model = models[chosen.best_k]
+    model = fits[chosen.best_k]
     members = predict(df, model, z)
     table = cluster_table(members, model_centroids(model), z=z, y=y)
     accuracy = cluster_accuracy(members, y=y).first().km_accuracy
@@ -369,6 +368,6 @@ def cluster(
 
 
 __all__ = [
-    "CLUSTER_SCHEMA", "DEFAULT_KS", "best_k", "block_sums", "cluster", "cluster_accuracy", "cluster_table",
+    "CLUSTER_SCHEMA", "DEFAULT_KS", "best_k", "block_sums", "cluster", "cluster_accuracy", "cluster_many", "cluster_table",
     "kmeans_fits", "kmeans_sweep", "majority_labels", "mean_vectors", "predict", "seed_cells", "silhouette",
 ]
