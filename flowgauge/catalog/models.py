@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bounded import local_table, work_dir
 from ..operators.classify import FittedClassifier, fit_classifier, grid_search, retrain_and_score
-from ..operators.mlp import encode, fit_encoder, sweep_encoder
+from ..operators.mlp import encode, fit_encoder, random_trials, sweep_encoder
 from . import query
 from .views import LATENT_SQL, flow_latent, latent, rounded
 
@@ -133,18 +133,18 @@ def _history(spark, rows):
 
 @query("n8_contrastive_encoder")
 def n8(spark, sf):
-    net, history = fit_encoder(_rows(spark, sf, "train"), [16], 3, epochs=3, batches=2, lr=5e-3)
+    net, history = fit_encoder(_rows(spark, sf, "train"))
     last = history[-1]["loss"]
     return encode(_rows(spark, sf, "test"), net).select("row_id", "y", "z").withColumn("loss", F.lit(last))
 
 
 @query("n9_plain_encoder")
 def n9(spark, sf):
-    _, history = fit_encoder(_rows(spark, sf, "train"), [16], 3, epochs=3, batches=2, lr=5e-3, lam=0.0)
+    _, history = fit_encoder(_rows(spark, sf, "train"), lam=0.0)
     return _history(spark, history)
 
 
 @query("n10_encoder_sweep")
 def n10(spark, sf):
-    trials = [{"hidden": [8], "latent": 2, "epochs": 1, "batches": 1}, {"hidden": [16], "latent": 3, "epochs": 1, "batches": 1}]
-    return sweep_encoder(_rows(spark, sf, "train"), trials, [3, 6])
+    # four of the drawn trials, trained at the default epochs; all default k
+    return sweep_encoder(_rows(spark, sf, "train"), random_trials(4), validation=_rows(spark, sf, "val"))

@@ -1,17 +1,21 @@
 """Parameter sweeps and whole experiments."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from ..functions.bounded import spread
 from ..operators.clean import apply_labels, fit_labels
 from ..operators.clustering import seed_cells
 from ..operators.perturb import map_actions
 from ..operators.sampling import half_splits, random_configs
 from ..operators.scores import feature_stats, improvement, mean_std
+from ..plans.assess import ALL_METRICS
 from ..plans.augment import augmentation_comparison, base_scores, three_arm_retrain, transfer
-from ..plans.report import end_to_end
+from ..plans.report import embedded, end_to_end
 from ..plans.sweeps import (
-    compare_datasets, compare_encoders, dispersion_scores, dispersion_sweep, label_subset_scores, label_subset_sweep,
-    ranked_subset_scores, ranked_subset_sweep, select_by_splits,
+    compare_datasets, compare_encoders, dispersion_scores, dispersion_sweep, embed_per_seed, encoder_means, kmeans_clusters,
+    label_subset_scores, label_subset_sweep, ranked_subset_scores, ranked_subset_sweep, select_by_splits,
 )
 from . import query
 from .models import FOREST
@@ -144,7 +148,11 @@ def x4(spark, sf):
         F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
         *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
     )
-    return compare_encoders(rows, names, [42], [4, 8], hidden=[8], latent=3, epochs=1, batches=1)
+    # ten seeds, both encoders, all default k
+    scores = compare_encoders(spread(rows), names, restarts=3, m=64).persist()
+    means = encoder_means(scores)
+    columns = [c for c in (*scores.columns, *means.columns) if c not in ("seed", "encoder", "best_k", "n")]
+    return rounded(scores.join(means.drop("n"), "encoder"), *columns)
 
 
 # The same comparison in SQL: label means as clusters, ten seeds.
@@ -192,17 +200,10 @@ _ORDERS = (
     + "SELECT * FROM lines_row UNION ALL SELECT * FROM orders_set_row",
 )
 def x5(spark, sf):
-    def orders():
-        rows = table(spark, sf, "orders").select(
-            F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"),
-            F.col("o_custkey").cast("double").alias("customer"), F.col("o_orderpriority").alias("label"),
-        )
-        return apply_labels(rows, fit_labels(rows)).drop("label"), ["price", "customer"]
-
     found = compare_datasets(
         {
             "lines": lambda: (coded_flows(spark, sf).drop("label"), FEATURES),
-            "orders_set": orders,
+            "orders_set": lambda: _orders_set(spark, sf),
             "absent": lambda: (spark.read.parquet(f"{sf}/absent.parquet"), FEATURES),
         },
         metrics=("proximity", "scarcity"),
@@ -210,6 +211,30 @@ def x5(spark, sf):
     return rounded(found, "proximity_mean", "proximity_std", "scarcity_mean", "scarcity_std")
 
 
+def _orders_set(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"),
+        F.col("o_custkey").cast("double").alias("customer"), F.col("o_orderpriority").alias("label"),
+    )
+    return apply_labels(rows, fit_labels(rows)).drop("label"), ["price", "customer"]
+
+
+@query("x5b_dataset_comparison_embedded")
+def x5b(spark, sf):
+    """Two datasets over ten seeds with encoder, the default k with two restarts and all three scores."""
+    def vectors():
+        names = [f"e{i}" for i in range(64)]
+        rows = table(spark, sf, "embeddings").select(
+            F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
+            *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+        return spread(rows), names
+
+    found = compare_datasets(
+        {"embeddings": vectors, "orders_set": lambda: _orders_set(spark, sf)}, encoder=embed_per_seed,
+        clusterer=partial(kmeans_clusters, restarts=2), m=64)
+    return rounded(found, *[f"{s}_{f}" for s in ("diversity", "proximity", "scarcity") for f in ("mean", "std")])
+
+
 def _batches(spark, rows):
     """Validation rows as candidate batches, four by hash."""
     h = F.conv(F.substring(F.md5(F.col("row_id").cast("string")), 1, 4), 16, 10).cast("int")
@@ -306,3 +331,11 @@ def x11(spark, sf):
         report.assessment.cluster_scores.select("cluster_id", "majority_y", "n_train", "n_test", "proximity", "scarcity"),
         "proximity", "scarcity",
     )
+
+
+@query("x11b_end_to_end_embedded")
+def x11b(spark, sf):
+    """Cleaning, encoder, the default k-means sweep and all three scores."""
+    report = end_to_end(dirty_flows(spark, sf), FEATURES, dedup=True, encoder=embedded, m=64)
+    scores = report.assessment.cluster_scores
+    return rounded(scores.select("cluster_id", "majority_y", "n_train", "n_test", *ALL_METRICS), *ALL_METRICS)

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -242,11 +242,10 @@ def gradient(net: Network, x: np.ndarray, a: np.ndarray, b: np.ndarray, differen
     )
 
 
-def training_batches(df: DataFrame, batches: int, seed: int, y: str, row_id: str, features: str) -> DataFrame:
-    """Rows and contrastive pairs, written once and partitioned by batch.
+def _batch_rows(df: DataFrame, batches: int, seed: int, y: str, row_id: str, features: str) -> DataFrame:
+    """``batch, x, x2, different``: rows (x2 is null) and contrastive pairs of one training set.
 
-    Each row belongs to one batch by its hash; the number of pairs follows the
-    rows (one per two rows).  A step then reads only its own batch.
+    Each row belongs to one batch by its hash; the number of pairs follows the rows (one per two rows).
     """
     cell = F.pmod(hex_int(hash_hex(seed, "batch", F.col("_key")), 8), F.lit(batches)).cast("int")
     base = df.select(F.col(row_id).alias("_row"), F.col(y).alias("_y"), F.col(features).alias("_x"))
@@ -263,10 +262,126 @@ def training_batches(df: DataFrame, batches: int, seed: int, y: str, row_id: str
     joined = pairs.join(left, "row_i").join(right, "row_j").select(
         F.concat(F.lit("p"), F.col("pair_id")).alias("_key"), "x", "x2", "different"
     )
-    table = rows.unionByName(joined).withColumn("batch", cell).drop("_key")
+    return rows.unionByName(joined).withColumn("batch", cell).drop("_key")
+
+
+def training_batches(
+    df: DataFrame, batches: int, seed: int, y: str, row_id: str, features: str, group: str | None = None,
+    seeds: list[int] | None = None,
+) -> DataFrame:
+    """Rows and pairs of all training sets, written once and partitioned by batch.
+
+    With ``group`` there is one training set per value of ``seeds`` in that column, which also seeds its pairs.  A step
+    then reads only its own batch.
+    """
+    if group is None:
+        table = _batch_rows(df, batches, seed, y, row_id, features).withColumn("set", F.lit(0))
+    else:
+        table = reduce(DataFrame.unionByName, [
+            _batch_rows(df.filter(F.col(group) == s), batches, s, y, row_id, features).withColumn("set", F.lit(s)) for s in seeds])
     return written(table, "training-batches", ["batch"])
 
 
+@dataclass(frozen=True)
+class Arm:
+    """The settings of one of several networks trained side by side."""
+
+    lam: float = 0.1
+    margin: float = 10.0
+    lr: float = 1e-3
+    weight_decay: float = 0.0
+    hidden: tuple[int, ...] = (64, 32, 16)
+    latent: int = 3
+
+
+class _Adam:
+    """A network under training."""
+
+    def __init__(self, net: Network, arm: Arm):
+        self.net, self.arm, self.step = net, arm, 0
+        self.theta = net.flat()
+        self.m, self.v = np.zeros_like(self.theta), np.zeros_like(self.theta)
+        self.encoder_size = sum(w.weight.size + w.bias.size for w in net.parts["encoder"])
+        self.history: list[dict] = []
+
+    def move(self, vec: np.ndarray) -> None:
+        """One step from the summed gradients of rows and pairs, with their numbers at the end."""
+        n_rows, n_pairs = vec[-2:]
+        grad = vec[: self.theta.size] / max(n_rows, 1.0)
+        grad[: self.encoder_size] += vec[self.theta.size : -4] / max(n_pairs, 1.0)
+        grad = grad + self.arm.weight_decay * self.theta
+        self.step += 1
+        self.m = 0.9 * self.m + 0.1 * grad
+        self.v = 0.999 * self.v + 0.001 * grad * grad
+        first, second = self.m / (1 - 0.9**self.step), self.v / (1 - 0.999**self.step)
+        self.theta = self.theta - self.arm.lr * first / (np.sqrt(second) + 1e-8)
+        self.net = self.net.with_flat(self.theta)
+
+    def told(self, epoch: int, totals: np.ndarray) -> None:
+        recon, pair = totals[0] / max(totals[2], 1.0), totals[1] / max(totals[3], 1.0)
+        self.history.append({"epoch": epoch, "reconstruction": float(recon), "contrastive": float(pair),
+                             "loss": float(recon + self.arm.lam * pair)})
+
+
+def _gradients(nets: list[tuple[int, Network, Arm]]):
+    """Per network the summed gradients of a task's rows and pairs of its training set."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sets, different = batch.column(0).to_numpy(), batch.column(3)
+            is_pair = np.asarray(different.is_valid())
+            for name in np.unique(sets).tolist():
+                mine = sets == name
+                rows, pairs = (batch.filter(pa.array(mine & which)) for which in (~is_pair, is_pair))
+                x, a, c = as_matrix(rows.column(1)), as_matrix(pairs.column(1)), as_matrix(pairs.column(2))
+                kind = pairs.column(3).to_numpy(zero_copy_only=False)
+                for i, (of, net, arm) in enumerate(nets):
+                    if of == name:
+                        g, recon, pair = gradient(net, x, a, c, kind, arm.margin, arm.lam)
+                        vec = np.concatenate([g, [recon, pair, len(x), len(a)]])
+                        total[i] = total[i] + vec if i in total else vec
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()),
+                                          pa.array(list(total.values()), type=pa.list_(pa.float64()))], names=["net", "vec"])
+
+    return fold
+
+
+def fit_encoders(
+    df: DataFrame, arms: dict[str, Arm], group: str | None = None, epochs: int = 10, batches: int = 4, seed: int = 42,
+    features: str = "features", y: str = "y", row_id: str = "row_id",
+) -> dict[tuple[int, str], tuple[Network, list[dict]]]:
+    """One contrastive autoencoder per (value of ``group``, arm), all trained in the same jobs.
+
+    A step is one job over a batch of all training sets, which sums gradients by network; the networks travel with the
+    function.  ``group`` is an int column, whose values seed start weights and pairs; without it there is one training
+    set, 0, seeded by ``seed``.
+    """
+    seeds = [0] if group is None else sorted(r[0] for r in df.select(group).distinct().collect())
+    inputs = len(df.select(features).first()[0])
+    table = training_batches(df, batches, seed, y, row_id, features, group, seeds)
+    keys = [(s, name) for s in seeds for name in arms]
+    fits = {}
+    for s, name in keys:
+        shape = list(arms[name].hidden), arms[name].latent
+        fits[s, name] = _Adam(Network.autoencoder(inputs, *shape, seed if group is None else s), arms[name])
+    for epoch in range(epochs):
+        totals = {key: np.zeros(4) for key in keys}
+        for b in range(batches):
+            nets = [(s, fits[s, name].net, arms[name]) for s, name in keys]
+            summed = (
+                table.filter(F.col("batch") == b).select("set", "x", "x2", "different")
+                .mapInArrow(_gradients(nets), "net int, vec array<double>").groupBy("net")
+                .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec")).collect()
+            )
+            for r in summed:
+                vec = np.array(r.vec)
+                totals[keys[r.net]] += vec[-4:]
+                fits[keys[r.net]].move(vec)
+        for key in keys:
+            fits[key].told(epoch, totals[key])
+    return {key: (fit.net, fit.history) for key, fit in fits.items()}
+
+
 def fit_encoder(
     df: DataFrame,
     hidden: list[int] | None = None,
@@ -287,77 +402,48 @@ def fit_encoder(
     One Spark job per step sums the gradients of one batch over all tasks.
     Returns the network and the loss per epoch.
     """
-    hidden = [64, 32, 16] if hidden is None else hidden
-    inputs = len(df.select(features).first()[0])
-    net = Network.autoencoder(inputs, hidden, latent, seed)
-    table = training_batches(df, batches, seed, y, row_id, features)
-    theta = net.flat()
-    m, v, history, step = np.zeros_like(theta), np.zeros_like(theta), [], 0
-    shape_e = sum(w.weight.size + w.bias.size for w in net.parts["encoder"])
-    for epoch in range(epochs):
-        totals = np.zeros(4)
-        for b in range(batches):
+    arm = Arm(lam, margin, lr, weight_decay, tuple([64, 32, 16] if hidden is None else hidden), latent)
+    return fit_encoders(df, {"": arm}, None, epochs, batches, seed, features, y, row_id)[0, ""]
 
-            # The network is a few thousand numbers and travels with the function.
-            def fold(parts: Iterator[pd.DataFrame], net=net) -> Iterator[pd.DataFrame]:
-                total = None
-                for pdf in parts:
-                    is_pair = pdf["different"].notna().to_numpy()
-                    rows, pairs = pdf[~is_pair], pdf[is_pair]
-                    x = np.stack(rows["x"].to_numpy()) if len(rows) else np.empty((0, 0))
-                    a = np.stack(pairs["x"].to_numpy()) if len(pairs) else np.empty((0, 0))
-                    c = np.stack(pairs["x2"].to_numpy()) if len(pairs) else np.empty((0, 0))
-                    g, recon, pair = gradient(net, x, a, c, pairs["different"].to_numpy(), margin, lam)
-                    vec = np.concatenate([g, [recon, pair, len(rows), len(pairs)]])
-                    total = vec if total is None else total + vec
-                if total is not None:
-                    yield pd.DataFrame({"vec": [total]})
 
-            summed = (
-                table.filter(F.col("batch") == b).select("x", "x2", "different").mapInPandas(fold, "vec array<double>")
-                .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"))
-                .first().vec
-            )
-            if not summed:
-                continue
-            vec = np.array(summed)
-            recon, pair, n_rows, n_pairs = vec[-4:]
-            totals += vec[-4:]
-            rec_part, pair_part = vec[: theta.size], vec[theta.size : -4]
-            grad = rec_part / max(n_rows, 1.0)
-            grad[:shape_e] += pair_part / max(n_pairs, 1.0)
-            grad = grad + weight_decay * theta
-            step += 1
-            m = 0.9 * m + 0.1 * grad
-            v = 0.999 * v + 0.001 * grad * grad
-            theta = theta - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            net = net.with_flat(theta)
-        recon, pair = totals[0] / max(totals[2], 1.0), totals[1] / max(totals[3], 1.0)
-        history.append({
-            "epoch": epoch, "reconstruction": float(recon), "contrastive": float(pair), "loss": float(recon + lam * pair)
-        })
-    return net, history
+def encode_many(
+    df: DataFrame, nets: dict[int, Network], group: str, features: str = "features", out: str = "z", part: str = "encoder",
+) -> DataFrame:
+    """Latent vector of every row by the network of its group (null where the group has none)."""
+    stacks = {g: net.parts[part] for g, net in nets.items()}
+
+    def run(groups: pa.Array, v: pa.Array) -> pa.Array:
+        names = groups.to_numpy(zero_copy_only=False)
+        found = np.zeros((len(v), max(s[-1].bias.size for s in stacks.values())))
+        x = as_matrix(v)
+        for name in np.unique(names).tolist():
+            if name in stacks:
+                mine = np.flatnonzero(names == name)
+                found[mine] = forward(x[mine], stacks[name])[-1]
+        return from_matrix(found)
+
+    known = F.col(group).isin(list(stacks))
+    return df.withColumn(out, F.when(known, F.arrow_udf(run, "array<double>")(F.col(group).cast("int"), F.col(features))))
 
 
 def sweep_encoder(
-    df: DataFrame, trials: list[dict], ks: list[int], restarts: int = 1, features: str = "features",
-    y: str = "y", row_id: str = "row_id", validation: DataFrame | None = None,
+    df: DataFrame, trials: list[dict], ks: list[int] | None = None, restarts: int = 1, epochs: int = 10, batches: int = 4,
+    seed: int = 42, features: str = "features", y: str = "y", row_id: str = "row_id", validation: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit one encoder per trial; score by k-means accuracy.
+    """Fit an encoder per trial, all in the same jobs; score each by k-means accuracy.
 
-    A trial is a dict of ``fit_encoder`` arguments.  Result: ``trial, km_accuracy,
-    silhouette, best_k, val_mse``.
+    A trial is a dict of ``Arm`` settings.  Result: ``trial, km_accuracy, silhouette, best_k, val_mse, loss``.
     """
     from .clustering import cluster
 
+    arms = {str(i): Arm(**{k: tuple(v) if k == "hidden" else v for k, v in trial.items()}) for i, trial in enumerate(trials)}
+    fits = fit_encoders(df, arms, None, epochs, batches, seed, features, y, row_id)
     rows = []
-    for i, trial in enumerate(trials):
-        net, history = fit_encoder(df, features=features, y=y, row_id=row_id, **trial)
-        z = encode(df, net, features)
-        _, _, summary = cluster(z, ks, restarts, row_id=row_id, y=y)
+    for i in range(len(trials)):
+        net, history = fits[0, str(i)]
+        _, _, summary = cluster(encode(df, net, features), ks, restarts, row_id=row_id, y=y)
         s = summary.first()
-        checked = df if validation is None else validation
-        mse = reconstruction_error(checked, net, features).agg(F.avg("mse")).first()[0]
+        mse = reconstruction_error(df if validation is None else validation, net, features).agg(F.avg("mse")).first()[0]
         rows.append((i, s.km_accuracy, s.silhouette, s.best_k, float(mse), history[-1]["loss"]))
     return local_table(df.sparkSession, rows, "trial int, km_accuracy double, silhouette double, best_k int, val_mse double, loss double"
     )
