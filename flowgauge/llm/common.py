@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.bounded import work_dir, written  # noqa: F401
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Powers of the hash base that a process keeps.
+POWERS = 1 << 16
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +31,24 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def utf8(texts: pa.Array) -> list[bytes]:
-    """The texts of an Arrow column as UTF-8; null is empty."""
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """The texts of an Arrow column as UTF-8, a few at a time; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    return [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
+    for at in range(0, len(texts), 64):
+        for x in texts.slice(at, 64).cast(pa.large_binary()).to_pylist():
+            yield x or b""
 
 
-def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[list]:
+def slices(texts: Iterable, limit: int = SLICE_BYTES) -> Iterator[list]:
     """Consecutive texts in lists of about ``limit`` bytes; a longer text is a list of its own."""
     some: list = []
     size = 0
@@ -70,35 +82,45 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_flowgauge_process_cache", types.ModuleType("_flowgauge_process_cache")).__dict__
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n + 1 powers of the hash base and of its inverse modulo 2^64."""
-    one = np.ones(1, dtype=np.uint64)
-    up, down = process_cache().get("powers", (one, one))
-    if len(up) <= n:
-        while len(up) <= n:
-            step = len(up)
-            up = np.concatenate([up, up * np.uint64(pow(_BASE, step, 1 << 64))])
-            down = np.concatenate([down, down * np.uint64(pow(_BASE_INVERSE, step, 1 << 64))])
-        process_cache()["powers"] = up, down
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.empty((2, n), dtype=np.uint64)
+    up[0] = down[0] = 1
+    size = 1
+    while size < n:
+        more = min(size, n - size)
+        up[size : size + more] = up[:more] * np.uint64(pow(_BASE, size, 1 << 64))
+        down[size : size + more] = down[:more] * np.uint64(pow(_BASE_INVERSE, size, 1 << 64))
+        size += more
     return up, down
 
 
-class Rolling:
-    """Hashes of any stretch of a sequence of symbols in constant time each.
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of the hash base and of its inverse modulo 2^64; only a table of fixed size is kept."""
+    if n >= POWERS:
+        return _powers(n + 1)
+    if "powers" not in process_cache():
+        process_cache()["powers"] = _powers(POWERS)
+    return process_cache()["powers"]
 
-    A polynomial over random symbol values modulo 2^64, kept as running sums; a stretch is the difference of two
-    sums, moved back to the origin and scrambled together with its length.
-    """
 
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        up, self.down = powers(n)
-        self.sums = np.empty(n + 1, dtype=np.uint64)
-        self.sums[0] = 0
-        np.cumsum(_BYTES[symbols] * up[:n], out=self.sums[1:])
+def stretch_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of every stretch of a sequence of symbols; stretches are in order, apart from each other and not empty.
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+    A polynomial over random symbol values modulo 2^64, scrambled together with the length.  Stretches are taken by
+    blocks, so that memory follows the block (or the longest stretch) and not the sequence.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    lengths = ends - starts
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + POWERS, side="right")))
+        size = lengths[at:stop]
+        begin = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+        values = _BYTES[symbols[np.repeat(starts[at:stop], size) + inside]] * powers(int(size.max()))[0][inside]
+        out[at:stop] = np.add.reduceat(values, begin)
+        at = stop
+    return mix64(out + lengths.astype(np.uint64))
 
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -118,8 +140,7 @@ class Words:
         if len(blank) and not blank[0]:
             edges = np.concatenate([[0], edges])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.rolling = Rolling(self.symbols)
-        self.hashes = self.rolling.of(self.starts, self.ends)
+        self.hashes = stretch_hashes(self.symbols, self.starts, self.ends)
         #: words of text i are first[i] : first[i + 1]
         self.first = np.searchsorted(self.starts, self.text_starts)
 

@@ -5,8 +5,8 @@ capital, so that a passage is found wherever it stands in a line.  A unit alone
 sentences occur everywhere.  Compared are windows: the fewest units from each unit on, and those up to each unit, that
 have ``min_words`` words together.  So that a passage is also found where it begins and ends inside of units or has none,
 runs of exactly ``min_words`` words are compared too, of any ``RUNS`` neighbours the one with the smallest digest: two texts
-that share ``min_words`` + ``RUNS`` - 1 words in order share a run that both choose.  Words are compared with A-Z as a-z and without ASCII signs at their ends.  Digests
-are grouped over all documents; the earliest occurrence is the one in the document with the smallest id, and there the
+that share ``min_words`` + ``RUNS`` - 1 words in order share a run that both choose.  Words are compared with A-Z as a-z and
+without ASCII signs at their ends.  Digests are grouped over all documents; the earliest occurrence is the one in the document with the smallest id, and there the
 first.  Any other occurrence is a repeat; of a line repeated at once the first one stays.  Words of repeats are cut out,
 so each of them stands in a stretch of at least ``min_words`` words that one earlier place has in that order.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mix64, powers, slices, utf8, written
+from .common import Words, free_name, id_text, mix64, powers, slices, stretch_hashes, utf8, written
 
 MIN_WORDS = 30
 #: of so many neighbouring runs of words at least one is compared
@@ -55,7 +55,8 @@ class Windows:
         while (some := (low < high) & ~_PLAIN[plain.symbols[high - 1]]).any():
             high[some] -= 1
         has_form = low < high
-        forms = np.where(has_form, plain.rolling.of(low, high), np.uint64(0))
+        forms = np.zeros(len(starts), dtype=np.uint64)
+        forms[has_form] = stretch_hashes(plain.symbols, low[has_form], high[has_form])
         # À to Þ are the bytes C3 80 to C3 9E
         second = symbols[np.minimum(starts + 1, len(symbols) - 1)]
         capital = _CAPITAL[symbols[starts]] | ((symbols[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
@@ -199,9 +200,10 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 def with_spans(docs: DataFrame, min_words: int, name: str) -> DataFrame:
     """``docs`` with a column of the spans to cut."""
-    later = written(repeated_digests(docs, min_words), "later").select(F.col("doc_id").alias("_id"), F.col("later").alias("_later"))
-    joined = docs.join(later.hint("shuffle_hash"), docs["doc_id"] == later["_id"], "left")
-    return joined.withColumn(name, _spans(min_words)(F.col("text"), F.col("_later"))).drop("_id", "_later")
+    owner, mine = free_name(docs, "_id"), free_name(docs, "_later")
+    later = written(repeated_digests(docs, min_words), "later").select(F.col("doc_id").alias(owner), F.col("later").alias(mine))
+    joined = docs.join(later.hint("shuffle_hash"), docs["doc_id"] == later[owner], "left")
+    return joined.withColumn(name, _spans(min_words)(F.col("text"), F.col(mine))).drop(owner, mine)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,9 +215,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeats cut from the texts and n_chars, where there is one, counted anew; no row goes."""
-    name = "_spans"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_spans")
     rows = with_spans(docs, min_words, name).withColumn("text", kept_text(F.col("text"), F.col(name))).drop(name)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

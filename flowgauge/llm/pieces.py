@@ -16,7 +16,7 @@ by its borders need the path search and the words between are encoded by the lib
 throughout.  Documents up to ``giant`` code points go to the library whole: the ids are the same either way.
 
 Defined cases: a null or empty text has no ids; rows with equal doc_id are encoded one by one; an empty table gives no
-rows; signs the model lacks become byte pieces; other columns are ignored.
+rows; signs the model lacks become byte pieces; a model of another type than BPE is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix64, process_cache, slices, written
+from .common import mix64, process_cache, slices, stretch_hashes, written
 from .tokens import Known, spread
 
 GIANT, CHUNK = 1 << 16, 1 << 14
@@ -39,13 +39,46 @@ NEVER = float("-inf")
 Piece = tuple[int, int]
 
 
+BPE = 2
+
+
+def _varint(blob: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (blob[at] & 0x7F) << shift
+        at, shift = at + 1, shift + 7
+        if not blob[at - 1] & 0x80:
+            return value, at
+
+
+def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protobuf message."""
+    at = 0
+    while at < len(blob):
+        tag, at = _varint(blob, at)
+        if tag & 7 == 0:
+            value, at = _varint(blob, at)
+        else:
+            size, at = _varint(blob, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = blob[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_type(blob: bytes) -> int:
+    """The type that a serialized model states (trainer settings, field 3): 1 Unigram, the default, 2 BPE, 3 words, 4 signs."""
+    settings = [dict(_fields(value)) for number, value in _fields(blob) if number == 2]
+    return settings[-1].get(3, 1) if settings else 1
+
+
 class Model:
-    """The pieces of a model and which of them go together."""
+    """The pieces of a BPE model and which of them go together; any other type of model is an error."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
+        if (kind := model_type(self.library.serialized_model_proto())) != BPE:
+            raise ValueError(f"Not a BPE model (type {kind}): the cuts of other models are not decided pair by pair")
         n = self.library.get_piece_size()
         usable = [i for i in range(n) if not (self.library.is_control(i) or self.library.is_unknown(i)
                                               or self.library.is_byte(i) or self.library.is_unused(i))]
@@ -105,8 +138,8 @@ class Model:
         begins[bounds[:-1][lengths > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        hashes = Rolling(points & 0xFF).of(starts, ends) ^ mix64(Rolling((points >> 8) & 0x1FF).of(starts, ends)) ^ mix64(
-            Rolling(points >> 17).of(starts, ends) + np.uint64(1))
+        low, middle, high = (stretch_hashes(x, starts, ends) for x in (points & 0xFF, (points >> 8) & 0x1FF, points >> 17))
+        hashes = low ^ mix64(middle) ^ mix64(high + np.uint64(1))
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
 
         def encode(places: np.ndarray) -> Iterator[bytes]:

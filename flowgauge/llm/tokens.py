@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import Rolling, process_cache, slices
+from .common import process_cache, slices, stretch_hashes
 
 _SAFE_END = 0x180
 _SAFE = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*")
@@ -88,7 +88,7 @@ class Known:
     A piece takes some 30 bytes, so that a worker that lives on after its task keeps little.
     """
 
-    def __init__(self, most: int, latest: int = 50_000):
+    def __init__(self, most: int, latest: int = 30_000):
         self.most, self.most_latest = most, latest
         self.clear()
 
@@ -143,7 +143,7 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, by batches.  ``cuts``: "word" or "byte", the kind of pieces the tokenizer cuts."""
 
-    def __init__(self, path: str, cuts: str, remember: int = 1_000_000):
+    def __init__(self, path: str, cuts: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,7 +185,7 @@ class Encoder:
             starts, ends = _word_pieces(points)
         else:
             starts, ends = self._byte_cut(points, bounds)
-        hashes = Rolling(points).of(starts, ends)
+        hashes = stretch_hashes(points, starts, ends)
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
 
         def encode(places: np.ndarray) -> Iterator[bytes]:

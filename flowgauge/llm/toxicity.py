@@ -14,7 +14,7 @@ table gives no rows; other columns are ignored, or kept by ``drop_toxic``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, utf8, written
+from .common import Words, slices, stretch_hashes, utf8, written
 
 BITS = 18
 MAX_DOCS = 5000
@@ -54,9 +54,9 @@ class Sentences:
         tail = ends - np.where(_PLAIN[words.symbols[ends - 1]], 0, 1)
         tail = np.where((tail > starts) & ~_PLAIN[words.symbols[np.maximum(tail - 1, 0)]], tail - 1, tail)
         tail = np.maximum(tail, starts + 1)
-        columns = [words.rolling.of(starts, tail)]
+        columns = [stretch_hashes(words.symbols, starts, tail)]
         for size in PREFIXES:
-            columns.append(words.rolling.of(starts, np.minimum(starts + size, tail)) + np.uint64(size))
+            columns.append(stretch_hashes(words.symbols, starts, np.minimum(starts + size, tail)) + np.uint64(size))
         shift = np.uint64(64 - BITS)
         self.features = np.stack([(c >> shift).astype(np.int32) for c in columns], axis=1)
 
@@ -81,7 +81,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: list[bytes]) -> list[tuple[float, float | None, int | None, int | None]]:
+    def score(self, texts: Iterable[bytes]) -> list[tuple[float, float | None, int | None, int | None]]:
         """For each text: its score, and the score, start and end (in code points) of its worst sentence."""
         out = []
         for some in slices(texts):
