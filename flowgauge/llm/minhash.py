@@ -3,12 +3,13 @@
 1. One pass over the texts gives, for each document, the size of its shingle set, a digest of the set and the minima of
    many universal hash functions over it.
 2. Documents with the same set are one node (their smallest id); a group of exact copies costs one row per copy.
-3. Minima are cut into bands; nodes that agree in a band meet in a bucket.  A bucket is never expanded into its pairs:
-   its members are compared with its smallest one, and confirmed pairs are joined into components.
+3. Minima are cut into bands; nodes that agree in a band meet in a bucket.  The members of a bucket are compared with its
+   smallest one, and confirmed pairs are joined into components.
 4. What is left are nodes that share a bucket with another component.  A node that has many shingles no other such node
    has cannot be linked with texts of the sizes it meets, whatever they hold, and leaves.  The others get many more minima
-   in longer bands, which only pairs near the threshold share, and all pairs of different components that share such a
-   band are compared.
+   in longer bands, which only pairs near the threshold share.  In a few turns the members of such a band are compared with
+   one of them and components are joined, which leaves few bands with members of several components; only those are
+   compared pair by pair.
 5. A pair is first compared by its signatures, with a margin of several standard deviations, then by the full sets.
 6. Components are found by alternating large-star and small-star steps until nothing changes.
 
@@ -16,12 +17,14 @@ A pair at the threshold of 0.75 is missed by the 40 bands of 4 minima with proba
 if it comes to them, with probability 7e-7; more similar pairs are missed far less often.
 
 Defined cases: a null text is empty; a document without words is linked with nothing; rows with a null doc_id are linked
-with nothing and kept; rows with equal doc_id are one document; an empty table gives no rows; other columns are ignored.
+with nothing and kept; rows with equal doc_id and different texts are nodes of their own; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,14 @@ from .common import Words, id_text, mix64, slices, utf8, written
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 4
 FINE_BANDS, FINE_ROWS = 440, 12
+#: How often the members of a long band are compared with one of them.
+TURNS = 4
 
 
-def text_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
+def text_shingles(texts: Iterable[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z count as a-z; a text of fewer words is one shingle."""
     out = []
-    for some in slices([t.lower() for t in texts]):
+    for some in slices(t.lower() for t in texts):
         words = Words(some)
         windows = words.windows(size)
         for a, b in zip(words.first, words.first[1:], strict=False):
@@ -69,9 +74,14 @@ def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(shingles)
+
+
 def signatures(docs: DataFrame, size: int, count: int) -> DataFrame:
     """(doc_id, n_shingles, digest, minima) of every row."""
-    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +93,7 @@ def signatures(docs: DataFrame, size: int, count: int) -> DataFrame:
                 ends = np.cumsum([0, *(count if len(s) else 0 for s in sets)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], type=pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(s) for s in sets], type=pa.binary()),
+                     pa.array([set_digest(s) for s in sets], type=pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(found.ravel()))],
                     names=["doc_id", "n_shingles", "digest", "minima"])
 
@@ -111,14 +121,25 @@ def _similar(percent: int, least: int):
     return F.arrow_udf(run, "boolean")
 
 
-def _sets_udf(size: int):
-    def sets(texts: pa.Array) -> pa.Array:
-        found = [s.view(np.int64) for s in text_shingles(utf8(texts), size)]
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate([np.empty(0, dtype=np.int64), *found])
-        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
+def arrow_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of long as an Arrow column."""
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate([np.empty(0, dtype=np.int64), *parts])
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
+
+
+def whole_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(digest, set) of each row of a table with the one column ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = text_shingles(utf8(batch.column(0).slice(at, 256)), size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_digest(s) for s in sets], type=pa.binary()), arrow_lists([s.view(np.int64) for s in sets])],
+                    names=["digest", "set"])
 
-    return F.arrow_udf(sets, "array<long>")
+    return texts.mapInArrow(run, "digest binary, set array<long>")
 
 
 def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,26 +195,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 class NearDuplicates:
-    """Linked documents of a table: 100 * shared shingles >= ``percent`` * all shingles of both."""
+    """Linked documents of a table: 100 * shared shingles >= ``percent`` * all shingles of both.
+
+    A node is a set, named by the row of the smallest document that has it.
+    """
 
     def __init__(self, docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int = BANDS,
                  band_rows: int = BAND_ROWS):
         self.docs, self.percent, self.size = docs, percent, size
         self.bands, self.band_rows = bands, band_rows
         self.count = bands * band_rows
-        self.rows = written(signatures(docs, size, self.count), "minima")
+        self.rows = written(signatures(docs, size, self.count).withColumn("row", F.monotonically_increasing_id()), "minima")
 
     def _same_set(self) -> DataFrame:
-        """(digest, node): the smallest id of each set; empty sets and null ids have no node."""
+        """(digest, id, doc_id, copies) of each set; empty sets and null ids have no node."""
         some = self.rows.where("n_shingles > 0 and doc_id is not null")
-        return written(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
+        first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
+        return written(first.select("digest", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "copies"),
+                       "nodes")
+
+    def _minima(self, nodes: DataFrame) -> DataFrame:
+        return self.rows.select(F.col("row").alias("id"), "minima").join(nodes, "id")
 
     def _buckets(self, nodes: DataFrame) -> DataFrame:
         """(bucket, id) of all buckets with at least two nodes."""
-        own = self.rows.join(nodes, (self.rows["digest"] == nodes["digest"]) & (self.rows["doc_id"] == nodes["node"]))
         keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("minima")[k * self.band_rows + i] for i in range(self.band_rows)])
                          for k in range(self.bands)])
-        dealt = own.select(F.col("node").alias("id"), F.explode(keys).alias("bucket"))
+        dealt = self._minima(nodes.select("id")).select("id", F.explode(keys).alias("bucket"))
         shared = written(dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                          .where("low <> high").select("bucket", "low"), "shared-buckets")
         return written(dealt.join(shared, "bucket").select("bucket", "id", "low"), "buckets")
@@ -208,12 +236,11 @@ class NearDuplicates:
 
     def _sets(self, nodes: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, minima, set) of the nodes that share a bucket."""
-        wanted = _saved(ids.distinct(), "wanted")
-        texts = id_text(self.docs).join(wanted.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-        sets = texts.select(F.col("doc_id").alias("id"), _sets_udf(self.size)(F.col("text")).alias("set"))
-        own = self.rows.join(nodes, (self.rows["digest"] == nodes["digest"]) & (self.rows["doc_id"] == nodes["node"]))
-        marks = own.select(F.col("node").alias("id"), "minima")
-        return written(sets.join(marks, "id").dropDuplicates(["id"]), "sets")
+        wanted = _saved(nodes.join(ids.distinct(), "id").select("id", "doc_id", "digest"), "wanted")
+        texts = id_text(self.docs).join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        # rows with equal doc_id can have other texts, so a node's set is known by its digest
+        sets = whole_sets(texts.select("text"), self.size).join(wanted.select("id", "digest"), "digest").drop("digest")
+        return written(sets.join(self._minima(wanted.select("id")), "id").dropDuplicates(["id"]), "sets")
 
     def links(self, nodes: DataFrame) -> DataFrame | None:
         """Confirmed pairs of nodes whose components are those of all similar pairs."""
@@ -223,7 +250,7 @@ class NearDuplicates:
         sets = self._sets(nodes, members.select("id"))
         pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
         found = _saved(self._confirm(pairs, sets), "links")
-        more = self._across(members.select("bucket", "id"), _saved(connected_components(found), "labels"), sets)
+        more = self._across(members.select("bucket", "id"), found, sets)
         return found.unionByName(more)
 
     def _limits(self, nodes: DataFrame) -> DataFrame:
@@ -247,8 +274,9 @@ class NearDuplicates:
         least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
         return _saved(sized.join(least, "bucket").where("most >= least").select("id").distinct(), "left")
 
-    def _across(self, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    def _across(self, members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         """Confirmed pairs between components that share a bucket."""
+        labels = _saved(connected_components(found), "labels")
         known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         split = (known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
                  .where("one <> other").select("bucket"))
@@ -260,25 +288,45 @@ class NearDuplicates:
         limits = self._limits(mine.join(left, "id"))
         fine = mine.select("id", "set").join(left, "id").select("id", "set").mapInArrow(_fine_bands, "id long, bucket long")
         fine = _saved(fine.join(limits, "id"), "fine-buckets")
-        split = (fine.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
-                 .where("one <> other").select("bucket"))
-        fine = _saved(fine.join(split, "bucket"), "fine-open")
+        more = []
+        for turn in range(TURNS):
+            heads = self._heads(fine, turn)
+            fine = _saved(fine.join(heads, "bucket"), "fine-open")
+            pairs = fine.where("label <> label_b and size_b <= most and size <= most_b").select(
+                F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+            fine = fine.drop("id_b", "label_b", "size_b", "most_b")
+            new = _saved(self._confirm(pairs, sets), "links")
+            if new.isEmpty():
+                break
+            more.append(new)
+            found = found.unionByName(new)
+            labels = _saved(connected_components(found), "labels")
+            fine = (fine.drop("label").join(labels, "id", "left")
+                    .withColumn("label", F.coalesce("label", "id")))
+        fine = _saved(fine.join(self._heads(fine, 0).select("bucket"), "bucket"), "fine-open")
         other = fine.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "most")])
         pairs = (fine.join(other, "bucket").where("label < label_b and size_b <= most and size <= most_b")
                  .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        return _saved(self._confirm(pairs, sets), "links")
+        return reduce(DataFrame.unionByName, more, _saved(self._confirm(pairs, sets), "links"))
+
+    @staticmethod
+    def _heads(fine: DataFrame, turn: int) -> DataFrame:
+        """(bucket, id_b, ...): a member of each bucket that has more than one label, another one each turn."""
+        member = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "most")])
+        return (fine.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min(member).alias("head"))
+                .where("one <> other").select("bucket", "head.id_b", "head.label_b", "head.size_b", "head.most_b"))
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row."""
         nodes = self._same_set()
         found = self.links(nodes)
-        if found is None:
-            owner = nodes.where("copies > 1").select("digest", F.col("node").alias("component"))
-        else:
-            labels = _saved(connected_components(found), "labels").withColumnRenamed("id", "node")
-            owner = nodes.join(labels, "node", "left").where("copies > 1 or label is not null").select(
-                "digest", F.coalesce("label", "node").alias("component"))
-        owner = _saved(owner, "owners")
+        labelled = nodes.withColumn("label", F.col("id"))
+        if found is not None:
+            labels = _saved(connected_components(found), "labels")
+            labelled = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # only sets with copies or links need an owner
+        several = labelled.groupBy("label").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("n")).where("n > 1")
+        owner = _saved(labelled.join(several, "label").select("digest", "component"), "owners")
         usable = F.col("n_shingles") > 0
         out = self.rows.select("doc_id", "n_shingles", F.when(usable, F.col("digest")).alias("digest")).join(
             owner, "digest", "left")
@@ -292,7 +340,9 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` without the documents whose group has one with a smaller id; all columns stay."""
+    """The rows of ``docs`` without the documents whose group has one with a smaller id; all columns stay.
+
+    Of rows with equal doc_id and different texts all go if one of them has to.
+    """
     gone = _saved(near_duplicate_groups(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, utf8, written
-from .minhash import connected_components, text_shingles
+from .minhash import arrow_lists, connected_components, set_digest, text_shingles, whole_sets
 
 SHINGLE, PERCENT = 3, 90
 #: One token of so many is counted in the first narrowing.
@@ -46,18 +46,6 @@ GROUP_SETS, GROUP_TOKENS = 64, 1 << 16
 BLOCK_SETS, BLOCK_TOKENS = 64, 1 << 16
 
 
-def _arrow_lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate([np.empty(0, dtype=np.int64), *parts])
-    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
-
-
-def _digest(tokens: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(tokens)
-
-
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, some): the set's size and digest and its tokens in the sparse part of the space."""
 
@@ -69,24 +57,12 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
                 some = [s[s % np.uint64(SPARSE) == 0].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], type=pa.int64()),
-                     pa.array([_digest(s) for s in sets], type=pa.binary()), _arrow_lists(some)],
+                     pa.array([set_digest(s) for s in sets], type=pa.binary()), arrow_lists(some)],
                     names=["doc_id", "n_shingles", "digest", "some"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, some array<long>")
 
 
-def _whole_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = text_shingles(utf8(batch.column(0).slice(at, 256)), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(s) for s in sets], type=pa.binary()), _arrow_lists([s.view(np.int64) for s in sets])],
-                    names=["digest", "tokens"])
-
-    return run
-
-
 class Members:
     """The sets of a group: their sizes, and all their tokens in order with the owner of each."""
 
@@ -201,7 +177,7 @@ class NgramJoin:
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """(id, size, tokens, rare): the tokens that other sets have, too, and the rarest of them that decide a link."""
         texts = id_text(self.docs).join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-        whole = texts.select("text").mapInArrow(_whole_sets(self.size), "digest binary, tokens array<long>")
+        whole = whole_sets(texts.select("text"), self.size).withColumnRenamed("set", "tokens")
         whole = written(whole.join(wanted.select("digest", "id", "size"), "digest").dropDuplicates(["id"])
                         .select("id", "size", "tokens"), "whole-sets")
         tokens = whole.select("id", "size", F.explode("tokens").alias("token"))
