@@ -100,9 +100,11 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
                .withColumn("term", F.xxhash64("term", "part")))
     columns = [F.min(sample(k, *map(F.col, ("term", "weight", "log_weight", "total")))).alias(f"s{k}")
                for k in range(GROUP)]
+    # a sample all of whose terms were passed over is named by the whole bag, so that only equal texts share it
+    columns.append(F.bit_xor(F.xxhash64("term", "weight")).alias("bag"))
     # names of 32 bits, kept as signed numbers of that size
-    marks = F.array(*[(F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(_LOW_32)), F.lit(0)) - F.lit(1 << 31)).cast("int")
-                      for k in range(GROUP)])
+    marks = F.array(*[(F.coalesce(F.col(f"s{k}"), F.xxhash64("bag", F.lit(k))).bitwiseAND(F.lit(_LOW_32)) - F.lit(1 << 31))
+                      .cast("int") for k in range(GROUP)])
     return grouped.groupBy(*keys, "part").agg(*columns).select(*keys, "part", marks.alias("marks"))
 
 
@@ -149,8 +151,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ids = written(rows.groupBy("doc_id", *KEY, F.char_length("text").alias("n")).agg(F.count("*").alias("copies")), "ids")
     chain = written(followers(ids), "chain")
 
-    # one shuffle of the texts, which both sides of the join below read
-    dealt = rows.select(*KEY, "text").repartition(parts, *KEY)
+    # one shuffle of the texts, which both sides of the join below read; equal rows become one before they meet others
+    dealt = rows.select(*KEY, "text").repartition(parts, *KEY).dropDuplicates(KEY)
     givers = chain.select(F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"),
                           F.col("key").alias("to_key"), F.col("text_hash").alias("to_hash"), "n")
     heads = (dealt.join(givers, KEY)
@@ -158,17 +160,16 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                      F.expr("substring(text, 1, n div 2)").alias("head"))
              .repartition(parts, *KEY))
     edited = F.concat(F.expr("substring(text, 1, cast(n - n div 2 as int))"), "head")
-    # equal rows meet here in order of the key and become one
-    both = dealt.join(heads, KEY).dropDuplicates(KEY).select(*KEY, "text", edited.alias("edited"))
+    both = dealt.join(heads, KEY).select(*KEY, "text", edited.alias("edited"))
     sides = both.select(*KEY, F.posexplode(F.array("text", "edited")).alias("side", "text"))
     marks = fingerprints(sides, [*KEY, "side"], samples)
     pairs = marks.groupBy(*KEY).agg(joined(F.col("side") == 0).alias("own"), joined(F.col("side") == 1).alias("changed"))
-    digests = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
-    found = written(pairs.join(digests, KEY), "fingerprints")
-    chained = chain.join(found, KEY)
+    digests = both.select(*KEY, F.unhex(F.sha2("edited", 256)).alias("edited_sha256"))
+    # all rows of a key are in one partition here, so what the chain says of it is joined before anything is written
+    found = written(pairs.join(digests, KEY).join(chain, KEY), "fingerprints")
     ahead = found.select(F.col("key").alias("next_key"), F.col("text_hash").alias("next_hash"), F.col("own").alias("next_own"))
-    return (chained.join(ahead, ["next_key", "next_hash"])
-            .select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+    return (found.join(ahead, ["next_key", "next_hash"])
+            .select("doc_id", F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
                     as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
                     likeness(F.col("own"), F.col("changed")).alias("near_edited"),
                     likeness(F.col("own"), F.col("next_own")).alias("near_next"), "copies")
