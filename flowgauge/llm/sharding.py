@@ -14,22 +14,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 ROUND_BITS = 12
 ID_BITS, ROW_BITS = 40, 20
 ALL_BITS = ID_BITS + ROW_BITS
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, bytes, key) of every row, written once so that row numbers stay as they are."""
+def row_key() -> Column:
+    """The hash of a row's document id and, below it, that of its row number."""
     by_id = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ID_BITS), ROW_BITS)
     by_row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)
+    return by_id.bitwiseOR(by_row)
+
+
+def keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """(doc_id, bytes, key) of every row, written once so that row numbers stay as they are."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return written(docs.select("doc_id", size.alias("bytes"), by_id.bitwiseOR(by_row).alias("key")), "shard-keys")
+    return written(docs.select("doc_id", size.alias("bytes"), key.alias("key")), "shard-keys")
 
 
 def split_round(rows: DataFrame, start: int, end: int, max_bytes: int) -> DataFrame:
@@ -53,7 +58,11 @@ def split_round(rows: DataFrame, start: int, end: int, max_bytes: int) -> DataFr
 
 def shard_rows(docs: DataFrame, max_bytes: int, round_bits: int = ROUND_BITS) -> DataFrame:
     """(doc_id, bytes, shard, depth, shard_bytes, shard_rows, fits) for every row; ``shard`` is the prefix as bits."""
-    open_rows, start, done = keyed(docs), 0, []
+    return _shards(keyed(docs, row_key()), max_bytes, round_bits).drop("key")
+
+
+def _shards(open_rows: DataFrame, max_bytes: int, round_bits: int) -> DataFrame:
+    start, done = 0, []
     while True:
         end = min(start + round_bits, ALL_BITS)
         cells = written(split_round(open_rows, start, end, max_bytes), "shard-cells")
@@ -65,12 +74,18 @@ def shard_rows(docs: DataFrame, max_bytes: int, round_bits: int = ROUND_BITS) ->
         start = end
     bits = F.lpad(F.conv(F.expr(f"shiftright(key, {ALL_BITS} - depth)").cast("string"), 10, 2), F.col("depth"), "0")
     return reduce(DataFrame.unionByName, done).select(
-        "doc_id", "bytes", F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes",
+        "doc_id", "bytes", "key", F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes",
         "shard_rows", (F.col("shard_bytes") <= max_bytes).alias("fits"))
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int, round_bits: int = ROUND_BITS) -> None:
-    """Write the rows of ``docs``, which has one row for each doc_id, under one folder per shard."""
-    where = shard_rows(docs, max_bytes, round_bits).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"))
-    dealt = docs.join(where, docs["doc_id"].eqNullSafe(where["_id"])).drop("_id")
-    dealt.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write the rows of ``docs`` under one folder per shard, named by a column ``_shard`` (lengthened where taken).
+
+    Rows are written once with their key.  The directory of shards is a table of distinct keys, so rows that share one,
+    which have one shard, are neither lost nor doubled.
+    """
+    key, shard = free_name(docs, "_key"), free_name(docs, "_shard")
+    rows = written(docs.withColumn(key, row_key()), "shard-rows")
+    found = _shards(keyed(rows, F.col(key)), max_bytes, round_bits)
+    where = found.select(F.col("key").alias(key), F.col("shard").alias(shard)).distinct()
+    rows.join(where, key).drop(key).repartition(shard).write.partitionBy(shard).parquet(path)
