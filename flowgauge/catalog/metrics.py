@@ -25,7 +25,7 @@ def _test(rows):
 @query("m1_diversity_exact")
 def m1(spark, sf):
     rows, _ = assessed(latent(spark, sf))
-    return rounded(diversity(_test(rows), ["pos"], method="exact"), "diversity")
+    return rounded(diversity(_test(rows), ["pos"], method="lanczos"), "diversity")
 
 
 _HASHED = "((('0x' || substr(md5('42:' || i || ':' || j || ':{0}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
@@ -48,11 +48,14 @@ def m1d(spark, sf):
     return rounded(cells.select("pos", F.floor(F.col("k") / 4).cast("int").alias("i"), (F.col("k") % 4).alias("j"), "total"), "total")
 
 
-@query("m1e_diversity_of_pairs", """WITH e AS (SELECT vec_id, vec_id // 2 AS pair, embedding::DOUBLE[] AS z FROM embeddings),
+_PAIRS = """WITH e AS (SELECT vec_id, vec_id // 2 AS pair, embedding::DOUBLE[] AS z FROM embeddings),
 k AS (SELECT a.pair, exp(-0.5 * list_distance(a.z, b.z) ** 2) AS k FROM e a LEFT JOIN e b ON a.pair = b.pair AND a.vec_id < b.vec_id
   WHERE a.vec_id % 2 = 0)
 SELECT pair, CASE WHEN k IS NULL THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN k IS NULL THEN 0.0 ELSE
-  round(exp(-((1 + k) / 2 * ln((1 + k) / 2) + (1 - k) / 2 * ln((1 - k) / 2))) - 1, 6) END::DOUBLE AS diversity FROM k""")
+  round(exp(-((1 + k) / 2 * ln((1 + k) / 2) + (1 - k) / 2 * ln((1 - k) / 2))) - 1, 6) END::DOUBLE AS diversity FROM k"""
+
+
+@query("m1e_diversity_of_pairs", _PAIRS)
 def m1e(spark, sf):
     """Two points have the eigenvalues (1 + k) / 2 and (1 - k) / 2."""
     rows = table(spark, sf, "embeddings").select(
@@ -60,6 +63,14 @@ def m1e(spark, sf):
     return rounded(diversity(rows, ["pair"], gamma=0.5, method="exact").select("pair", "n", "diversity"), "diversity")
 
 
+@query("m1f_diversity_of_pairs_by_lanczos", _PAIRS)
+def m1f(spark, sf):
+    """Keys of two points have their unit vectors as probes, so the quadrature is exact."""
+    rows = table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 2).alias("pair"), F.col("embedding").cast("array<double>").alias("z"))
+    return rounded(diversity(rows, ["pair"], gamma=0.5, method="lanczos").select("pair", "n", "diversity"), "diversity")
+
+
 @query("m1b_diversity_features")
 def m1b(spark, sf):
     rows, _ = assessed(flow_latent(spark, sf))

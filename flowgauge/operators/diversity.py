@@ -1,7 +1,8 @@
-"""Vendi diversity by additive random features, or exact where a caller asks for it.
+"""Vendi diversity by additive random features, or by the full kernel where a caller asks for it.
 
 The method never depends on the number of rows.  Random features (the default) give one matrix of fixed size per key
-that partials add up to; the exact form holds all distinct points of a key in one task and is for keys known to be small.
+that partials add up to; ``lanczos`` works on the full kernel block by block; the exact form holds all distinct points of a
+key in one task and is for keys known to be small.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .assign import as_matrix
 from .clustering import block_sums
+from .lanczos import vendi_lanczos
 
 DEFAULT_FREQUENCIES = 512
-METHODS = ("rff", "exact")
+METHODS = ("rff", "exact", "lanczos")
 # Matrices that a task holds before it hands them on.
 HELD_BYTES = 128 << 20
 # Rows of one shuffled piece of a covariance matrix.
@@ -192,8 +194,9 @@ def diversity(
 ) -> DataFrame:
     """``diversity, n, method`` per key, by one method for all keys.
 
-    ``rff``: random Fourier features (Ospanov et al., 2024) with ``m`` frequencies.  ``exact``: the kernel matrix of a
-    key's distinct points, in one task per key.
+    ``rff``: random Fourier features (Ospanov et al., 2024) with ``m`` frequencies.  ``lanczos``: the full kernel by
+    stochastic Lanczos quadrature, spread over pairs of blocks.  ``exact``: the kernel matrix of a key's distinct points,
+    in one task per key.
     """
     if method not in METHODS:
         raise ValueError(f"Unknown diversity method: {method}")
@@ -201,6 +204,9 @@ def diversity(
         raise ValueError("A custom kernel needs method='exact'")
     keys = keys or []
     points, inner = _constant_key(df.select(*keys, F.col(z).alias("z")), keys)
+    if method == "lanczos":
+        distinct = points.groupBy(*inner, "z").agg(F.count(F.lit(1)).alias("weight"))
+        return vendi_lanczos(distinct, inner, gamma, normalize, seed=seed).select(*keys, "diversity", "n", "method")
     if method == "exact":
         distinct = points.groupBy(*inner, "z").agg(F.count(F.lit(1)).alias("weight"))
         return exact_vendi(distinct, inner, gamma, normalize, kernel).select(*keys, "diversity", "n", "method")
