@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.bounded import spread
 from ..operators.clean import apply_labels, fit_labels
 from ..operators.clustering import seed_cells
-from ..operators.perturb import map_actions
-from ..operators.sampling import half_splits, random_configs
-from ..operators.scores import feature_stats, improvement, mean_std
+from ..operators.perturb import SETTINGS
+from ..operators.sampling import half_splits
+from ..operators.scores import improvement, mean_std
 from ..plans.assess import ALL_METRICS
-from ..plans.augment import augmentation_comparison, base_scores, three_arm_retrain, transfer
+from ..plans.augment import augmentation_comparison, base_scores, three_arm_retrain
+from ..plans.generate import generated_comparison, prepare, random_settings, transfer_comparison
 from ..plans.report import embedded, end_to_end
 from ..plans.sweeps import (
     compare_datasets, compare_encoders, dispersion_scores, dispersion_sweep, embed_per_seed, encoder_means, kmeans_clusters,
@@ -143,13 +144,8 @@ def x3b(spark, sf):
 
 @query("x4_encoder_comparison")
 def x4(spark, sf):
-    names = [f"e{i}" for i in range(64)]
-    rows = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
-        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
-    )
-    # ten seeds, both encoders, all default k
-    scores = compare_encoders(spread(rows), names, restarts=3, m=64).persist()
+    """Ten seeds, both encoders, all default k: scores per seed beside their means over the seeds."""
+    scores = compare_encoders(*_embedding_set(spark, sf), restarts=3, m=64).persist()
     means = encoder_means(scores)
     columns = [c for c in (*scores.columns, *means.columns) if c not in ("seed", "encoder", "best_k", "n")]
     return rounded(scores.join(means.drop("n"), "encoder"), *columns)
@@ -219,18 +215,19 @@ def _orders_set(spark, sf):
     return apply_labels(rows, fit_labels(rows)).drop("label"), ["price", "customer"]
 
 
+def _embedding_set(spark, sf):
+    names = [f"e{i}" for i in range(64)]
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return spread(rows), names
+
+
 @query("x5b_dataset_comparison_embedded")
 def x5b(spark, sf):
     """Two datasets over ten seeds with encoder, the default k with two restarts and all three scores."""
-    def vectors():
-        names = [f"e{i}" for i in range(64)]
-        rows = table(spark, sf, "embeddings").select(
-            F.col("vec_id").alias("row_id"), F.col("label").alias("y"),
-            *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-        return spread(rows), names
-
     found = compare_datasets(
-        {"embeddings": vectors, "orders_set": lambda: _orders_set(spark, sf)}, encoder=embed_per_seed,
+        {"embeddings": lambda: _embedding_set(spark, sf), "orders_set": lambda: _orders_set(spark, sf)}, encoder=embed_per_seed,
         clusterer=partial(kmeans_clusters, restarts=2), m=64)
     return rounded(found, *[f"{s}_{f}" for s in ("diversity", "proximity", "scarcity") for f in ("mean", "std")])
 
@@ -254,17 +251,25 @@ def x6(spark, sf):
     return rounded(found, "diversity", "proximity", "scarcity", "reward", "accuracy", "precision", "recall", "f1")
 
 
+_SCORED = ("diversity", "proximity", "scarcity", "accuracy", "precision", "recall", "f1")
+
+
+@query("x6b_generated_batches")
+def x6b(spark, sf):
+    """Forty drawn settings on the embeddings, the best batch of each weighting, and forests retrained with it."""
+    bench = prepare(*_embedding_set(spark, sf), restarts=3)
+    found = generated_comparison(bench, random_settings(spark, 40), kinds={"random_forest": FOREST})
+    return rounded(found, "reward", *_SCORED)
+
+
 @query("x7_transfer_settings")
 def x7(spark, sf):
-    # Settings drawn for the orders perturb rows of the embeddings table.
-    chosen = map_actions(random_configs(spark, 0, 0, requests=table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("draw_id"), F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("step")
-    ))).select("draw_id", "config")
-    rows = latent(spark, sf).select("row_id", F.col("z").alias("features"))
-    names = [f"f{i}" for i in range(64)]
-    stats = feature_stats(rows.select(*[F.col("features")[i].alias(n) for i, n in enumerate(names)]), names)
-    out = transfer(chosen, rows, stats)
-    return out.select("draw_id", "base_row", F.round(F.col("features")[0], 5).alias("first"))
+    """Settings rewarded on the orders; the best ones perturb, assess and retrain the embeddings."""
+    a = prepare(*_orders_set(spark, sf), restarts=3)
+    b = prepare(*_embedding_set(spark, sf), restarts=3)
+    found = transfer_comparison(a, b, random_settings(spark, 40), kinds={"random_forest": FOREST})
+    return rounded(found.select("reward_config", "batch", "config.*", "reward_a", *_SCORED[:3], "model", *_SCORED[3:]),
+                   *SETTINGS, "reward_a", *_SCORED)
 
 
 @query("x8_three_arm_retrain")

@@ -214,13 +214,3 @@ def three_arm_retrain(
         scored = scored.select(F.lit(name).alias("arm"), "*")
         out = scored if out is None else out.unionByName(scored)
     return out
-
-
-def transfer(
-    chosen: DataFrame, base_b: DataFrame, stats: DataFrame, scaler: DataFrame | None = None, seed: int = 42,
-    row_id: str = "row_id",
-) -> DataFrame:
-    """Rows of dataset B perturbed under settings chosen on dataset A."""
-    from ..operators.perturb import perturb
-
-    return perturb(base_b, chosen, stats, seed, scaler=scaler, row_id=row_id)
