@@ -114,45 +114,59 @@ def _leaf(a: pa.Array, b: pa.Array, before: pa.Array, slots: pa.Array, points: p
     return pa.array(out, type=pa.float64())
 
 
-def ks_with_batches(base: CurveSummary, added: DataFrame, batch: str = "batch") -> DataFrame:
-    """``batch, pos, ks`` of the fixed test rows plus a batch, for every cluster that a batch touches.
+def slot_counts(base: CurveSummary, added: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, pos, node, slot, n``: where the rows of ``keys, pos, value, n`` fall among the fixed values.
 
-    ``added`` holds ``batch, pos, value, n``: the test rows of each batch.
+    Within a slot only the number of added rows matters, so counts of disjoint rows add up, and there are at most two
+    slots per fixed value and one before them all.  Rows of clusters without fixed values fall nowhere.
     """
-    keys = [batch, "pos"]
-    added = written(added, "batch-values")
-    scale = (added.groupBy(*keys).agg(F.sum("n").alias("n")).join(base.totals, "pos", "left")
-             .select(*keys, (1 / (F.coalesce("n_test", F.lit(0)) + F.col("n"))).alias("a"),
-                     F.when(F.col("n_train") > 0, 1 / F.col("n_train")).alias("b")))
-    # down to the leaves, row by row
     rows = added.withColumn("node", F.lit(0).cast("bigint"))
     for level in reversed(base.inner):
         child = F.greatest(_upto(F.col("value")) - 1, F.lit(0))
         rows = (rows.join(level.select("pos", "node", "lows"), ["pos", "node"])
-                .select(*keys, "value", "n", (F.col("node") * base.fan + child).alias("node")))
+                .select(*keys, "pos", "value", "n", (F.col("node") * base.fan + child).alias("node")))
     upto = _upto(F.col("value"))
     placed = rows.join(base.leaves.select("pos", "node", "lows"), ["pos", "node"]).select(
-        *keys, "node", "n", (2 * upto - F.when(F.get("lows", upto - 1) == F.col("value"), 1).otherwise(0)).alias("slot"))
-    touched = [written(placed.groupBy(*keys, "node", "slot").agg(F.sum("n").alias("n")), "batch-leaves")]
+        *keys, "pos", "node", "n", (2 * upto - F.when(F.get("lows", upto - 1) == F.col("value"), 1).otherwise(0)).alias("slot"))
+    return placed.groupBy(*keys, "pos", "node", "slot").agg(F.sum("n").alias("n"))
+
+
+def ks_from_slots(base: CurveSummary, counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, pos, ks``: fixed test rows plus the rows counted by slot; ``sizes`` (keys, pos, n) has how many those are."""
+    by = [*keys, "pos"]
+    scale = (sizes.join(base.totals, "pos", "left")
+             .select(*by, (1 / (F.coalesce("n_test", F.lit(0)) + F.col("n"))).alias("a"),
+                     F.when(F.col("n_train") > 0, 1 / F.col("n_train")).alias("b")))
+    touched = [counts]
     for _ in base.inner:
-        below = touched[-1].groupBy(*keys, "node").agg(F.sum("n").alias("n"))
-        touched.append(below.select(*keys, F.floor(F.col("node") / base.fan).alias("node"), "n",
+        below = touched[-1].groupBy(*by, "node").agg(F.sum("n").alias("n"))
+        touched.append(below.select(*by, F.floor(F.col("node") / base.fan).alias("node"), "n",
                                     F.pmod("node", F.lit(base.fan)).cast("int").alias("slot")))
     # a node has at most ``fan`` children, a leaf twice as many slots
-    slots = [t.groupBy(*keys, "node").agg(F.collect_list(F.struct("slot", "n")).alias("slots")) for t in touched]
+    slots = [t.groupBy(*by, "node").agg(F.collect_list(F.struct("slot", "n")).alias("slots")) for t in touched]
 
-    front = slots[-1].join(scale, keys).withColumn("before", F.lit(0).cast("bigint"))
+    front = slots[-1].join(scale, by).withColumn("before", F.lit(0).cast("bigint"))
     inner, leaf = F.arrow_udf(_inner, _ANSWER), F.arrow_udf(_leaf, "double")
     peaks = []
     for level, below in zip(reversed(base.inner), reversed(slots[:-1]), strict=True):
         met = front.where("b is not null").join(level.select("pos", "node", "hulls"), ["pos", "node"])
-        told = written(met.select(*keys, "node", "a", "b", inner("a", "b", "before", "slots", "hulls").alias("x")), "batch-nodes")
-        peaks.append(told.select(*keys, F.col("x.peak").alias("peak")))
-        down = told.select(*keys, "node", "a", "b", F.inline("x.down")).select(
-            *keys, (F.col("node") * base.fan + F.col("slot")).alias("node"), "a", "b", "before")
-        front = below.join(down, [*keys, "node"])
+        told = written(met.select(*by, "node", "a", "b", inner("a", "b", "before", "slots", "hulls").alias("x")), "batch-nodes")
+        peaks.append(told.select(*by, F.col("x.peak").alias("peak")))
+        down = told.select(*by, "node", "a", "b", F.inline("x.down")).select(
+            *by, (F.col("node") * base.fan + F.col("slot")).alias("node"), "a", "b", "before")
+        front = below.join(down, [*by, "node"])
     met = front.join(base.leaves.select("pos", "node", "points", "t0", "r0"), ["pos", "node"])
-    peaks.append(met.select(*keys, leaf("a", "b", "before", "slots", "points", "t0", "r0").alias("peak")))
-    best = reduce(DataFrame.unionByName, peaks).groupBy(*keys).agg(F.max("peak").alias("peak"))
+    peaks.append(met.select(*by, leaf("a", "b", "before", "slots", "points", "t0", "r0").alias("peak")))
+    best = reduce(DataFrame.unionByName, peaks).groupBy(*by).agg(F.max("peak").alias("peak"))
     ks = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("peak", F.lit(0.0))))
-    return scale.select(*keys).join(best, keys, "left").select(*keys, ks.alias("ks"))
+    return scale.select(*by).join(best, by, "left").select(*by, ks.alias("ks"))
+
+
+def ks_with_batches(base: CurveSummary, added: DataFrame, batch: str = "batch") -> DataFrame:
+    """``batch, pos, ks`` of the fixed test rows plus a batch, for every cluster that a batch touches.
+
+    ``added`` holds ``batch, pos, value, n``: the test rows of each batch.
+    """
+    added = written(added, "batch-values")
+    sizes = added.groupBy(batch, "pos").agg(F.sum("n").alias("n"))
+    return ks_from_slots(base, written(slot_counts(base, added, [batch]), "batch-leaves"), sizes, [batch])

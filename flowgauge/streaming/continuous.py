@@ -6,39 +6,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assign import ClusterModel, assign, negative_counts
+from ..operators.curves import curve_summary, ks_from_slots, slot_counts
 from ..operators.diversity import DEFAULT_FREQUENCIES, add_covariances, covariance_partials, covariance_scores
-from ..operators.proximity import ks_from_counts, value_counts
+from ..operators.proximity import value_counts
 from ..operators.scarcity import scarcity_from_counts
 
 
 class ContinuousAssessment:
-    """Running scores against fixed clusters and train partials.
-
-    Each micro-batch is reduced to its partials (pair counts, distance counts,
-    random-feature matrices), written under the batch id.  A replayed batch
-    overwrites its own folder, so nothing is counted twice, and the scores of
-    any moment are a merge of partials - no row is kept.
+    """Running scores against fixed clusters and train rows, from a state whose size does not follow the rows.
+
+    The state holds pair counts per (cluster, other cluster), counts of test rows per slot between the fixed train values
+    (what the statistic depends on, so nothing is rounded), and the random-feature matrix of each cluster.  A micro-batch is
+    reduced to the same partials and added to the last state, which is written as a new version; a pointer row then names
+    it.  A batch that the pointer has passed changes nothing when it is replayed; one that failed before the pointer moved
+    is added again to the same state; readers only follow the pointer.  Three versions are kept, so a reader has the time
+    of two batches.
     """
 
+    VERSIONS = 3
+
     def __init__(self, spark: SparkSession, clusters: "DataFrame | ClusterModel", train: DataFrame, state: str,
                  gamma: float = 1.0, m: int = DEFAULT_FREQUENCIES, bins: float | None = None, diversity: bool = True):
         self.spark, self.state, self.gamma, self.m, self.bins = spark, state.rstrip("/"), gamma, m, bins
         self.model = ClusterModel.load(clusters)
         self.with_diversity = diversity
         base = assign(train.withColumn("side", F.lit("train")), self.model)
-        value_counts(base, "neg_dist", "side", ["pos"], bins).write.mode("overwrite").parquet(f"{self.state}/train")
-
-    def _put(self, df: DataFrame, kind: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.state}/{kind}/batch={batch_id}")
+        self.curves = curve_summary(value_counts(base, "neg_dist", "side", ["pos"], bins))
+        # the first pointer; a state that is there already goes on
+        first = spark.range(1).select(F.lit(-1).cast("bigint").alias("batch"), F.lit(0).alias("version"))
+        first.write.mode("ignore").parquet(f"{self.state}/pointer")
+
+    def _pointer(self) -> tuple[int, int]:
+        """The last batch that is part of the state, and the version that holds it."""
+        rows = self.spark.read.schema("batch bigint, version int").parquet(f"{self.state}/pointer")
+        found = rows.agg(F.max(F.struct("batch", "version")).alias("p")).first().p
+        return found.batch, found.version
+
+    def _read(self, kind: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.state}/version={version}/{kind}")
+
+    def _merged(self, kind: str, part: DataFrame, last: tuple[int, int]) -> DataFrame:
+        """``part`` added to what the last version has."""
+        both = part if last[0] < 0 else part.unionByName(self._read(kind, last[1]))
+        if kind == "matrices":
+            return add_covariances(both.select("pos", "part", "total", "n"), ["pos"])
+        keys = ["pos", "neg"] if kind == "counts" else ["pos", "node", "slot"]
+        return both.groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def update(self, rows: DataFrame, batch_id: int) -> None:
         """foreachBatch body."""
+        last = self._pointer()
+        if batch_id <= last[0]:
+            return
+        version = (last[1] + 1) % self.VERSIONS
         assigned = assign(rows.withColumn("side", F.lit("test")), self.model).persist()
-        self._put(negative_counts(assigned), "counts", batch_id)
-        self._put(value_counts(assigned, "neg_dist", "side", ["pos"], self.bins), "values", batch_id)
+        values = value_counts(assigned, "neg_dist", "side", ["pos"], self.bins)
+        parts = {
+            "counts": negative_counts(assigned),
+            "slots": slot_counts(self.curves, values.select("pos", "value", F.col("n_test").alias("n")), []),
+        }
         if self.with_diversity:
-            self._put(covariance_partials(assigned, ["pos"], self.gamma, self.m), "matrices", batch_id)
+            parts["matrices"] = covariance_partials(assigned, ["pos"], self.gamma, self.m)
+        for kind, part in parts.items():
+            self._merged(kind, part, last).write.mode("overwrite").parquet(f"{self.state}/version={version}/{kind}")
         assigned.unpersist()
+        self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"), F.lit(version).alias("version")).write.mode(
+            "append").parquet(f"{self.state}/pointer")
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
         writer = stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
@@ -46,18 +79,19 @@ class ContinuousAssessment:
 
     def cluster_scores(self) -> DataFrame:
         """Scores of everything seen so far, per cluster."""
-        read = self.spark.read.parquet
-        counts = read(f"{self.state}/counts").groupBy("pos", "neg").agg(F.sum("n").alias("n"))
-        values = read(f"{self.state}/values").select("pos", "value", "n_test", "n_train").unionByName(
-            read(f"{self.state}/train").select("pos", "value", "n_test", "n_train")
-        ).groupBy("pos", "value").agg(F.sum("n_test").alias("n_test"), F.sum("n_train").alias("n_train"))
-        p = ks_from_counts(values, ["pos"]).select("pos", F.col("ks").alias("proximity"), "n_test")
-        s = scarcity_from_counts(counts, self.model)
+        batch, version = self._pointer()
         frame = self.model.table(self.spark).select(F.col("cluster_id").alias("pos"), "majority_y", "n_train")
-        out = frame.join(p, "pos", "left").join(s, "pos", "left")
+        if batch < 0:
+            zeros = {"proximity": F.lit(0.0), "n_test": F.lit(0).cast("bigint"), "scarcity": F.lit(0.0)}
+            zeros |= {"diversity": F.lit(0.0)} if self.with_diversity else {}
+            return frame.withColumns(zeros).withColumnRenamed("pos", "cluster_id")
+        counts = self._read("counts", version)
+        sizes = counts.groupBy("pos").agg(F.sum("n").alias("n"))
+        p = ks_from_slots(self.curves, self._read("slots", version), sizes, []).select("pos", F.col("ks").alias("proximity"))
+        s = scarcity_from_counts(counts, self.model)
+        out = frame.join(p, "pos", "left").join(sizes.withColumnRenamed("n", "n_test"), "pos", "left").join(s, "pos", "left")
         if self.with_diversity:
-            merged = add_covariances(read(f"{self.state}/matrices").select("pos", "part", "total", "n"), ["pos"])
-            d = covariance_scores(merged, ["pos"], self.m).select("pos", "diversity")
+            d = covariance_scores(self._read("matrices", version), ["pos"], self.m).select("pos", "diversity")
             out = out.join(d, "pos", "left").na.fill(0.0, ["diversity"])
         return out.na.fill(0.0, ["proximity", "scarcity"]).na.fill(0, ["n_test"]).withColumnRenamed("pos", "cluster_id")
 
