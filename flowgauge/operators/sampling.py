@@ -263,14 +263,14 @@ def rank_bins(
     return joined.withColumn("bin", first.cast("int")).drop("_n", "_all")
 
 
-def label_subsets(labels: DataFrame, max_labels: int = 16, label_col: str = "y") -> DataFrame:
+def label_subsets(labels: DataFrame, max_labels: int = 62, label_col: str = "y") -> DataFrame:
     """Every non-empty label subset: ``subset_id, size, y`` (one row per member).
 
-    ``subset_id`` is the bit mask of label positions in ascending order.
+    ``subset_id`` is the bit mask of label positions in ascending order, which has room for 62.
     """
-    rows = bounded_rows(labels.select(label_col).distinct(), max_labels)
+    rows = bounded_rows(labels.select(label_col).distinct(), min(max_labels, 62))
     if rows is None:
-        raise SplitError(f"More than {max_labels} labels give too many subsets")
+        raise SplitError(f"More than {max_labels} labels")
     values = sorted(r[0] for r in rows)
     spark = labels.sparkSession
     members = F.array(*[F.struct(F.lit(1 << i).cast("bigint").alias("mask"), F.lit(v).alias("v")) for i, v in enumerate(values)])

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from flowgauge.operators.assign import ClusterModel, assign, negative_grid
 from flowgauge.operators.clustering import cluster_table, majority_labels, mean_vectors, silhouette
-from flowgauge.operators.diversity import diversity, order_two_diversity
+from flowgauge.operators.diversity import (
+    covariance_partials, diversity, normalised, order_two_diversity, spectral_score, unpacked,
+)
 from flowgauge.operators.proximity import ks
 from flowgauge.operators.scarcity import gini, scarcity, scarcity_from_grid
 from flowgauge.plans.assess import assess
+from flowgauge.plans.sweeps import subset_scores
 
 
 def vendi(points, gamma=1.0):
@@ -183,3 +186,24 @@ def test_label_subsets_gather_no_cluster_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(sweeps, "exact_vendi", gathered)
     found = registered.x1(spark, "/root/testdata/sf0.001").collect()
     assert len(found) == 1023 and all(0 <= r.diversity <= 1 for r in found)
+
+
+@pytest.mark.parametrize("low_bits", [1, 3, 8])
+def test_segments_of_label_subsets(spark, low_bits):
+    """However a cluster's subsets are cut into tasks, their scores are those of the summed matrices."""
+    rng = np.random.default_rng(7)
+    rows = [(pos, 1 << (2 * k), [float(v) for v in rng.normal(size=3)])
+            for pos, held in ((1, range(5)), (2, [3]), (3, [0, 4])) for k in held for _ in range(6)]
+    points = spark.createDataFrame(rows, "pos int, bit long, z array<double>")
+    sums = covariance_partials(points, ["pos", "bit"], m=4).persist()
+    by_label = {(p, b): unpacked(part, 4) for (p, b), part in sums.toPandas().groupby(["pos", "bit"])}
+    found = {(r.pos, r["sub"]): r.diversity for r in subset_scores(sums, 4, low_bits).collect()}
+    want = {}
+    for pos, held in ((1, range(5)), (2, [3]), (3, [0, 4])):
+        bits = [1 << (2 * k) for k in held]
+        for mask in range(1, 1 << len(bits)):
+            mine = [b for i, b in enumerate(bits) if mask >> i & 1]
+            n = 6 * len(mine)
+            score = spectral_score(np.linalg.eigvalsh(sum(by_label[pos, b] for b in mine) / n))
+            want[pos, sum(mine)] = normalised(score, n, True)
+    assert found == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
