@@ -12,17 +12,41 @@ ranks is split again by the tie-break hash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bounded import bounded_side
+from .bounded import MAX_BROADCAST_ROWS, bounded_side
 from .hashing import hash_hex
 
 ROWS_PER_BUCKET = 1_000_000
+#: Bounds that one pass of quantiles gives; past it every interval is cut again.
 MAX_BUCKETS = 8192
+#: Leading hex digits of a hash that cells are cut by, and the most of them (a repeated hash is never cut apart).
+FIRST_DIGITS, MOST_DIGITS = 3, 15
+
+
+def cut_by_digits(
+    cells: Callable[[int], DataFrame], digits: int = FIRST_DIGITS, rows_per_cell: int = ROWS_PER_BUCKET, count: str = "_n",
+) -> tuple[DataFrame, int]:
+    """The table of cells, as a join side, with as many digits as it takes for no cell to pass ``rows_per_cell``.
+
+    ``cells`` makes the table for a number of digits; its ``count`` column is looked at where the table is collected for
+    the join anyway, and by an aggregate where it is too large for that.
+    """
+    while True:
+        table = cells(digits)
+        found = table.limit(MAX_BROADCAST_ROWS + 1).toArrow()
+        small = found.num_rows <= MAX_BROADCAST_ROWS
+        most = max(found.column(count).to_pylist(), default=0) if small else table.agg(F.max(count)).first()[0]
+        if (most or 0) <= rows_per_cell or digits >= MOST_DIGITS:
+            side = F.broadcast(table.sparkSession.createDataFrame(found, table.schema)) if small else table
+            return side, digits
+        # a hash is uniform, so so many more digits are enough
+        digits = min(MOST_DIGITS, digits + max(1, math.ceil(math.log(most / rows_per_cell, 16))))
 
 
 def same_key(left: str, right: str, keys: list[str]) -> Column:
@@ -54,13 +78,26 @@ def value_bounds(
     if buckets <= 1:
         return []
     found = first.q
-    if buckets > coarse:
+    if first.n > MAX_BUCKETS * rows_per_bucket:
+        found = _fine_bounds(df, value, df.agg(quantiles(MAX_BUCKETS).alias("q")).first().q, rows_per_bucket)
+    elif buckets > coarse:
         found = df.agg(quantiles(buckets).alias("q")).first().q
     elif buckets < coarse:
         found = [found[round(i * coarse / buckets) - 1] for i in range(1, buckets)] if found else []
     return sorted({float(v) for v in found or [] if v is not None and math.isfinite(v)})
 
 
+def _fine_bounds(df: DataFrame, value: Column, bounds: list[float], rows_per_bucket: int) -> list[float]:
+    """More bounds inside the intervals of ``bounds`` that hold too many rows: quantiles by interval, in one pass."""
+    cuts = sorted({float(v) for v in bounds if v is not None and math.isfinite(v)})
+    inside = with_bucket(df.select(value.cast("double").alias("_v")), "_v", cuts, "_b").filter(F.col("_b") % 2 == 1)
+    parts = 64
+    fine = (inside.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+        "_v", [i / parts for i in range(1, parts)], 10_000).alias("q")).filter(F.col("n") > rows_per_bucket))
+    # at most as many rows as there are bounds
+    return [*cuts, *[v for r in fine.select("q").collect() for v in r.q]]
+
+
 def with_bucket(df: DataFrame, value: str, bounds: list[float], out: str) -> DataFrame:
     """Bucket number, ascending with ``value``; a bound itself has its own bucket.
 
@@ -167,20 +204,23 @@ def ranked(
     if not bounds:
         w = W.partitionBy(*keys).orderBy("_v", "_h")
         return base.withColumn(out, F.row_number().over(w).cast("bigint")).drop("_v", "_h")
-    tagged = with_bucket(base, "_v", bounds, "_bucket").withColumn(
-        "_sub", F.when(F.col("_bucket") % 2 == 0, F.substring("_h", 1, 3)).otherwise("")
-    )
     cell = [*keys, "_bucket", "_sub"]
     before = W.partitionBy(*keys).orderBy("_bucket", "_sub").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    bucketed = with_bucket(base, "_v", bounds, "_bucket")
+
+    def tag(digits: int) -> DataFrame:
+        return bucketed.withColumn("_sub", F.when(F.col("_bucket") % 2 == 0, F.substring("_h", 1, digits)).otherwise(""))
+
+    def cells(digits: int) -> DataFrame:
+        counts = tag(digits).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        # only a value's own bucket is cut by digits
+        return counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                                   "_cut": F.when(F.col("_sub") != "", F.col("_n")).otherwise(0)}).drop("_n")
+
+    offsets, digits = cut_by_digits(cells, rows_per_cell=max(rows_per_bucket, 1000), count="_cut")
     joined = (
-        tagged.alias("l")
-        .join(bounded_side(offsets).alias("r"), same_key("l", "r", cell))
+        tag(digits).alias("l")
+        .join(offsets.alias("r"), same_key("l", "r", cell))
         .select("l.*", "r._before")
     )
     inside = W.partitionBy(*cell).orderBy("_v", "_h")
@@ -189,23 +229,25 @@ def ranked(
     ).drop("_v", "_h", "_bucket", "_sub", "_before")
 
 
-def hash_rank(df: DataFrame, keys: list[str], hash_col: str, out: str, digits: int = 3) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], hash_col: str, out: str, digits: int = FIRST_DIGITS,
+              rows_per_cell: int = ROWS_PER_BUCKET) -> DataFrame:
     """1-based position by hash inside each key.
 
-    A hash is uniform, so its leading digits already are balanced buckets and
-    no quantile pass is needed.
+    A hash is uniform, so its leading digits are balanced buckets and no quantile pass is needed.
     """
-    tagged = df.withColumn("_p", F.substring(hash_col, 1, digits))
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "_p")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+
+    def tag(digits: int) -> DataFrame:
+        return df.withColumn("_p", F.substring(hash_col, 1, digits))
+
+    def cells(digits: int) -> DataFrame:
+        counts = tag(digits).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    offsets, digits = cut_by_digits(cells, digits, rows_per_cell)
     joined = (
-        tagged.alias("l")
-        .join(bounded_side(offsets).alias("r"), same_key("l", "r", [*keys, "_p"]))
+        tag(digits).alias("l")
+        .join(offsets.alias("r"), same_key("l", "r", [*keys, "_p"]))
         .select("l.*", "r._before")
     )
     inside = W.partitionBy(*keys, "_p").orderBy(hash_col)
@@ -215,7 +257,8 @@ def hash_rank(df: DataFrame, keys: list[str], hash_col: str, out: str, digits: i
 
 
 def hash_cutoffs(
-    df: DataFrame, keys: list[str], hash_col: str, wanted: dict[str, Column], digits: int = 3
+    df: DataFrame, keys: list[str], hash_col: str, wanted: dict[str, Column], digits: int = FIRST_DIGITS,
+    rows_per_cell: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact order statistics of a hash: one row per key, one cut-off per name.
 
@@ -225,35 +268,40 @@ def hash_cutoffs(
     many rows.  Only a histogram of hash prefixes and the rows of the prefixes
     that straddle a cut are shuffled; the table itself never is.
     """
-    tagged = df.select(*keys, F.col(hash_col).alias("_h")).withColumn(
-        "_p", F.substring("_h", 1, digits)
-    )
+    names = list(wanted)
     per_key = W.partitionBy(*keys)
     before = per_key.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    histogram = (
-        tagged.groupBy(*keys, "_p")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .withColumn("_n", F.sum("_c").over(per_key))
-    )
-    names = list(wanted)
-    asked = histogram.withColumns({f"_w_{n}": wanted[n].cast("bigint") for n in names})
-    holds = {
-        n: (F.col("_before") < F.col(f"_w_{n}"))
-        & (F.col(f"_w_{n}") <= F.col("_before") + F.col("_c"))
-        for n in names
-    }
-    any_hold = F.lit(False)
-    for n in names:
-        any_hold = any_hold | holds[n]
-    cells = asked.filter(any_hold | (F.col("_before") == 0)).select(
-        *keys, "_p", "_n", *[
-            F.when(holds[n], F.col(f"_w_{n}") - F.col("_before")).alias(f"_k_{n}") for n in names
-        ]
-    )
+
+    def tag(digits: int) -> DataFrame:
+        return df.select(*keys, F.col(hash_col).alias("_h")).withColumn("_p", F.substring("_h", 1, digits))
+
+    def straddled(digits: int) -> DataFrame:
+        """The prefixes that hold a cut (and the first of each key), with the cut's rank inside."""
+        histogram = (
+            tag(digits).groupBy(*keys, "_p")
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+            .withColumn("_n", F.sum("_c").over(per_key))
+        )
+        asked = histogram.withColumns({f"_w_{n}": wanted[n].cast("bigint") for n in names})
+        holds = {
+            n: (F.col("_before") < F.col(f"_w_{n}"))
+            & (F.col(f"_w_{n}") <= F.col("_before") + F.col("_c"))
+            for n in names
+        }
+        any_hold = F.lit(False)
+        for n in names:
+            any_hold = any_hold | holds[n]
+        return asked.filter(any_hold | (F.col("_before") == 0)).select(
+            *keys, "_p", "_n", "_c", *[
+                F.when(holds[n], F.col(f"_w_{n}") - F.col("_before")).alias(f"_k_{n}") for n in names
+            ]
+        )
+
+    cells, digits = cut_by_digits(straddled, digits, rows_per_cell, "_c")
     straddling = (
-        tagged.alias("l")
-        .join(bounded_side(cells).alias("r"), same_key("l", "r", [*keys, "_p"]))
+        tag(digits).alias("l")
+        .join(cells.alias("r"), same_key("l", "r", [*keys, "_p"]))
         .select("l.*", "r._n", *[f"r._k_{n}" for n in names])
     )
     at = W.partitionBy(*keys, "_p").orderBy("_h")

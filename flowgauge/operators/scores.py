@@ -40,15 +40,11 @@ def reward_value(weights: dict[str, float] | None = None) -> Column:
 
 def reward(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Every score row under every weighting (a NULL weight counts as 1)."""
-    rows = bounded_rows(weights, 1000)
-    if rows is None:
-        raise ValueError("More than 1000 reward weightings")
-    packed = F.array(*[
-        F.struct(*[F.lit(r[c]).cast("string" if c == "reward_config" else "double").alias(c)
-                   for c in ("reward_config", "w_d", "w_p", "w_s")])
-        for r in rows
-    ])
-    out = scores.withColumn("_w", F.explode(packed))
+    packed = weights.select(F.lit(0).alias("_one"), F.struct(
+        F.col("reward_config").cast("string").alias("reward_config"),
+        *[F.col(c).cast("double").alias(c) for c in ("w_d", "w_p", "w_s")]).alias("_w"))
+    # every score row has a result row for every weighting
+    out = scores.withColumn("_one", F.lit(0)).join(bounded_side(packed), "_one")
     value = (
         F.coalesce("_w.w_d", F.lit(1.0)) * F.col("diversity")
         + F.coalesce("_w.w_p", F.lit(1.0)) * F.col("proximity")

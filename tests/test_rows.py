@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowgauge.functions import ordering
 from flowgauge.functions.hashing import hash_hex
-from flowgauge.functions.ordering import hash_rank, ranked, running_sum
+from flowgauge.functions.ordering import hash_cutoffs, hash_rank, ranked, running_sum
 from flowgauge.functions.special import correlation_p_value
 from flowgauge.operators.clean import CleaningError, apply_labels, apply_scaler, fit_labels, fit_scaler, numeric_features
 from flowgauge.operators.episodes import next_rows
@@ -189,3 +190,31 @@ def test_encoder_training_lowers_the_loss(spark):
     df = spark.createDataFrame(rows, "row_id int, y int, features array<double>")
     _, history = fit_encoder(df, [8], 2, epochs=4, batches=1, lr=0.02)
     assert history[-1]["loss"] < history[0]["loss"]
+
+
+@pytest.mark.parametrize("rows_per_cell", [4, 1_000_000])
+def test_ranks_and_cuts_by_as_many_digits_as_it_takes(spark, rows_per_cell):
+    """Hashes that share their first digits, and one that many rows share."""
+    rows = [(k % 2, f"abc{k:04x}{k * 7919 % 65536:04x}") for k in range(600)] + [(0, "abc00000000f")] * 30
+    df = spark.createDataFrame(rows, "key int, h string")
+    found = hash_rank(df, ["key"], "h", "rank", rows_per_cell=rows_per_cell).collect()
+    for key in (0, 1):
+        mine = sorted(h for k, h in rows if k == key)
+        assert [r.h for r in sorted((r for r in found if r.key == key), key=lambda r: r["rank"])] == mine
+        assert sorted(r["rank"] for r in found if r.key == key) == list(range(1, len(mine) + 1))
+    cuts = hash_cutoffs(df, ["key"], "h", {"a": F.floor(F.col("_n") * 0.3), "b": F.floor(F.col("_n") * 0.8), "none": F.lit(0)},
+                        rows_per_cell=rows_per_cell)
+    for r in cuts.collect():
+        mine = sorted(h for k, h in rows if k == r.key)
+        assert (r["_n"], r.a, r.b, r.none) == (len(mine), mine[int(len(mine) * 0.3) - 1], mine[int(len(mine) * 0.8) - 1], "")
+
+
+def test_bounds_are_cut_again_where_one_pass_is_too_coarse(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", 4)
+    df = spark.range(5000).select(F.lit(0).alias("k"), (F.col("id") * F.col("id") % 4999).cast("double").alias("v"))
+    distinct = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    got = {r.v: r.upto for r in ordering.running_sum(distinct, ["k"], "v", {"upto": "n"}, rows_per_bucket=50).collect()}
+    total = 0
+    for r in sorted(distinct.collect(), key=lambda r: r.v):
+        total += r.n
+        assert got[r.v] == total
