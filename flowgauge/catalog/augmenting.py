@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators.clean import fit_scaler
-from ..operators.episodes import bellman_target, fitted_q, next_rows, policy_value, rollout_summary, transitions
+from ..operators.episodes import bellman_target, fitted_q, next_rows, policy_value, policy_values, rollout_summary, transitions
 from ..operators.perturb import SETTINGS, map_actions, perturb
 from ..operators.sampling import random_configs
 from ..operators.scores import feature_stats
 from ..plans.augment import base_scores, best_batches, candidate_scores, first_reaching, running_observations, score_candidates
+from ..plans.sweeps import select_by_splits
 from . import query
 from .sampling import unit_sql
 from .sources import _RANGES
@@ -172,13 +173,30 @@ def a7(spark, sf):
     return rows.select("episode", "step", F.round(target, 6).alias("target"))
 
 
-@query("a8_fitted_q_value")
-def a8(spark, sf):
+def _logged(spark, sf):
     scaled = F.array(F.log1p(F.col("reward")), F.col("step") / 100.0)
     log = episodes(spark, sf).withColumn("obs", scaled).withColumn(
         "action", F.array((F.crc32("event_type") % 4) / 4.0)
     )
-    steps = transitions(log)
-    policy = lambda obs: F.array(F.lit(0.5))
+    return transitions(log)
+
+
+def _constant(value):
+    return lambda obs: F.array(F.lit(value))
+
+
+@query("a8_fitted_q_value")
+def a8(spark, sf):
+    steps = _logged(spark, sf)
+    policy = _constant(0.5)
     q = fitted_q(steps, policy, gamma=0.9, iterations=50)
     return rounded(policy_value(steps, policy, q), "value", digits=4)
+
+
+@query("a8b_policy_selection")
+def a8b(spark, sf):
+    """Six policies on the held-out halves of twenty splits, all solved from one pass, and the one that is best on average."""
+    policies = {f"constant-{k}": _constant(k / 5) for k in range(6)}
+    values = policy_values(_logged(spark, sf), policies, 20, gamma=0.9, iterations=50)
+    scores = values.select(F.col("policy").alias("config"), "split", "value").withColumn("position", F.col("config"))
+    return rounded(select_by_splits(scores), "mean_value", "std_value", digits=4)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_side
+from ..functions.hashing import hash_hex
+from ..functions.ordering import hash_cutoffs
 from ..functions.vectors import dot
+from .assign import as_matrix
 
 
 def next_rows(
@@ -175,3 +179,85 @@ def policy_value(df: DataFrame, policy, weights: DataFrame, keys: list[str] | No
         return starts.agg(F.avg(dot(F.col("_phi"), F.lit([float(v) for v in w]))).alias("value"), F.count(F.lit(1)).alias("n"))
     joined = starts.join(bounded_side(weights), keys)
     return joined.groupBy(*keys).agg(F.avg(dot(F.col("_phi"), F.col("w"))).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def split_sides(df: DataFrame, n_splits: int, seed: int = 42, episode: str = "episode", out: str = "held") -> DataFrame:
+    """Add an array of ``n_splits`` flags: whether the row's episode is in the held-out half of each split.
+
+    Halves are exact (by the rank of a hash of the episode); rows are neither copied nor shuffled.
+    """
+    hashed = df.select(episode).distinct().select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), hash_hex(seed + k, F.col(episode)).alias("_h")) for k in range(n_splits)])
+                  ).alias("x")).select("x.*")
+    cuts = hash_cutoffs(hashed, ["fold"], "_h", {"cut": F.floor(F.col("_n") / 2)})
+    # one hash per split
+    bounds = {r.fold: r.cut for r in cuts.collect()}
+    held = F.array(*[hash_hex(seed + k, F.col(episode)) > F.lit(bounds.get(k, "")) for k in range(n_splits)])
+    return df.withColumn(out, held)
+
+
+def policy_equations(df: DataFrame, policies: dict[str, Callable[[Column], Column]], held: str = "held") -> DataFrame:
+    """``split, policy, vec, start, n_starts``: the normal equations of every policy on every split's held-out rows.
+
+    One pass over transitions: a row's features are made once, its next features once per policy, and both go into the sums
+    of every split that holds it; rows that begin an episode also give the mean features under each policy.
+    """
+    names = list(policies)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, both, first = (as_matrix(batch.column(i)) for i in (0, 1, 2))
+            d = a.shape[1]
+            inside = np.array(batch.column(3).to_pylist(), dtype=bool)
+            reward = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
+            alive = ~np.array(batch.column(5).to_pylist(), dtype=bool)
+            begins = np.array(batch.column(6).to_pylist(), dtype=bool)
+            for s in range(inside.shape[1]):
+                mine = inside[:, s]
+                x, r, live = a[mine], reward[mine], alive[mine].astype(float)
+                start = begins & mine
+                outer, right = (x.T @ x).ravel(), x.T @ r
+                for p in range(len(names)):
+                    part = slice(p * d, (p + 1) * d)
+                    vec = np.concatenate([outer, (x.T @ (live[:, None] * both[mine, part])).ravel(), right, [len(x)],
+                                          first[start, part].sum(axis=0), [start.sum()]])
+                    sums[s, p] = sums[s, p] + vec if (s, p) in sums else vec
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in sums], type=pa.int32()), pa.array([p for _, p in sums], type=pa.int32()),
+             pa.array(list(sums.values()), type=pa.list_(pa.float64()))], names=["split", "p", "vec"])
+
+    obs, after = F.col("obs"), F.col("next_obs")
+    rows = df.select(
+        q_features(obs, F.col("action")).alias("phi"), F.concat(*[q_features(after, f(after)) for f in policies.values()]).alias("next"),
+        F.concat(*[q_features(obs, f(obs)) for f in policies.values()]).alias("first"), held, F.col("reward").cast("double").alias("reward"),
+        F.col("terminal").alias("terminal"), (F.col("step") == 0).alias("begins"))
+    found = rows.mapInArrow(fold, "split int, p int, vec array<double>").groupBy("split", "p").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"))
+    return found.withColumn("policy", F.get(F.lit(names), F.col("p"))).drop("p")
+
+
+def policy_values(
+    df: DataFrame, policies: dict[str, Callable[[Column], Column]], n_splits: int = 20, gamma: float = 0.99,
+    iterations: int = 100, ridge: float = 1e-6, seed: int = 42,
+) -> DataFrame:
+    """``split, policy, value``: the fitted value of every policy at the episode starts of every split's held-out half.
+
+    ``df`` holds transitions (``episode, step, obs, action, reward, terminal, next_obs``), read once for all policies and
+    splits.
+    """
+    equations = policy_equations(split_sides(df, n_splits, seed), policies)
+
+    def run(vecs: pa.Array) -> pa.Array:
+        out = []
+        for v in vecs:
+            v = v.values.to_numpy(zero_copy_only=False)
+            d = int(round((-2 + np.sqrt(4 + 8 * (len(v) - 2))) / 4))
+            w = solve_q(v[: 2 * d * d + d + 1], gamma, iterations, ridge)
+            starts = v[-1]
+            out.append(float(w @ v[-d - 1 : -1] / starts) if starts else None)
+        return pa.array(out, type=pa.float64())
+
+    return equations.select("split", "policy", F.arrow_udf(run, "double")("vec").alias("value"))
