@@ -193,11 +193,11 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns.
 
-    The labelled texts are measured for the cutoffs; a pass over all texts, which decides, measures them in place.
+    One pass measures all texts for the cutoffs and a second one, which decides, measures them in place: rows and
+    their texts are never shuffled (a join of labelled ids to texts before measuring would shuffle them).
     """
-    judged = docs.select("doc_id", "lang", "text").join(_holdout(labels), "doc_id")
-    rows = judged.select(stratum_of(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"), "good")
-    cutoffs = choose_cutoffs(rows, alpha, delta)
+    rows = docs.select("doc_id", stratum_of(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"))
+    cutoffs = choose_cutoffs(rows.join(_holdout(labels), "doc_id"), alpha, delta)
     name = free_name(docs, "_measures")
     m = F.col(name)
     bad = base_failed(m) | (F.size(rejected_by(m, stratum_of(F.col("lang")), cutoffs)) > 0)
