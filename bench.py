@@ -42,6 +42,9 @@ HEADLINE = [
     "a2_perturbed_rows",
     "a4_candidate_scores",
     "a5_transitions",
+    "a8b_policy_selection",
+    "c1_kmeans_sweep",
+    "w1_continuous_assessment",
 ]
 
 
