@@ -7,9 +7,8 @@
    smallest one, and confirmed pairs are joined into components.
 4. What is left are nodes that share a bucket with another component.  A node that has many shingles no other such node
    has cannot be linked with texts of the sizes it meets, whatever they hold, and leaves.  The others get many more minima
-   in longer bands, which only pairs near the threshold share.  In a few turns the members of such a band are compared with
-   one of them and components are joined, which leaves few bands with members of several components; only those are
-   compared pair by pair.
+   in longer bands, which only pairs near the threshold share, and are put in groups of similar sets.  A node of another
+   component than most of its band meets the groups of that band, up to 64 sets as one row, never pair by pair.
 5. A pair is first compared by its signatures, with a margin of several standard deviations, then by the full sets.
 6. Components are found by alternating large-star and small-star steps until nothing changes.
 
@@ -24,7 +23,6 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +30,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Words, id_text, mix64, slices, utf8, written
+from .setgroups import grouped, met_links
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 4
 FINE_BANDS, FINE_ROWS = 440, 12
-#: How often the members of a long band are compared with one of them.
-TURNS = 4
 
 
 def text_shingles(texts: Iterable[bytes], size: int) -> list[np.ndarray]:
@@ -143,7 +140,7 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, bucket) of the long bands of each (id, set)."""
+    """(id, bucket, label, group) of the long bands of each (id, set, label, group)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
@@ -152,9 +149,10 @@ def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket = np.broadcast_to(np.arange(FINE_BANDS, dtype=np.uint64), keys.shape[:2]).copy()
             for k in range(FINE_ROWS):
                 bucket = mix64(bucket + keys[:, :, k])
+            each = pa.array(np.repeat(np.arange(part.num_rows), FINE_BANDS))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), FINE_BANDS))),
-                 pa.array(bucket.ravel().view(np.int64))], names=["id", "bucket"])
+                [part.column(0).take(each), pa.array(bucket.ravel().view(np.int64)), part.column(2).take(each),
+                 part.column(3).take(each)], names=["id", "bucket", "label", "group"])
 
 
 def _saved(df: DataFrame, name: str) -> DataFrame:
@@ -250,8 +248,8 @@ class NearDuplicates:
         sets = self._sets(nodes, members.select("id"))
         pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
         found = _saved(self._confirm(pairs, sets), "links")
-        more = self._across(members.select("bucket", "id"), found, sets)
-        return found.unionByName(more)
+        labels = _saved(connected_components(found), "labels")
+        return found.unionByName(self._across(members.select("bucket", "id"), labels, sets))
 
     def _limits(self, nodes: DataFrame) -> DataFrame:
         """(id, label, size, most): the largest set that each of the nodes can be linked with.
@@ -274,9 +272,8 @@ class NearDuplicates:
         least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
         return _saved(sized.join(least, "bucket").where("most >= least").select("id").distinct(), "left")
 
-    def _across(self, members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    def _across(self, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         """Confirmed pairs between components that share a bucket."""
-        labels = _saved(connected_components(found), "labels")
         known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         split = (known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
                  .where("one <> other").select("bucket"))
@@ -286,35 +283,22 @@ class NearDuplicates:
         left = self._in_reach(members, mine)
         # once more among those that are left, as what others had does not count any more
         limits = self._limits(mine.join(left, "id"))
-        fine = mine.select("id", "set").join(left, "id").select("id", "set").mapInArrow(_fine_bands, "id long, bucket long")
-        fine = _saved(fine.join(limits, "id"), "fine-buckets")
-        more = []
-        for turn in range(TURNS):
-            heads = self._heads(fine, turn)
-            fine = _saved(fine.join(heads, "bucket"), "fine-open")
-            pairs = fine.where("label <> label_b and size_b <= most and size <= most_b").select(
-                F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-            fine = fine.drop("id_b", "label_b", "size_b", "most_b")
-            new = _saved(self._confirm(pairs, sets), "links")
-            if new.isEmpty():
-                break
-            more.append(new)
-            found = found.unionByName(new)
-            labels = _saved(connected_components(found), "labels")
-            fine = (fine.drop("label").join(labels, "id", "left")
-                    .withColumn("label", F.coalesce("label", "id")))
-        fine = _saved(fine.join(self._heads(fine, 0).select("bucket"), "bucket"), "fine-open")
-        other = fine.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "most")])
-        pairs = (fine.join(other, "bucket").where("label < label_b and size_b <= most and size <= most_b")
-                 .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        return reduce(DataFrame.unionByName, more, _saved(self._confirm(pairs, sets), "links"))
-
-    @staticmethod
-    def _heads(fine: DataFrame, turn: int) -> DataFrame:
-        """(bucket, id_b, ...): a member of each bucket that has more than one label, another one each turn."""
-        member = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "most")])
-        return (fine.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min(member).alias("head"))
-                .where("one <> other").select("bucket", "head.id_b", "head.label_b", "head.size_b", "head.most_b"))
+        near = written(mine.select("id", F.col("set").alias("tokens")).join(limits, "id"), "near-sets")
+        groups = grouped(near, self.percent)
+        home = groups.select("group", F.explode("sets.id").alias("id"))
+        fine = _saved(near.join(home, "id").select("id", "tokens", "label", "group").mapInArrow(
+            _fine_bands, "id long, bucket long, label long, group long"), "fine-buckets")
+        # a band with sets of one label has nothing to add; of two labels one has to ask, so the commonest need not
+        counted = fine.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.collect_set("group").alias("groups"))
+        bands = (counted.groupBy("bucket").agg(
+            F.max_by("label", F.struct("n", "label")).alias("common"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.array_distinct(F.flatten(F.collect_list("groups"))).alias("met")).where("low <> high").select("bucket", "common", "met"))
+        asking = fine.join(bands, "bucket").where("label <> common")
+        pairs = (asking.groupBy("id", "group").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
+                 .select("id", F.col("group").alias("home"), F.explode("met").alias("group")).where("group <> home")
+                 .select("id", "group"))
+        links = met_links(_saved(pairs, "near-pairs"), near, groups, self.percent)
+        return _saved(links.unionByName(groups.select(F.inline("links"))), "links")
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row."""

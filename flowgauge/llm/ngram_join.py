@@ -7,7 +7,7 @@ A token is the hash of an n-gram.  Two sets link when 100 * shared >= percent *
    of the token space, chosen by the token's hash: what is alone there is alone, so no link is lost, and most texts are out
    before their sets are shuffled.  Of the others all tokens are counted.
 3. Nodes left are partitioned into groups of similar sets, those with the same smallest token, dealt out further where a
-   group grows beyond ``GROUP_SETS`` sets or ``GROUP_TOKENS`` tokens.  A group is one row: its members' tokens with their
+   group grows beyond a number of sets or tokens (see ``setgroups``).  A group is one row: its members' tokens with their
    owners, which together are its token union.  Links inside a group are found where the group is made.
 4. The matrix says which groups have a token.  A set meets a group only if they share a token among the rarest
    of both that a link needs (fewer tokens than that cannot be missing), and if sizes are in reach.  First each set meets the
@@ -19,7 +19,7 @@ A token is the hash of an n-gram.  Two sets link when 100 * shared >= percent *
 6. Components of the links by alternating stars.
 
 All of it is exact: no chance, no cap.  What can grow is step 4 where many sets share their rarest tokens and yet do not
-link: such sets meet a group, that is ``GROUP_SETS`` sets, as one row.
+link: such sets meet a group, that is up to 64 sets, as one row.
 
 Defined cases: a null text is empty; a document without words is linked with nothing; rows with a null doc_id are linked
 with nothing and have no component; rows with equal doc_id and different texts are sets of their own, each with the
@@ -37,13 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import id_text, utf8, written
 from .minhash import arrow_lists, connected_components, set_digest, text_shingles, whole_sets
+from .setgroups import grouped, met_links
 
 SHINGLE, PERCENT = 3, 90
 #: One token of so many is counted in the first narrowing.
 SPARSE = 4
-GROUP_SETS, GROUP_TOKENS = 64, 1 << 16
-#: Sets that meet a group are handed to it in blocks.
-BLOCK_SETS, BLOCK_TOKENS = 64, 1 << 16
 
 
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -63,89 +61,6 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, some array<long>")
 
 
-class Members:
-    """The sets of a group: their sizes, and all their tokens in order with the owner of each."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, flat: np.ndarray):
-        self.ids, self.sizes = ids, sizes
-        owner = np.repeat(np.arange(len(ids)), lengths)
-        order = np.argsort(flat, kind="stable")
-        self.tokens, self.owner = flat[order], owner[order]
-
-    def overlaps(self, tokens: np.ndarray) -> tuple[int, np.ndarray | None]:
-        """The overlap of a set with the union of all members."""
-        low = np.searchsorted(self.tokens, tokens)
-        at = np.minimum(low, len(self.tokens) - 1)
-        return int((self.tokens[at] == tokens).sum()), low
-
-    def shared(self, tokens: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The overlap of a set with each member."""
-        n = np.searchsorted(self.tokens, tokens, side="right") - low
-        stop = np.cumsum(n)
-        places = np.repeat(low - (stop - n), n) + np.arange(int(stop[-1]))
-        return np.bincount(self.owner[places], minlength=len(self.ids))
-
-    def linked(self, size: int, tokens: np.ndarray, percent: int) -> np.ndarray:
-        """Which members link with a set of ``size`` tokens, of which ``tokens`` are those that others have, too."""
-        bound, low = self.overlaps(tokens)
-        # shared <= bound and the union has size tokens at least
-        if 100 * bound < percent * size:
-            return np.empty(0, dtype=np.int64)
-        shared = self.shared(tokens, low)
-        return np.flatnonzero(100 * shared >= percent * (self.sizes + size - shared))
-
-
-def _members(row: dict) -> Members:
-    sets = row["sets"]
-    return Members(np.array([x["id"] for x in sets], dtype=np.int64), np.array([x["size"] for x in sets], dtype=np.int64),
-                   np.array([len(x["tokens"]) for x in sets], dtype=np.int64),
-                   np.concatenate([np.array(x["tokens"], dtype=np.int64) for x in sets]))
-
-
-def _parts(members: Members, sets: list[dict], percent: int) -> np.ndarray:
-    """For each member the first one of those it reaches by links inside the group."""
-    label = np.arange(len(sets))
-    for k, x in enumerate(sets):
-        found = members.linked(x["size"], np.array(x["tokens"], dtype=np.int64), percent)
-        met = np.unique(label[np.append(found, k)])
-        label[np.isin(label, met)] = met[0]
-    return label
-
-
-def _inside(percent: int):
-    @F.arrow_udf("array<struct<a:long,b:long>>")
-    def run(sets: pa.Array) -> pa.Array:
-        out = []
-        for some in sets.to_pylist():
-            if len(some) < 2:
-                out.append([])
-                continue
-            members = _members({"sets": some})
-            label = _parts(members, some, percent)
-            out.append([{"a": int(members.ids[k]), "b": int(members.ids[label[k]])} for k in np.flatnonzero(label != np.arange(len(some)))])
-        return pa.array(out, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-    return run
-
-
-def _across(percent: int):
-    """Links between the sets of a block and the group they meet: of members with one label the first is enough."""
-
-    @F.arrow_udf("array<struct<a:long,b:long>>")
-    def run(group: pa.Array, block: pa.Array) -> pa.Array:
-        out = []
-        for some, asking in zip(group.to_pylist(), block.to_pylist(), strict=True):
-            members = _members({"sets": some})
-            found = []
-            for x in asking:
-                near = members.linked(x["size"], np.array(x["tokens"], dtype=np.int64), percent)
-                found += [{"a": x["id"], "b": int(members.ids[k])} for k in near]
-            out.append(found)
-        return pa.array(out, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-    return run
-
-
 class NgramJoin:
     """Links between the distinct sets of a table and the components they form."""
 
@@ -189,40 +104,19 @@ class NgramJoin:
             "id", "size", F.col("found.token").alias("tokens"),
             F.slice(F.col("found.token"), 1, F.col("spare") + 1).alias("rare")), "shared-sets")
 
-    def _groups(self, sets: DataFrame) -> DataFrame:
-        """(group, sets, links): each group with its members and the links inside."""
-        keyed = sets.withColumn("key", F.array_min("tokens"))
-        parts = F.greatest(F.ceil(F.count("*") / F.lit(GROUP_SETS)), F.ceil(F.sum(F.size("tokens")) / F.lit(GROUP_TOKENS)))
-        dealt = keyed.join(keyed.groupBy("key").agg(parts.alias("parts")), "key")
-        name = F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts")))
-        packed = (dealt.groupBy(name.alias("group"))
-                  .agg(F.collect_list(F.struct("id", "size", "tokens")).alias("sets")))
-        return written(packed.withColumn("links", _inside(self.percent)("sets")), "token-groups")
-
-    def _met(self, pairs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-        """The links (a, b) of the sets with the groups they meet, by bound and then by member."""
-        asking = pairs.join(sets.select("id", "size", "tokens"), "id")
-        blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)))
-        sized = pairs.join(sets.select("id", F.size("tokens").alias("n")), "id").groupBy("group").agg(blocks.alias("blocks"))
-        block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
-        asked = (asking.join(sized, "group").groupBy("group", block.alias("block"))
-                 .agg(F.collect_list(F.struct("id", "size", "tokens")).alias("block_sets")))
-        found = _across(self.percent)("sets", "block_sets")
-        return written(asked.join(groups.select("group", "sets"), "group").select(F.inline(found)).distinct(), "group-links")
-
     def links(self) -> DataFrame | None:
         """Pairs of nodes whose components are those of all linked pairs."""
         sets = self._sets(self._candidates())
         if sets.isEmpty():
             return None
-        groups = self._groups(sets)
+        groups = grouped(sets, self.percent)
         links = groups.select(F.inline("links"))
         home = groups.select("group", F.explode("sets.id").alias("id"))
         # the columns of the matrix that decide a link: (token, id, size, group)
         matrix = written(sets.select("id", "size", F.explode("rare").alias("token")).join(home, "id"), "token-matrix")
         heads = matrix.groupBy("token").agg(F.min("group").alias("head"), F.max("group").alias("other")).where("head <> other")
         first = matrix.join(heads, "token").where("group <> head").select("id", F.col("head").alias("group")).distinct()
-        links = written(links.unionByName(self._met(written(first, "first-pairs"), sets, groups)), "links")
+        links = written(links.unionByName(met_links(written(first, "first-pairs"), sets, groups, self.percent)), "links")
 
         labels = connected_components(links)
         known = written(matrix.join(heads.select("token"), "token").join(labels, "id", "left")
@@ -239,7 +133,7 @@ class NgramJoin:
         met = (asking.join(per_group, "token")
                .where(f"group <> home and (low <> label or high <> label) and 100 * most >= {p} * size and 100 * size >= {p} * least")
                .select("id", "group").distinct().join(first, ["id", "group"], "left_anti"))
-        return links.unionByName(self._met(written(met, "more-pairs"), sets, groups))
+        return links.unionByName(met_links(written(met, "more-pairs"), sets, groups, self.percent))
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""

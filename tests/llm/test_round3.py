@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.llm import common, filter_audit, merkle, ngram_join
+from flowgauge.llm import common, filter_audit, merkle, ngram_join, setgroups
 
 from .test_llm import BLANK, ODD, lower
 from .test_llm import docs, empty, no_labels, odd  # noqa: F401
@@ -56,8 +56,8 @@ def test_ngram_join(spark, sf, docs):  # noqa: F811
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (2, 75), (3, 60)])
 def test_ngram_join_in_a_group_of_edits(spark, size, percent, monkeypatch):
     """Chains of edits around the threshold, in groups of a few sets so that most links cross groups."""
-    monkeypatch.setattr(ngram_join, "GROUP_SETS", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(setgroups, "GROUP_SETS", 4)
+    monkeypatch.setattr(setgroups, "BLOCK_SETS", 4)
     rng = np.random.default_rng(9)
     base = [f"w{k}" for k in range(150)]
     texts = {}
@@ -103,7 +103,7 @@ def test_members_bound_and_open():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, size=40)) for _ in range(9)]
     row = {"sets": [{"id": k, "size": len(s), "tokens": s.tolist()} for k, s in enumerate(sets)]}
-    members = ngram_join._members(row)
+    members = setgroups._members(row)
     for _ in range(30):
         asked = np.unique(rng.integers(0, 80, size=45))
         bound, low = members.overlaps(asked)
