@@ -151,8 +151,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ids = written(rows.groupBy("doc_id", *KEY, F.char_length("text").alias("n")).agg(F.count("*").alias("copies")), "ids")
     chain = written(followers(ids), "chain")
 
-    # one shuffle of the texts, which both sides of the join below read; equal rows become one before they meet others
-    dealt = rows.select(*KEY, "text").repartition(parts, *KEY).dropDuplicates(KEY)
+    # one shuffle of the texts, which both sides of the join below read; equal rows become one before they meet others, by
+    # an aggregate that Spark knows to give the same each time, as otherwise it would not read one shuffle twice
+    dealt = rows.select(*KEY, "text").repartition(parts, *KEY).groupBy(*KEY).agg(F.max("text").alias("text"))
     givers = chain.select(F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"),
                           F.col("key").alias("to_key"), F.col("text_hash").alias("to_hash"), "n")
     heads = (dealt.join(givers, KEY)
