@@ -1,12 +1,15 @@
 """Many k-means models at once, against plain Lloyd steps and the definition of the silhouette."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.operators.assign import ClusterError
+from flowgauge.operators.assign import ClusterError, from_matrix
 from flowgauge.operators.clustering import cluster_many
-from flowgauge.operators.lloyd import kmeans_many, nearest_of
+from flowgauge.operators.lloyd import _partials, _Stack, kmeans_many, nearest_of
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +62,22 @@ def test_no_k_below_the_rows(spark):
         kmeans_many(spark.createDataFrame([("a", [1.0])], "row_id string, z array<double>"), [2, 3], 1)
     with pytest.raises(ClusterError):
         kmeans_many(spark.createDataFrame([], "row_id string, z array<double>"), [2], 1)
+
+
+def test_partials_hold_no_membership_matrix():
+    """A task hands on one row per model, and its memory does not follow rows times centres."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 3))
+    models = {i: x[rng.integers(len(x), size=64)] for i in range(40)}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), dtype=np.int32)), from_matrix(x)], names=["g", "z"])
+    tracemalloc.start()
+    (out,) = list(_partials({0: _Stack(models)})(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == len(models) and peak < 8 << 20
+    for name, vec in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+        d = ((x[:, None, :] - models[name][None, :, :]) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        assert vec[0] == pytest.approx(d.min(axis=1).sum())
+        assert vec[1:65] == np.bincount(own, minlength=64).tolist()
+        assert np.allclose(np.reshape(vec[129:], (64, 3)), [x[own == c].sum(axis=0) for c in range(64)])
