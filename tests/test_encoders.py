@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.operators.mlp import Arm, encode, encode_many, fit_encoder, fit_encoders
+from flowgauge.operators.mlp import Arm, encode, encode_many, fit_encoder, fit_encoders, training_batches
+from flowgauge.operators.sampling import sample_pairs
 from flowgauge.plans.sweeps import compare_encoders, encoder_means
 
 
@@ -46,3 +47,17 @@ def test_encoders_over_seeds(spark):
     for e, r in means.items():
         mine = [x.proximity for x in got if x.encoder == e]
         assert r.proximity_mean == pytest.approx(np.mean(mine)) and r.proximity_std == pytest.approx(np.std(mine)) and r.n == 3
+
+
+def test_pairs_of_all_sets_are_those_of_each(spark):
+    rows = spark.createDataFrame([(f"r{i}", i % 2 + 42, i % (2 + i % 2), [float(i)]) for i in range(400)],
+                                 "row_id string, seed int, y int, features array<double>")
+    asks = spark.range(100).selectExpr("cast(id as string) pair_id").crossJoin(rows.select("seed").distinct())
+    found = sample_pairs(rows, requests=asks, group="seed", n_groups=2)
+    for s in (42, 43):
+        alone = sample_pairs(rows.filter(F.col("seed") == s), seed=s, requests=asks.filter(F.col("seed") == s).select("pair_id"))
+        assert sorted(found.filter(F.col("seed") == s).drop("seed").collect()) == sorted(alone.collect())
+    table = training_batches(rows, 3, 1, "y", "row_id", "features", "seed", [42, 43])
+    for s in (42, 43):
+        alone = training_batches(rows.filter(F.col("seed") == s), 3, s, "y", "row_id", "features").withColumn("set", F.lit(s))
+        assert sorted(map(repr, table.filter(F.col("set") == s).collect())) == sorted(map(repr, alone.select(*table.columns).collect()))
