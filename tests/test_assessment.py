@@ -14,7 +14,7 @@ from flowgauge.operators.diversity import (
 from flowgauge.operators.proximity import ks
 from flowgauge.operators.scarcity import gini, scarcity, scarcity_from_grid
 from flowgauge.plans.assess import assess
-from flowgauge.plans.sweeps import subset_scores
+from flowgauge.plans.sweeps import label_mean_clusters, subset_scores
 
 
 def vendi(points, gamma=1.0):
@@ -207,3 +207,17 @@ def test_segments_of_label_subsets(spark, low_bits):
             score = spectral_score(np.linalg.eigvalsh(sum(by_label[pos, b] for b in mine) / n))
             want[pos, sum(mine)] = normalised(score, n, True)
     assert found == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_scores_alone_keep_narrow_rows(spark):
+    """What is kept per seed has no vectors and ids where no score reads them; the scores are the same."""
+    rows = spark.range(400).selectExpr(
+        "cast(id as string) row_id", "cast(42 + id % 2 as int) seed", "cast(id % 3 as int) y", "array(cast(id % 17 as double), cast(id % 5 as double)) z",
+        "if(id % 4 = 0, 'test', 'train') side")
+    clusters = label_mean_clusters(rows, ["seed"])
+    two = ("proximity", "scarcity")
+    whole = assess(rows, clusters, ["seed"], two, keyed_clusters=True)
+    slim = assess(rows, clusters, ["seed"], two, keyed_clusters=True, scores_only=True)
+    assert sorted(slim.assignments.columns) == ["neg", "neg_dist", "pos", "seed", "side", "y"]
+    assert sorted(slim.global_scores.collect()) == sorted(whole.global_scores.collect())
+    assert "z" in assess(rows, clusters, ["seed"], keyed_clusters=True, scores_only=True).assignments.columns
