@@ -20,6 +20,10 @@ from .common import process_cache, slices, stretch_hashes
 _SAFE_END = 0x180
 _SAFE = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*")
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: How byte-level tokenizers write a space in the names of their ids.
+SPACE_SIGN = "\u0120"
+#: New pieces that go to the library as one text.
+JOINED = 500
 
 
 def _classes() -> np.ndarray:
@@ -85,7 +89,8 @@ def _byte_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """Pieces seen before and their ids: sorted arrays, and a small dictionary of the latest ones.
 
-    A piece takes some 30 bytes, so that a worker that lives on after its task keeps little.
+    A piece takes some 30 bytes, so that a worker that lives on after its task keeps little.  Past ``most`` pieces those go
+    that were not met again.
     """
 
     def __init__(self, most: int, latest: int = 30_000):
@@ -94,7 +99,7 @@ class Known:
 
     def clear(self) -> None:
         self.keys, self.starts = np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
-        self.flat = np.empty(0, dtype=np.uint32)
+        self.flat, self.used = np.empty(0, dtype=np.uint32), np.empty(0, dtype=bool)
         self.latest: dict[int, bytes] = {}
 
     def settle(self) -> None:
@@ -104,16 +109,25 @@ class Known:
         keys = np.concatenate([self.keys, keys])
         sizes = np.concatenate([np.diff(self.starts), sizes])
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(self.latest.values()), dtype=np.uint32)])
+        used = np.concatenate([self.used, np.zeros(len(self.latest), dtype=bool)])
+        self._take(keys, sizes, flat, used, np.argsort(keys))
+        self.latest = {}
+
+    def forget(self) -> None:
+        """Keep the settled pieces that were met since the last time; rare ones go, frequent ones stay."""
+        self._take(self.keys, np.diff(self.starts), self.flat, np.zeros(len(self.keys), dtype=bool), np.flatnonzero(self.used))
+
+    def _take(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray, used: np.ndarray, order: np.ndarray) -> None:
         begin = np.cumsum(sizes) - sizes
-        order = np.argsort(keys)
-        self.keys, sizes = keys[order], sizes[order]
+        self.keys, self.used, sizes = keys[order], used[order], sizes[order]
         self.flat, self.starts = flat[spread(begin[order], sizes)], np.concatenate([[0], np.cumsum(sizes)])
-        self.latest = {}
 
     def ids_of(self, keys: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, begin, size): where the ids of each key are; ``encode`` gives those of the places not known."""
         if len(self.keys) + len(self.latest) + len(keys) > self.most:
-            self.clear()
+            self.forget()
+            if 2 * (len(self.keys) + len(self.latest) + len(keys)) > self.most:
+                self.clear()
         elif len(self.latest) > self.most_latest:
             self.settle()
         at = np.searchsorted(self.keys, keys)
@@ -126,12 +140,14 @@ class Known:
         for k, ids in zip(new, encode(other[new]), strict=True):
             latest[names[k]] = ids
         parts = [latest[name] for name in names]
-        begin, size = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
-        begin[found] = self.starts[at[found]]
-        size[found] = self.starts[at[found] + 1] - begin[found]
+        known, size = at[found], np.empty(len(keys), dtype=np.int64)
+        self.used[known] = True
+        size[found] = self.starts[known + 1] - self.starts[known]
         size[other] = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        begin[other] = len(self.flat) + np.cumsum(size[other]) - size[other]
-        return np.concatenate([self.flat, np.frombuffer(b"".join(parts), dtype=np.uint32)]), begin, size
+        mine, begin = self.flat[spread(self.starts[known], size[found])], np.empty(len(keys), dtype=np.int64)
+        begin[found] = np.cumsum(size[found]) - size[found]
+        begin[other] = len(mine) + np.cumsum(size[other]) - size[other]
+        return np.concatenate([mine, np.frombuffer(b"".join(parts), dtype=np.uint32)]), begin, size
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -143,7 +159,7 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, by batches.  ``cuts``: "word" or "byte", the kind of pieces the tokenizer cuts."""
 
-    def __init__(self, path: str, cuts: str, remember: int = 300_000):
+    def __init__(self, path: str, cuts: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,8 +168,11 @@ class Encoder:
             library = Tokenizer.from_file(path)
             added = [re.escape(t.content) for t in library.get_added_tokens_decoder().values() if t.content]
             pattern = re.compile("|".join(added) if added else "(?!)", re.IGNORECASE)
-            process_cache()["tokenizer", path] = library, Known(remember), pattern
-        self.library, self.seen, self.added = process_cache()["tokenizer", path]
+            names = library.get_vocab(with_added_tokens=True)
+            leads = np.zeros(max(names.values(), default=0) + 1, dtype=bool)
+            leads[[i for name, i in names.items() if name.startswith(SPACE_SIGN)]] = True
+            process_cache()["tokenizer", path] = library, Known(remember), pattern, leads
+        self.library, self.seen, self.added, self.leads = process_cache()["tokenizer", path]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -188,12 +207,23 @@ class Encoder:
         hashes = stretch_hashes(points, starts, ends)
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
 
-        def encode(places: np.ndarray) -> Iterator[bytes]:
+        def encode(places: np.ndarray) -> list[bytes]:
             at = place[places]
             pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for k in range(0, len(pieces), 20_000):
-                for x in self.library.encode_batch_fast(pieces[k : k + 20_000], add_special_tokens=False):
-                    yield np.array(x.ids, dtype=np.uint32).tobytes()
+            led = self.cuts == "byte"
+            out: list[bytes | None] = [None] * len(pieces)
+            several = [k for k, x in enumerate(pieces) if led and len(x) > 1 and x[0] == " "]
+            for k in range(0, len(several), JOINED):
+                some = several[k : k + JOINED]
+                for i, ids in zip(some, self._joined([pieces[i] for i in some]), strict=False):
+                    out[i] = ids
+            single = [k for k, ids in enumerate(out) if ids is None]
+            for k in range(0, len(single), 20_000):
+                some = single[k : k + 20_000]
+                found = self.library.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
+                for i, x in zip(some, found, strict=True):
+                    out[i] = np.array(x.ids, dtype=np.uint32).tobytes()
+            return out
 
         flat, begin, sizes = self.seen.ids_of(distinct, encode)
         size = sizes[inverse]
@@ -202,6 +232,21 @@ class Encoder:
         cut = np.concatenate([[0], stop])[np.searchsorted(starts, bounds)]
         return np.split(ids, cut[:-1]) if len(texts) > 1 else [ids]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that begin with their only space, encoded as one text; none if they cannot be told apart.
+
+        Each space opens a piece there too, and an id opens one exactly if its name begins with the space's sign.
+        """
+        text = "".join(pieces)
+        if self.added.search(text):
+            return []
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        begins = np.flatnonzero(self.leads[ids])
+        if len(begins) != len(pieces) or begins[0] != 0:
+            return []
+        blob, ends = ids.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(ids)]
+        return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     @staticmethod
     def _byte_cut(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cut each text by itself: the closing line break neither joins nor lengthens a run of blanks."""
