@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, process_cache, slices, stretch_hashes, written
+from .token_orc import checksums
 from .tokens import Known, spread
 
 GIANT, CHUNK = 1 << 16, 1 << 14
@@ -395,12 +396,26 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     return whole.unionByName(encode_giants(rows.where(long), model, chunk))
 
 
+def _texts(lists: pa.Array, model: str) -> pa.Array:
+    library, out = Model.of(model).library, []
+    for at in range(0, len(lists), 200):  # lists of Python numbers are large, so few at a time
+        out += library.decode([x or [] for x in lists.slice(at, 200).to_pylist()], num_threads=1)
+    return pa.array(out, type=pa.string())
+
+
 def decode(ids: Column, model: str) -> Column:
     """The text of an array of ids."""
+    return F.arrow_udf(lambda lists: _texts(lists, model), "string")(ids)
+
+
+def read_back(ids: Column, model: str) -> Column:
+    """What a round trip is judged by: the ids' number and checksum, and their text.
+
+    One function, as Spark puts ``encode`` into every function of its ids and so runs it once for each of them.
+    """
     def run(lists: pa.Array) -> pa.Array:
-        library, out = Model.of(model).library, []
-        for at in range(0, len(lists), 200):  # lists of Python numbers are large, so few at a time
-            out += library.decode([x or [] for x in lists.slice(at, 200).to_pylist()], num_threads=1)
-        return pa.array(out, type=pa.string())
+        return pa.StructArray.from_arrays(
+            [pa.array(np.diff(lists.offsets.to_numpy()), type=pa.int64()), checksums(lists), _texts(lists, model)],
+            names=["n_ids", "ids_crc32", "text"])
 
-    return F.arrow_udf(run, "string")(ids)
+    return F.arrow_udf(run, "struct<n_ids:long,ids_crc32:long,text:string>")(ids)

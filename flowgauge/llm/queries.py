@@ -100,9 +100,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = pieces.encode(common.documents(spark, sf_dir), model)
-    texts = ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
-                       token_orc.ids_crc32(F.col("ids")).alias("ids_crc32"), pieces.decode(F.col("ids"), model).alias("text"))
-    return texts.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    found = ids.select("doc_id", pieces.read_back(F.col("ids"), model).alias("back")).select("doc_id", "back.*")
+    return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 @query("op11_ngram_join", oracles.NGRAM_JOIN)

@@ -68,7 +68,8 @@ def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
     return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids))
 
 
-def _checksums(ids: pa.Array) -> pa.Array:
+def checksums(ids: pa.Array) -> pa.Array:
+    """Of each list of ids the unsigned crc32, as little-endian unsigned 32-bit integers."""
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     flat = ids.values.to_numpy().astype("<u4", copy=False)
@@ -78,7 +79,7 @@ def _checksums(ids: pa.Array) -> pa.Array:
 
 def ids_crc32(ids: Column) -> Column:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return F.arrow_udf(_checksums, "long")(ids)
+    return F.arrow_udf(checksums, "long")(ids)
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
