@@ -72,7 +72,7 @@ def coded_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_flows(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(coded_flows(spark, sf), RATIOS, [42], "y", "row_id").persist()
+    return stratified_split(coded_flows(spark, sf), RATIOS, [42], "y", "row_id", keep_hashes=True)
 
 
 def flow_latent(spark: SparkSession, sf: str) -> DataFrame:

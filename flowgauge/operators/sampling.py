@@ -41,6 +41,7 @@ def stratified_split(
     label_col: str = "y",
     row_id: str = "row_id",
     exact: bool = True,
+    keep_hashes: bool = False,
 ) -> DataFrame:
     """Add ``seed`` and ``split``; every seed holds every row once.
 
@@ -49,6 +50,8 @@ def stratified_split(
     ``exact`` each class is cut at floor(n * cumulative ratio), found by a
     histogram of hash prefixes.  Otherwise the uniform hash itself is
     compared with the ratios: no counting at all, sizes right on average.
+    With ``keep_hashes`` the rows and their hashes are persisted by the first of the passes, so that the others and all later
+    reads of the result begin there; the result itself need not be persisted then.
     """
     _check_ratios(ratios)
     seeds = [42] if seeds is None else seeds
@@ -67,6 +70,8 @@ def stratified_split(
         )
         return keyed.withColumn("split", pick)
     hashed = keyed.withColumn("_hash", hash_hex(F.col("seed"), F.col(row_id)))
+    if keep_hashes:
+        hashed = hashed.persist()
     wanted = {f"_c{i}": _share(r) for i, r in enumerate(cumulative)}
     if not wanted:
         return keyed.withColumn("split", F.lit(names[0]))
