@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,14 +193,26 @@ def reconstruction_error(df: DataFrame, weights: "DataFrame | Network", features
     return restored.withColumn("mse", squared_error(F.col(features), F.col("restored")))
 
 
+#: Products of one unit that are written out one by one.
+WRITTEN_OUT = 32
+
+
 def mlp_columns(features: Column, stack: list[Layer]) -> Column:
     """The same network as an array expression (narrow networks, no Python worker)."""
     x = features
-    for layer in stack:
-        units = [
-            dot(x, F.lit([float(v) for v in layer.weight[:, j]])) + F.lit(float(layer.bias[j]))
-            for j in range(layer.weight.shape[1])
-        ]
+    # written out, a unit repeats all that it rests on: so only while that is little, else by functions of whole arrays
+    terms = 1
+    for depth, layer in enumerate(stack):
+        terms *= layer.weight.shape[0]
+
+        def unit(weights: list[float], x: Column = x, first: bool = depth == 0, short: bool = terms <= WRITTEN_OUT) -> Column:
+            if not short:
+                return dot(x, F.lit(weights))
+            total = reduce(Column.__add__, [F.get(x, F.lit(i)) * F.lit(w) for i, w in enumerate(weights)], F.lit(0.0))
+            # a vector of another length has no value, as in ``dot``
+            return F.when(F.size(x) == len(weights), total) if first else total
+
+        units = [unit([float(v) for v in layer.weight[:, j]]) + F.lit(float(layer.bias[j])) for j in range(layer.weight.shape[1])]
         if layer.activation == "relu":
             units = [F.greatest(u, F.lit(0.0)) for u in units]
         elif layer.activation == "tanh":
