@@ -221,11 +221,14 @@ def vendi_lanczos(
     on = ["kid", "block"]
 
     def applied(state: DataFrame, widths: dict[int, int]) -> DataFrame:
-        """``kid, block, w``: A times the vectors ``cur``."""
+        """``kid, block, w``: A times the vectors ``cur``.
+
+        Vectors grow with the points, so they are shuffled, and never sent through the driver as tables to broadcast.
+        """
         mine = packed.join(state.select("kid").distinct(), "kid", "left_semi")
         left = mine.select(*on, "z", "r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        right = packed.join(state, on).select("kid", F.col("block").alias("other"), F.col("z").alias("z2"), F.col("r").alias("r2"), "cur")
-        met = left.join(right, ["kid", "other"]).select("kid", "block", "z", "r", "z2", "r2", "cur")
+        right = packed.join(state.hint("merge"), on).select("kid", F.col("block").alias("other"), F.col("z").alias("z2"), F.col("r").alias("r2"), "cur")
+        met = left.join(right.hint("merge"), ["kid", "other"]).select("kid", "block", "z", "r", "z2", "r2", "cur")
         parts = met.mapInArrow(_products(widths, dim, gamma), "kid int, block int, w array<double>")
         return parts.groupBy(*on).agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("w")))).alias("w"))
 
@@ -255,7 +258,7 @@ def vendi_lanczos(
     state = written(state.withColumn("prev", F.transform("cur", lambda x: x * 0.0)), "lanczos-start")
     widths = {i: p.count for i, p in found.items()}
     for _ in range(steps):
-        moved = written(applied(state.select(*on, "cur"), widths).join(state, on), "lanczos-step")
+        moved = written(applied(state.select(*on, "cur"), widths).join(state.hint("merge"), on), "lanczos-step")
         for kid, d in summed(moved.select("kid", _dots(widths)("kid", "w", "cur").alias("d"))).items():
             found[kid].add(d[: len(d) // 2], d[len(d) // 2 :])
         if not any(p.open.any() for p in found.values()):

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.operators.diversity import diversity
+from flowgauge.functions.bounded import written
+from flowgauge.operators import lanczos
 from flowgauge.operators.lanczos import entropy_rule, vendi_lanczos
 
 
@@ -41,3 +43,23 @@ def test_within_its_bound(spark, normalize):
 def test_no_points(spark):
     empty = spark.createDataFrame([], "key int, z array<double>, weight long")
     assert vendi_lanczos(empty, ["key"]).count() == 0
+
+
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """What grows with the points goes from executor to executor, not through the driver."""
+    steps = []
+
+    def kept(df, name):
+        if name == "lanczos-step":
+            steps.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(lanczos, "written", kept)
+    points = np.random.default_rng(5).normal(size=(120, 3))
+    df = spark.createDataFrame([(0, p.tolist(), 1) for p in points], "k int, z array<double>, weight long")
+    lanczos.vendi_lanczos(df, ["k"], probes=4, steps=2, block_rows=40).collect()
+    assert steps
+    for plan in steps:
+        joins = [x for x in plan.splitlines() if "Join Inner" in x]
+        assert len(joins) == 3
+        assert all("strategy=merge" in x for x in joins)
