@@ -240,7 +240,8 @@ def contrastive_loss(
 ) -> DataFrame:
     """Mean pair loss, and the total with the reconstruction error.
 
-    Same class: d^2/2; different: max(0, margin - d)^2 / 2.
+    Same class: d^2/2; different: max(0, margin - d)^2 / 2.  Pairs are sorted by their first row before
+    they get its vector, so that equal vectors stand together and pack well; with it they are shuffled once, but not sorted.
     """
     left = df.select(F.col(row_id).alias("row_i"), F.col(z).alias("_zi"))
     right = df.select(F.col(row_id).alias("row_j"), F.col(z).alias("_zj"))
@@ -248,7 +249,7 @@ def contrastive_loss(
     hinge = F.greatest(F.lit(0.0), F.lit(margin) - F.col("_d"))
     loss = F.when(F.col("different") == 1, 0.5 * hinge * hinge).otherwise(0.5 * F.col("_d") * F.col("_d"))
     return (
-        pairs.join(left, "row_i").join(right, "row_j").withColumn("_d", d)
+        pairs.join(left.hint("merge"), "row_i").join(right.hint("shuffle_hash"), "row_j").withColumn("_d", d)
         .agg(F.avg(loss).alias("contrastive"), F.count(F.lit(1)).alias("n_pairs"))
         .withColumn("total", F.lit(float(reconstruction)) + F.lit(float(lam)) * F.col("contrastive"))
     )

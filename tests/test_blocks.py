@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from flowgauge.operators.clustering import _meetings, block_sums
+from flowgauge.operators.scores import contrastive_loss
 
 
 def test_two_blocks_meet_once(spark):
@@ -32,3 +33,16 @@ def test_sums_agree_with_all_pairs(spark):
             else:
                 np.testing.assert_allclose(total, d[i, groups == g].sum(), rtol=1e-9)
     assert not found
+
+
+def test_contrastive_loss_joins_alike_at_all_sizes(spark):
+    """Vectors are joined by the same plan whatever their number, and pairs with a vector are not sorted."""
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])], "row_id int, z array<double>")
+    pairs = spark.createDataFrame([(1, 1, 3, 0), (2, 1, 2, 1), (3, 3, 9, 1), (4, None, 1, 0)],
+                                  "pair_id int, row_i int, row_j int, different int")
+    found = contrastive_loss(pairs, rows)
+    row = found.first()
+    # one pair of the same class at 1, one of two classes at 5, twice
+    assert (row.n_pairs, round(row.contrastive, 9)) == (3, round((0.5 + 2 * 12.5) / 3, 9))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
