@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, free_name, id_text, mix64, powers, slices, stretch_hashes, utf8, written
+from .common import Words, free_name, id_text, mix64, powers, slices, stretch_hashes, tidied, tidied_call, utf8, written
 
 MIN_WORDS = 30
 #: of so many neighbouring runs of words at least one is compared
@@ -156,7 +156,7 @@ def window_digests(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids], names=["digest", "doc_id"])
                 at += len(some)
 
-    return id_text(docs).where("doc_id is not null").mapInArrow(run, "digest long, doc_id long")
+    return id_text(docs).where("doc_id is not null").mapInArrow(tidied(run), "digest long, doc_id long")
 
 
 def repeated_digests(docs: DataFrame, min_words: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _spans(min_words: int):
                                             pa.array([s[1] for s in flat], type=pa.int32())], names=["start", "end"])
         return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pairs)
 
-    return F.arrow_udf(run, "array<struct<start:int,end:int>>")
+    return F.arrow_udf(tidied_call(run), "array<struct<start:int,end:int>>")
 
 
 def kept_text(text: Column, spans: Column) -> Column:

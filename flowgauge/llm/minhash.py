@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mix64, slices, utf8, written
+from .common import Words, id_text, mix64, slices, tidied, utf8, written
 from .setgroups import grouped, met_links
 
 SHINGLE = 5
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, size: int, count: int) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(found.ravel()))],
                     names=["doc_id", "n_shingles", "digest", "minima"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, minima array<int>")
+    return id_text(docs).mapInArrow(tidied(run), "doc_id long, n_shingles long, digest binary, minima array<int>")
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -136,7 +136,7 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
                     [pa.array([set_digest(s) for s in sets], type=pa.binary()), arrow_lists([s.view(np.int64) for s in sets])],
                     names=["digest", "set"])
 
-    return texts.mapInArrow(run, "digest binary, set array<long>")
+    return texts.mapInArrow(tidied(run), "digest binary, set array<long>")
 
 
 def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ class NearDuplicates:
         groups = grouped(near, self.percent)
         home = groups.select("group", F.explode("sets.id").alias("id"))
         fine = _saved(near.join(home, "id").select("id", "tokens", "label", "group").mapInArrow(
-            _fine_bands, "id long, bucket long, label long, group long"), "fine-buckets")
+            tidied(_fine_bands), "id long, bucket long, label long, group long"), "fine-buckets")
         # a band with sets of one label has nothing to add; of two labels one has to ask, so the commonest need not
         counted = fine.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.collect_set("group").alias("groups"))
         bands = (counted.groupBy("bucket").agg(

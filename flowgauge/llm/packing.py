@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, let_go, tidied, written
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,8 +42,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, cuts)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                let_go()  # several workers of an executor hold a tokenizer, and the library frees much in small pieces
+                part = batch.slice(at, 500)
                 rows = []
                 found = encoder.encode(part.column(1).to_pylist())
                 for doc, ids in zip(part.column(0).to_pylist(), found, strict=True):
@@ -57,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cu
                     [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs).mapInArrow(run, PIECES)
+    return id_text(docs).mapInArrow(tidied(run), PIECES)
 
 
 class Plan:

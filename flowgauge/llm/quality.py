@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, free_name, mix64, slices, utf8, written
+from .common import Words, free_name, mix64, slices, tidied_call, utf8, written
 
 ALPHA, DELTA = 0.05, 0.1
 GOOD_WEIGHT = 5
@@ -95,7 +95,7 @@ def _measured(texts: pa.Array) -> pa.Array:
 
 def measures(text: Column) -> Column:
     """A struct of FIELDS for a text column."""
-    return F.arrow_udf(_measured, ", ".join(f"{f} long" for f in FIELDS))(text)
+    return F.arrow_udf(tidied_call(_measured), ", ".join(f"{f} long" for f in FIELDS))(text)
 
 
 def base_failed(m: Column) -> Column:

@@ -24,6 +24,8 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 SPACE_SIGN = "\u0120"
 #: New pieces that go to the library as one text.
 JOINED = 500
+#: New pieces that go to the library at once, which takes up to a kilobyte for each.
+NEW_PIECES = 2000
 
 
 def _classes() -> np.ndarray:
@@ -156,6 +158,14 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
+def _leads(library) -> np.ndarray:
+    """Which ids have a name that begins with the sign of a space."""
+    names = library.get_vocab(with_added_tokens=True)
+    leads = np.zeros(max(names.values(), default=0) + 1, dtype=bool)
+    leads[[i for name, i in names.items() if name.startswith(SPACE_SIGN)]] = True
+    return leads
+
+
 class Encoder:
     """Ids of texts, by batches.  ``cuts``: "word" or "byte", the kind of pieces the tokenizer cuts."""
 
@@ -164,15 +174,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.cuts = cuts
-        if ("tokenizer", path) not in process_cache():
+        if ("tokenizer", path, cuts) not in process_cache():
             library = Tokenizer.from_file(path)
             added = [re.escape(t.content) for t in library.get_added_tokens_decoder().values() if t.content]
             pattern = re.compile("|".join(added) if added else "(?!)", re.IGNORECASE)
-            names = library.get_vocab(with_added_tokens=True)
-            leads = np.zeros(max(names.values(), default=0) + 1, dtype=bool)
-            leads[[i for name, i in names.items() if name.startswith(SPACE_SIGN)]] = True
-            process_cache()["tokenizer", path] = library, Known(remember), pattern, leads
-        self.library, self.seen, self.added, self.leads = process_cache()["tokenizer", path]
+            leads = _leads(library) if cuts == "byte" else None
+            process_cache()["tokenizer", path, cuts] = library, Known(remember), pattern, leads
+        self.library, self.seen, self.added, self.leads = process_cache()["tokenizer", path, cuts]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -218,8 +226,8 @@ class Encoder:
                 for i, ids in zip(some, self._joined([pieces[i] for i in some]), strict=False):
                     out[i] = ids
             single = [k for k, ids in enumerate(out) if ids is None]
-            for k in range(0, len(single), 20_000):
-                some = single[k : k + 20_000]
+            for k in range(0, len(single), NEW_PIECES):
+                some = single[k : k + NEW_PIECES]
                 found = self.library.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
                 for i, x in zip(some, found, strict=True):
                     out[i] = np.array(x.ids, dtype=np.uint32).tobytes()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, stretch_hashes, utf8, written
+from .common import Words, slices, stretch_hashes, tidied, tidied_call, utf8, written
 
 BITS = 18
 MAX_DOCS = 5000
@@ -145,7 +145,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     """None without labels of both kinds."""
     rows, weight = sample(docs, labels, max_docs)
-    bags = rows.mapInArrow(_bags, "toxic int, begins binary, features binary").toArrow()
+    bags = rows.mapInArrow(tidied(_bags), "toxic int, begins binary, features binary").toArrow()
     labels_ = bags.column("toxic").to_pylist()
     if len(set(labels_)) < 2:
         return None
@@ -216,7 +216,7 @@ def scored(text: Column, model: Model | None) -> Column:
         return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)],
                                           names=["score", "worst_score", "worst_start", "worst_end"])
 
-    return F.arrow_udf(run, RESULT)(text)
+    return F.arrow_udf(tidied_call(run), RESULT)(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
