@@ -19,6 +19,8 @@ from flowgauge.functions.bounded import work_dir, written  # noqa: F401
 SLICE_BYTES = 1 << 18
 #: Powers of the hash base that a process keeps.
 POWERS = 1 << 16
+#: Bits by which rows that a join would drop are known before they are shuffled.
+MARKS = 1 << 24
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def marked(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``marked``, which is true where ``wanted`` has the value of ``column``, and seldom elsewhere.
+
+    Each value of ``wanted`` sets one of ``MARKS`` bits, which are broadcast in 64 bits a row: their number is bounded whatever
+    the input, and rows that are not marked need not be shuffled for an exact join.
+    """
+    word, bit = F.expr(f"pmod(xxhash64({column}), {MARKS}) div 64"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
+    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = df.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    return found.select(*df.columns, F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)).alias("marked"))
+
+
 def utf8(texts: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8, a few at a time; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

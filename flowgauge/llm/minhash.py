@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mix64, slices, tidied, utf8, written
+from .common import Words, id_text, marked, mix64, slices, tidied, utf8, written
 from .setgroups import grouped, met_links
 
 SHINGLE = 5
@@ -205,21 +205,27 @@ class NearDuplicates:
         self.count = bands * band_rows
         self.rows = written(signatures(docs, size, self.count).withColumn("row", F.monotonically_increasing_id()), "minima")
 
+    def _usable(self) -> DataFrame:
+        return self.rows.where("n_shingles > 0 and doc_id is not null")
+
     def _same_set(self) -> DataFrame:
         """(digest, id, doc_id, copies) of each set; empty sets and null ids have no node."""
-        some = self.rows.where("n_shingles > 0 and doc_id is not null")
-        first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
+        first = self._usable().groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
         return written(first.select("digest", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "copies"),
                        "nodes")
 
-    def _minima(self, nodes: DataFrame) -> DataFrame:
-        return self.rows.select(F.col("row").alias("id"), "minima").join(nodes, "id")
+    def _keys(self, nodes: DataFrame) -> DataFrame:
+        """(id, buckets) of each node; a row whose set no other has is one, so only the rest is shuffled to find them."""
+        keys = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda k: F.xxhash64(
+            k, F.slice("minima", k * self.band_rows + 1, self.band_rows)))
+        rows = marked(self._usable().select(F.col("row").alias("id"), "digest", "minima"), "digest", nodes.where("copies > 1"))
+        keyed = rows.select("id", keys.alias("buckets"), "marked")
+        several = keyed.where("marked").join(nodes.select("id"), "id")
+        return keyed.where("not marked").unionByName(several).drop("marked")
 
     def _buckets(self, nodes: DataFrame) -> DataFrame:
         """(bucket, id) of all buckets with at least two nodes."""
-        keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("minima")[k * self.band_rows + i] for i in range(self.band_rows)])
-                         for k in range(self.bands)])
-        dealt = self._minima(nodes.select("id")).select("id", F.explode(keys).alias("bucket"))
+        dealt = self._keys(nodes).select("id", F.explode("buckets").alias("bucket"))
         shared = written(dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                          .where("low <> high").select("bucket", "low"), "shared-buckets")
         return written(dealt.join(shared, "bucket").select("bucket", "id", "low"), "buckets")
@@ -235,10 +241,14 @@ class NearDuplicates:
     def _sets(self, nodes: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, minima, set) of the nodes that share a bucket."""
         wanted = _saved(nodes.join(ids.distinct(), "id").select("id", "doc_id", "digest"), "wanted")
-        texts = id_text(self.docs).join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        near = marked(id_text(self.docs), "doc_id", wanted).where("marked")
+        texts = near.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
         # rows with equal doc_id can have other texts, so a node's set is known by its digest
-        sets = whole_sets(texts.select("text"), self.size).join(wanted.select("id", "digest"), "digest").drop("digest")
-        return written(sets.join(self._minima(wanted.select("id")), "id").dropDuplicates(["id"]), "sets")
+        sets = whole_sets(texts.select("text"), self.size).dropDuplicates(["digest"])
+        rows = marked(self.rows.select(F.col("row").alias("id"), "minima"), "id", wanted).where("marked")
+        # sets are joined by the digest only, so that they are shuffled once
+        found = sets.join(rows.join(wanted.select("id", "digest"), "id"), "digest")
+        return written(found.select("id", "minima", "set"), "sets")
 
     def links(self, nodes: DataFrame) -> DataFrame | None:
         """Confirmed pairs of nodes whose components are those of all similar pairs."""
@@ -278,9 +288,11 @@ class NearDuplicates:
         split = (known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
                  .where("one <> other").select("bucket"))
         open_rows = _saved(known.join(split, "bucket"), "open")
-        mine = written(open_rows.select("id", "label").distinct().join(sets.select("id", "set"), "id"), "open-sets")
+        some = marked(sets.select("id", "set"), "id", open_rows).where("marked").drop("marked")
+        mine = written(open_rows.select("id", "label").distinct().join(some, "id"), "open-sets")
         members = open_rows.select("bucket", "id")
         left = self._in_reach(members, mine)
+        mine = marked(mine, "id", left).where("marked").drop("marked")
         # once more among those that are left, as what others had does not count any more
         limits = self._limits(mine.join(left, "id"))
         near = written(mine.select("id", F.col("set").alias("tokens")).join(limits, "id"), "near-sets")
@@ -289,10 +301,13 @@ class NearDuplicates:
         fine = _saved(near.join(home, "id").select("id", "tokens", "label", "group").mapInArrow(
             tidied(_fine_bands), "id long, bucket long, label long, group long"), "fine-buckets")
         # a band with sets of one label has nothing to add; of two labels one has to ask, so the commonest need not
+        mixed = (fine.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                 .where("low <> high").select("bucket"))
+        fine = _saved(fine.join(mixed, "bucket"), "mixed-buckets")
         counted = fine.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.collect_set("group").alias("groups"))
         bands = (counted.groupBy("bucket").agg(
-            F.max_by("label", F.struct("n", "label")).alias("common"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.array_distinct(F.flatten(F.collect_list("groups"))).alias("met")).where("low <> high").select("bucket", "common", "met"))
+            F.max_by("label", F.struct("n", "label")).alias("common"),
+            F.array_distinct(F.flatten(F.collect_list("groups"))).alias("met")))
         asking = fine.join(bands, "bucket").where("label <> common")
         pairs = (asking.groupBy("id", "group").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
                  .select("id", F.col("group").alias("home"), F.explode("met").alias("group")).where("group <> home")
