@@ -50,7 +50,8 @@ def marked(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     Each value of ``wanted`` sets one of ``MARKS`` bits, which are broadcast in 64 bits a row: their number is bounded whatever
     the input, and rows that are not marked need not be shuffled for an exact join.
     """
-    word, bit = F.expr(f"pmod(xxhash64({column}), {MARKS}) div 64"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
+    word = F.expr(f"pmod(xxhash64({column}), {MARKS}) div 64")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
     bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     found = df.withColumn("word", word).join(F.broadcast(bits), "word", "left")
     return found.select(*df.columns, F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)).alias("marked"))
