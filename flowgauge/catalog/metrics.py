@@ -24,8 +24,9 @@ def _test(rows):
 
 @query("m1_diversity_exact")
 def m1(spark, sf):
+    """The eigenvalues of each cluster's whole kernel, by themselves and not by a quadrature."""
     rows, _ = assessed(latent(spark, sf))
-    return rounded(diversity(_test(rows), ["pos"], method="lanczos"), "diversity")
+    return rounded(diversity(_test(rows), ["pos"], method="exact"), "diversity")
 
 
 _HASHED = "((('0x' || substr(md5('42:' || i || ':' || j || ':{0}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"

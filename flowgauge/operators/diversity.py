@@ -28,6 +28,8 @@ DEFAULT_FREQUENCIES = 512
 METHODS = ("rff", "exact", "lanczos")
 # Matrices that a task holds before it hands them on.
 HELD_BYTES = 128 << 20
+# Rows of a kernel matrix that are made at once.
+KERNEL_ROWS = 1024
 # Rows of one shuffled piece of a covariance matrix.
 COVARIANCE_ROWS = 64
 
@@ -47,8 +49,16 @@ def normalised(score: float, n: int, normalize: bool) -> float:
 def gaussian_kernel(gamma: float) -> Callable[[np.ndarray], np.ndarray]:
     def kernel(points: np.ndarray) -> np.ndarray:
         norms = (points * points).sum(axis=1)
-        square = np.maximum(norms[:, None] + norms[None, :] - 2.0 * points @ points.T, 0.0)
-        return np.exp(-gamma * square)
+        out = np.empty((len(points), len(points)))
+        for at in range(0, len(points), KERNEL_ROWS):
+            rows = out[at : at + KERNEL_ROWS]
+            np.matmul(points[at : at + KERNEL_ROWS], -2.0 * points.T, out=rows)
+            rows += norms[at : at + KERNEL_ROWS, None]
+            rows += norms[None, :]
+            np.maximum(rows, 0.0, out=rows)
+            rows *= -gamma
+            np.exp(rows, out=rows)
+        return out
 
     return kernel
 
@@ -60,7 +70,9 @@ def weighted_vendi(points: np.ndarray, weights: np.ndarray, kernel) -> float:
     non-zero spectrum of the full kernel matrix.
     """
     root = np.sqrt(weights / weights.sum())
-    return spectral_score(np.linalg.eigvalsh(kernel(points) * root[:, None] * root[None, :]))
+    matrix = kernel(points) * root[:, None]
+    matrix *= root[None, :]
+    return spectral_score(np.linalg.eigvalsh(matrix))
 
 
 def _hash_unit(text: str) -> float:
