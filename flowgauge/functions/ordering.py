@@ -25,6 +25,8 @@ from .hashing import hash_hex
 ROWS_PER_BUCKET = 1_000_000
 #: Bounds that one pass of quantiles gives; past it every interval is cut again.
 MAX_BUCKETS = 8192
+#: Bounds that the pass that counts the rows gives; only more buckets than these take a pass of their own.
+COARSE_BOUNDS = 2048
 #: Leading hex digits of a hash that cells are cut by, and the most of them (a repeated hash is never cut apart).
 FIRST_DIGITS, MOST_DIGITS = 3, 15
 
@@ -68,11 +70,10 @@ def value_bounds(
     """
     if n_rows is not None and n_rows <= rows_per_bucket:
         return []
-    coarse = 256
-
     def quantiles(count: int) -> Column:
         return F.percentile_approx(value, [i / count for i in range(1, count)], max(10_000, 4 * count))
 
+    coarse = COARSE_BOUNDS
     first = df.agg(F.count(F.lit(1)).alias("n"), quantiles(coarse).alias("q")).first()
     buckets = min(MAX_BUCKETS, math.ceil(first.n / rows_per_bucket))
     if buckets <= 1:

@@ -29,7 +29,7 @@ from .assign import ClusterError, as_matrix, from_matrix
 
 START_ROWS = 2000
 #: Distances that a block of models and a chunk of rows have at once, and the least rows of a chunk.
-CHUNK_VALUES, MIN_CHUNK = 1 << 18, 256
+CHUNK_VALUES, MIN_CHUNK = 1 << 17, 256
 
 Key = tuple[int, int, int]  # group, k, restart
 

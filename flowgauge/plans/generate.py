@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_rows
+from ..functions.bounded import bounded_rows, written
 from ..functions.vectors import pack
 from ..operators.assign import ClusterModel
 from ..operators.classify import retrain_and_score
@@ -121,10 +121,13 @@ def transfer_comparison(
     which are embedded by its own encoder, assessed with its test set, and added to its training rows.
     Result: ``reward_config, batch, config, reward_a, diversity, proximity, scarcity`` (on b), ``model``, metrics on b.
     """
-    scored = score_candidates(a.base, generate(a, settings, draws, seed), weights)
-    best = best_batches(scored).select("reward_config", "batch", F.col("reward").alias("reward_a")).persist()
+    # what classifiers are fitted beside is cut from its lineage, which every step of every classifier would plan again
+    tried = written(generate(a, settings, draws, seed), "tried-batches")
+    scored = score_candidates(a.base, tried, weights)
+    best = written(best_batches(scored).select("reward_config", "batch", F.col("reward").alias("reward_a")), "best-batches")
     chosen = settings.join(best.select("batch").distinct(), "batch")
-    batches = generate(b, chosen, draws, seed).persist()
-    scores = candidate_scores(b.base, batches)
+    # in the partitions they were made in, by which a forest draws its rows
+    batches = generate(b, chosen, draws, seed).localCheckpoint()
+    scores = written(candidate_scores(b.base, batches), "batch-scores")
     return (best.join(settings, "batch").join(scores, "batch")
             .join(_retrained(b, batches, _distinct_batches(best), kinds, seed), "batch"))
