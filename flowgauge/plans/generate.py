@@ -121,13 +121,13 @@ def transfer_comparison(
     which are embedded by its own encoder, assessed with its test set, and added to its training rows.
     Result: ``reward_config, batch, config, reward_a, diversity, proximity, scarcity`` (on b), ``model``, metrics on b.
     """
-    # what classifiers are fitted beside is cut from its lineage, which every step of every classifier would plan again
     tried = written(generate(a, settings, draws, seed), "tried-batches")
     scored = score_candidates(a.base, tried, weights)
-    best = written(best_batches(scored).select("reward_config", "batch", F.col("reward").alias("reward_a")), "best-batches")
+    best = best_batches(scored).select("reward_config", "batch", F.col("reward").alias("reward_a")).persist()
     chosen = settings.join(best.select("batch").distinct(), "batch")
-    # in the partitions they were made in, by which a forest draws its rows
-    batches = generate(b, chosen, draws, seed).localCheckpoint()
+    # cut from their lineage, which every step of every classifier would plan again, in the partitions that they were kept in,
+    # by which a forest draws its rows
+    batches = generate(b, chosen, draws, seed).persist().localCheckpoint()
     scores = written(candidate_scores(b.base, batches), "batch-scores")
     return (best.join(settings, "batch").join(scores, "batch")
             .join(_retrained(b, batches, _distinct_batches(best), kinds, seed), "batch"))
